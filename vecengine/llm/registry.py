@@ -9,11 +9,15 @@ from vecengine.llm.fingerprints import op7_fingerprints
 from vecengine.llm.language import op9_language
 from vecengine.llm.lm_scores import op8_lm_scores
 from vecengine.llm.near_duplicates import op6_near_duplicates
+from vecengine.llm.secrets import op1_secret_scans
 from vecengine.llm.token_counts import op10_token_counts
 from vecengine.llm.token_files import op2_token_files
+from vecengine.llm.warc import op3_warc
 
 QUERIES = {
+    "op1_secret_scans": op1_secret_scans,
     "op2_token_files": op2_token_files,
+    "op3_warc": op3_warc,
     "op4_decontamination": op4_decontamination,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_near_duplicates": op6_near_duplicates,
