@@ -20,6 +20,8 @@ in nothing; repeated rows give repeated results; null ids stay null; other colum
 from __future__ import annotations
 
 import math
+import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -83,25 +85,33 @@ class ItemIndex:
         return out
 
 
-def find_items(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The items (item_id, text) that each of docs (doc_id, text) contains to the threshold or more."""
-    spark = docs.sparkSession
-    common.ship(spark)
-    docs = docs.select("doc_id", "text")
+def indexes(spark: SparkSession, items: DataFrame, threshold: float, block_bytes: int) -> list[Callable[[], ItemIndex]]:
+    """For each block of items (item_id, text) a function that gives its index on a worker."""
     items = items.select("item_id", "text").where(F.col("text").isNotNull())
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
-    found = None
+    out = []
     for k in range(blocks):
         block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k) if blocks > 1 else items
-        sent = spark.sparkContext.broadcast([tuple(r) for r in block.collect()])  # block_bytes at most, about
+        sent, key = spark.sparkContext.broadcast([tuple(r) for r in block.collect()]), uuid.uuid4().hex  # about block_bytes
 
-        def run(batch: pa.RecordBatch, sent=sent) -> dict:
-            key = f"{sent._jid if hasattr(sent, '_jid') else id(sent.value)}:{threshold}"
+        def index(sent=sent, key=key) -> ItemIndex:
             if key not in _indexes:
                 _indexes.clear()
                 _indexes[key] = ItemIndex(sent.value, threshold)
-            index, ids = _indexes[key], batch.column("doc_id").to_pylist()
+            return _indexes[key]
+
+        out.append(index)
+    return out
+
+
+def find_items(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The items (item_id, text) that each of docs (doc_id, text) contains to the threshold or more."""
+    docs, found = docs.select("doc_id", "text"), None
+    for at_hand in indexes(docs.sparkSession, items, threshold, block_bytes):
+
+        def run(batch: pa.RecordBatch, at_hand=at_hand) -> dict:
+            index, ids = at_hand(), batch.column("doc_id").to_pylist()
             hits = index.search(common.texts_of(batch))
             sizes = [len(index.items[o][1]) for _, o, _ in hits]
             return {"doc_id": [ids[t] for t, _, _ in hits], "item_id": [index.items[o][0] for _, o, _ in hits], "n_shingles": sizes, "n_found": [n for _, _, n in hits], "containment": [n / s for (_, _, n), s in zip(hits, sizes, strict=True)]}
@@ -111,6 +121,20 @@ def find_items(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD,
     return found
 
 
+def without_items(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of docs, all columns, that contain none of items to the threshold."""
+    common.ship(docs.sparkSession)
+    for at_hand in indexes(docs.sparkSession, items, threshold, block_bytes):
+
+        def run(batches, at_hand=at_hand):
+            for batch in common.slices(batches):
+                hit = {t for t, _, _ in at_hand().search(common.texts_of(batch))}
+                yield batch.filter(pa.array([i not in hit for i in range(batch.num_rows)]))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_items(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
 

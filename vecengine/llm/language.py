@@ -25,6 +25,8 @@ from vecengine.llm import common
 DIMENSIONS, SEED = 1024, 7
 #: Letters below this code point have vectors of their own; others share the vectors of as many classes again.
 OWN_LETTERS = 1 << 11
+#: Distinct trigrams of a batch whose vectors are kept at hand together (4 KB each).
+SHARED_TRIGRAMS = 30_000
 UNDETERMINED = "und"
 RESULT = "doc_id long, held_out boolean, lang_pred string, score double"
 _tables: dict[str, np.ndarray] = {}
@@ -106,36 +108,58 @@ def learn(docs: DataFrame) -> dict[str, np.ndarray]:
     return {k: found[k] / np.linalg.norm(found[k]) for k in sorted(found) if np.any(found[k])}
 
 
-def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], keep: list[str] | None = None) -> DataFrame:
-    """doc_id, held_out, lang_pred and score of each document of docs (doc_id, text), after the columns named in keep."""
+def predict(texts: list[str], names: list[str], matrix: np.ndarray) -> tuple[list[str], list[float]]:
+    """Languages and scores of texts under the prototypes that are the rows of matrix."""
+    found = [counted(trigrams(t)) for t in texts]
+    distinct, where = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
+    vectors = bound_vectors(distinct).astype(np.float32) if len(distinct) <= SHARED_TRIGRAMS else None
+    langs, scores, at = [], [], 0
+    for keys, counts in found:
+        lang, score = UNDETERMINED, 0.0
+        if len(keys) and names:
+            if vectors is not None:
+                profile = counts.astype(np.float32) @ vectors[where[at : at + len(keys)]]
+            else:
+                profile = bundle(keys, counts).astype(np.float32)
+            cosines = matrix @ profile / max(float(np.linalg.norm(profile)), 1e-9)
+            best = int(np.argmax(cosines))
+            lang, score = names[best], min(1.0, max(0.0, float(cosines[best])))
+        langs.append(lang)
+        scores.append(score)
+        at += len(keys)
+    return langs, scores
+
+
+def as_matrix(prototypes: dict[str, np.ndarray]) -> tuple[list[str], np.ndarray]:
     names = list(prototypes)
-    matrix = np.array([prototypes[k] for k in names], np.float32).reshape(len(names), DIMENSIONS)
-    fields = [docs.schema[k] for k in keep or []]
-    ddl = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + [RESULT if not keep else "held_out boolean, lang_pred string, score double"])
+    return names, np.array([prototypes[k] for k in names], np.float32).reshape(len(names), DIMENSIONS)
+
+
+def identify(docs: DataFrame, prototypes: dict[str, np.ndarray]) -> DataFrame:
+    """doc_id, held_out, lang_pred and score of each of docs (doc_id, text)."""
+    names, matrix = as_matrix(prototypes)
+
+    def run(batch: pa.RecordBatch) -> dict:
+        langs, scores = predict(common.texts_of(batch), names, matrix)
+        return {"doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "lang_pred": langs, "score": scores}
+
+    return common.map_batches(docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out")), run, RESULT)
+
+
+def with_language(docs: DataFrame, prototypes: dict[str, np.ndarray]) -> DataFrame:
+    """The rows of docs whose language can be told, all columns; a null lang becomes the one found."""
     common.ship(docs.sparkSession)
+    names, matrix = as_matrix(prototypes)
+    at = docs.columns.index("lang")
 
     def run(batches):
         for batch in common.slices(batches):
-            found = [counted(trigrams(t)) for t in common.texts_of(batch)]
-            sizes = np.array([len(k) for k, _ in found])
-            distinct, where = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
-            vectors = bound_vectors(distinct).astype(np.float32)
-            langs, scores, at = [], [], 0
-            for size, (_, counts) in zip(sizes.tolist(), found, strict=True):
-                lang, score = UNDETERMINED, 0.0
-                if size and names:
-                    profile = counts.astype(np.float32) @ vectors[where[at : at + size]]
-                    cosines = matrix @ profile / max(float(np.linalg.norm(profile)), 1e-9)
-                    best = int(np.argmax(cosines))
-                    lang, score = names[best], min(1.0, max(0.0, float(cosines[best])))
-                langs.append(lang)
-                scores.append(score)
-                at += size
-            kept = [batch.column(f.name) for f in fields] if keep else [batch.column("doc_id")]
-            columns = [*kept, batch.column("held_out"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*([f.name for f in fields] if keep else ["doc_id"]), "held_out", "lang_pred", "score"])
-
-    return docs.select(*(keep or ["doc_id", "text"]), held_out(F.col("doc_id")).alias("held_out")).mapInArrow(run, ddl)
+            langs, _ = predict(common.texts_of(batch), names, matrix)
+            lang = pa.array([own if own is not None else new for own, new in zip(batch.column("lang").to_pylist(), langs, strict=True)], batch.schema.field(at).type)
+            kept = pa.array([x != UNDETERMINED for x in langs])
+            yield pa.RecordBatch.from_arrays([lang if i == at else c for i, c in enumerate(batch.columns)], schema=batch.schema).filter(kept)
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:

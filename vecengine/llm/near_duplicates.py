@@ -174,7 +174,7 @@ def lengths_allow(a: str, b: str, threshold: float) -> Column:
 
 
 def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, class_id (the least doc_id of the class) and h (the text's digest) of each row of docs (doc_id, text)."""
+    """doc_id, class_id (the least doc_id of the class), h (the text's digest) and root (the class's, the least of its texts') of each row of docs (doc_id, text)."""
     docs = docs.select("doc_id", "text")
     found = common.written(sketches(docs), "sketches")
     texts = found.groupBy("h").agg(F.min("doc_id").alias("rep_id"), F.first("n_words").alias("n_words"), F.first("keys").alias("keys"), F.first("deep").alias("deep"))
@@ -222,9 +222,18 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> Dat
     ids = texts.select("h", "rep_id")
     nodes = stars.select(F.col("u").alias("h"), "v").unionByName(stars.select(F.col("v").alias("h"), "v").distinct()).join(ids, "h")
     least = nodes.groupBy("v").agg(F.min("rep_id").alias("class_id"))
-    classes = nodes.select("h", "v").join(least, "v").select("h", "class_id", F.lit(True).alias("linked"))
-    classes = ids.join(classes, "h", "left").select("h", F.when(F.col("linked"), F.col("class_id")).otherwise(F.col("rep_id")).alias("class_id"))
-    return found.select("doc_id", "h").join(classes, "h", "left").select("doc_id", "class_id", "h")
+    classes = nodes.join(least, "v").select("h", "class_id", "v")
+    classes = ids.join(classes, "h", "left").select("h", F.when(F.col("v").isNotNull(), F.col("class_id")).otherwise(F.col("rep_id")).alias("class_id"), F.coalesce("v", "h").alias("root"))
+    return found.select("doc_id", "h").join(classes, "h", "left").select("doc_id", "class_id", "h", "root")
+
+
+def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """One row of each class of docs, all columns: that with the least doc_id (of its texts the one with the least digest)."""
+    classes = common.written(near_duplicate_classes(docs, threshold), "classes")
+    no_id = F.lit(-(1 << 63))
+    kept = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("root").agg(F.min(F.struct(F.coalesce("doc_id", no_id).alias("key"), "h")).alias("x")).select("x.*")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce("doc_id", no_id).alias("key"), text_key(F.col("text")).alias("h"))
+    return rows.join(kept, ["key", "h"]).dropDuplicates(["key", "h"]).select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -171,18 +171,16 @@ def cuts(docs: DataFrame, fdr: float = FDR) -> dict[str, int]:
 
 
 def find_secrets(docs: DataFrame, fdr: float = FDR) -> DataFrame:
-    """docs (text and any other columns) with _spans: array<struct<start, kind, end>> of all kinds in order, kind by its place in KINDS."""
-    columns = docs.columns
+    """row (all columns of docs), spans (array<struct<start, kind, end>> of all kinds in order; kind by its place in KINDS) and base (those of the base kinds)."""
     least = cuts(docs, fdr)
-    found = scanned(docs)
+    found = scanned(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text"))
+    spans = F.col("_base")
     if least:
         table = F.create_map(*[x for k, v in sorted(least.items()) for x in (F.lit(k), F.lit(v))])
         random = F.filter("_tested", lambda t: t["plausible"] & (t["bin"] >= F.coalesce(F.try_element_at(table, t["stratum"]), F.lit(BINS + 1))))
         more = F.transform(random, lambda t: F.struct(t["start"].alias("start"), F.lit(KINDS.index("random")).alias("kind"), t["end"].alias("end")))
         spans = F.when(F.col("_tested").isNull(), F.col("_base")).otherwise(F.array_sort(F.concat("_base", more)))
-    else:
-        spans = F.col("_base")
-    return found.select(*[f"`{c}`" for c in columns], spans.alias("_spans"), F.col("_base"))
+    return found.select("row", spans.alias("spans"), F.col("_base").alias("base"))
 
 
 def written_out(spans: Column) -> Column:
@@ -202,7 +200,17 @@ def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
     return F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
 
 
+def redact_documents(docs: DataFrame) -> DataFrame:
+    """docs, all columns, with secrets in text replaced; n_chars, if there, is the new length. Texts without secrets stay as they are."""
+    found = find_secrets(docs)
+    text = F.when(F.size("spans") > 0, redacted(F.col("row.text"), F.col("spans"))).otherwise(F.col("row.text"))
+    found = found.withColumn("new", text)
+    length = F.when(F.size("spans") > 0, F.length("new").cast("long")).otherwise(F.col("row.n_chars")) if "n_chars" in docs.columns else None
+    named = {"text": F.col("new"), "n_chars": length}
+    return found.select(*[(named[c] if c in named else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+
+
 def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_secrets(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
-    number = lambda kind: F.size(F.filter("_spans", lambda s: s["kind"] == KINDS.index(kind))).cast("long").alias(f"n_{kind}")
-    return found.select("doc_id", number("assign"), number("access"), number("hex"), F.sha2(written_out(F.col("_base")), 256).alias("base_sha256"), written_out(F.col("_spans")).alias("spans"), number("random"))
+    number = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == KINDS.index(kind))).cast("long").alias(f"n_{kind}")
+    return found.select(F.col("row.doc_id").alias("doc_id"), number("assign"), number("access"), number("hex"), F.sha2(written_out(F.col("base")), 256).alias("base_sha256"), written_out(F.col("spans")).alias("spans"), number("random"))
