@@ -1 +1 @@
-
+"""Operators over DataFrames of vectors and matrices."""
