@@ -1 +1 @@
-
+"""Fitted models over streams."""
