@@ -33,7 +33,7 @@ from vecengine.llm.fingerprints import SHINGLE_WORDS, WORD, shingle_hashes
 
 THRESHOLD = 0.8
 #: Text bytes of the items of one block: the bound on what is broadcast.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES, MARK_BITS = 32 << 20, 22
 RESULT = "doc_id long, item_id long, n_shingles long, n_found long, containment double"
 _indexes: dict[str, ItemIndex] = {}
 
@@ -60,18 +60,20 @@ class ItemIndex:
             keys = np.concatenate([s for s, _ in signatures])
             owners = np.concatenate([np.full(len(s), i) for s, i in signatures])
             order = np.argsort(keys, kind="stable")
-            self.lookup[width] = (keys[order], owners[order])
+            marks = np.zeros(1 << MARK_BITS, bool)  # most shingles are no item's: their hashes' first bits tell
+            marks[keys >> np.uint64(64 - MARK_BITS)] = True
+            self.lookup[width] = (keys[order], owners[order], marks)
 
     def search(self, texts: list[str]) -> list[tuple[int, int, int]]:
         """(text's number, item's number, shingles found) of all that reach the threshold."""
         out = []
-        for width, (keys, owners) in self.lookup.items():
+        for width, (keys, owners, marks) in self.lookup.items():
             found = shingle_hashes(texts, width)
             flat = np.concatenate(found) if found else np.zeros(0, np.uint64)
-            low, high = np.searchsorted(keys, flat, "left"), np.searchsorted(keys, flat, "right")
-            hits = np.flatnonzero(high > low)
-            ends = np.cumsum([len(x) for x in found])
-            candidates = {(int(np.searchsorted(ends, h, "right")), int(o)) for h in hits for o in owners[low[h] : high[h]]}
+            may = np.flatnonzero(marks[flat >> np.uint64(64 - MARK_BITS)])
+            low, high = np.searchsorted(keys, flat[may], "left"), np.searchsorted(keys, flat[may], "right")
+            text_of = np.searchsorted(np.cumsum([len(x) for x in found]), may, "right")
+            candidates = {(int(text_of[h]), int(o)) for h in np.flatnonzero(high > low) for o in owners[low[h] : high[h]]}
             whole: dict[int, str] = {}
             for text, owner in sorted(candidates):
                 _, shingles, least = self.items[owner]
