@@ -85,7 +85,7 @@ def _dealt(block: int, kind: int, distinct, counts, lens, docs, buckets: int) ->
     doc_to = np.argsort(np.repeat(to, lens), kind="stable")
     distinct, counts, lens, docs, to = distinct[order], counts[order], lens[order], docs[doc_to], to[order]
     cuts = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1]))) if len(to) else np.zeros(0, np.int64)
-    ends, at = np.append(cuts[1:], len(to)), np.concatenate(([0], np.cumsum(lens)))
+    ends, at = np.append(cuts[1:], len(to))[: len(cuts)], np.concatenate(([0], np.cumsum(lens)))
     return [{"bucket": int(to[a]), "block": block, "kind": kind, "hashes": distinct[a:b], "counts": counts[a:b].astype(np.uint32), "lens": lens[a:b].astype(np.uint16), "docs": docs[at[a] : at[b]]} for a, b in zip(cuts.tolist(), ends.tolist(), strict=True)]
 
 
