@@ -11,7 +11,8 @@ Steps, each cut by a table in the shared folder:
    are links, and links become components. A large family of near copies is one component after this, by one alignment a text.
 3. In each bucket the least text of each component stands for it, and those of different components whose lengths allow it
    are aligned pairwise. Buckets of more than HOT components, such as those of a passage that many texts share, are first split by the
-   tuple of DEEP least k-mers of the same order, as a similarity that reaches the threshold survives.
+   tuple of DEEP least k-mers of the same order. So rows of pairs are at most in proportion to rows of buckets. Should more than HOT_DEEP
+   unlike components share even such a tuple, each meets the bucket's hub, another text in each of the SEEDS orders.
 4. Components of all links are the classes; a class's id is its least doc_id.
 
 Buckets are aggregated before they are joined, joins are plain equi-joins whose skewed partitions Spark splits, and no group is
@@ -36,8 +37,8 @@ from vecengine.llm import common
 from vecengine.llm.fingerprints import MULTIPLIER, WORD, mixed, shingle_hashes
 
 THRESHOLD, SEEDS, DEPTH, DEEP = 0.8, 32, 3, 6
-#: Components in a bucket beyond which it is split by the deeper tuples.
-HOT = 64
+#: Components in a bucket beyond which it is split by the deeper tuples, and in a deeper bucket beyond which they meet its hub only.
+HOT, HOT_DEEP = 8, 64
 _rng = np.random.default_rng(11)
 XORS, FACTORS, ORDERS = (_rng.integers(0, 1 << 63, (3, SEEDS, 1), dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1))
 
@@ -212,10 +213,15 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> Dat
     heads = common.written(heads.join(open_keys, "key"), "heads")
     warm = heads.where(F.col("n") <= HOT).select("key", "label", "h", "n_words")
     deep = heads.where(F.col("n") > HOT).join(texts.select("h", "deep"), "h").select(F.element_at("deep", F.col("seed") + 1).alias("key"), "label", "h", "n_words")
-    warm = warm.unionByName(deep)
+    deep = common.written(deep, "deep")
+    counts = deep.groupBy("key").agg(F.count("*").alias("n"), F.min_by(F.struct("h", "label", "n_words"), F.xxhash64("key", "h")).alias("hub")).where("n > 1")
+    deep = common.written(deep.join(counts, "key"), "deep")
+    warm = warm.unionByName(deep.where(F.col("n") <= HOT_DEEP).select("key", "label", "h", "n_words"))
     x, y = warm.alias("x"), warm.alias("y")
     meets = (F.col("x.key") == F.col("y.key")) & (F.col("x.label") < F.col("y.label")) & lengths_allow("x.n_words", "y.n_words", threshold)
-    pairs = x.join(y, meets).select(F.least("x.h", "y.h").alias("a"), F.greatest("x.h", "y.h").alias("b")).distinct().join(checked, ["a", "b"], "left_anti")
+    pairs = x.join(y, meets).select(F.col("x.h").alias("a"), F.col("y.h").alias("b"))
+    to_hub = deep.where((F.col("n") > HOT_DEEP) & (F.col("label") != F.col("hub.label")) & lengths_allow("n_words", "hub.n_words", threshold)).select(F.col("h").alias("a"), F.col("hub.h").alias("b"))
+    pairs = pairs.unionByName(to_hub).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(checked, ["a", "b"], "left_anti")
     more = verified(pairs, bodies, threshold).where("ok").select("a", "b")
     stars = components(stars.select(F.col("v").alias("a"), F.col("u").alias("b")).unionByName(more))
 
