@@ -8,7 +8,7 @@ import public_tokenizers as P
 import tiktoken
 
 from vecengine.llm import byte_bpe, common, token_counts, token_files
-from vecengine.llm.pieces import PieceEncoder
+from vecengine.llm.pieces import PieceTable
 
 BPE, FILES, PIECES = P.path("byte_bpe_multi_50k.tiktoken"), P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model")
 
@@ -38,15 +38,18 @@ def test_join_of_any_halves():
         assert bpe.join(bpe.leaf(data[:cut]), bpe.leaf(data[cut:])) == bpe.leaf(data)
 
 
-def test_memo_generations(monkeypatch):
-    from vecengine.llm import pieces
-
-    monkeypatch.setattr(pieces, "MEMO_ENTRIES", 5)
-    encoder = PieceEncoder(lambda xs: [x.encode() + b"|" for x in xs])
-    rng = random.Random(1)
+def test_piece_table_renews_and_joins():
+    table, rng = PieceTable(lambda xs: [x.encode("utf-32-le") for x in xs], "<u4", 5), random.Random(1)
     for _ in range(50):
-        texts = [" ".join(rng.choice("ab,c.dé") * rng.randint(1, 3) for _ in range(9)) for _ in range(3)]
-        assert [x.replace(b"|", b"").decode() for x in encoder.encode(texts)] == texts
+        texts = ["".join(rng.choice(["ab", " ", "  ", ",", "\n", "é", "\x1c", "1", ""]) for _ in range(20)) for _ in range(3)] + [""]
+        assert [x.decode("utf-32-le") for x in table.encode(texts)] == texts
+
+
+def test_pieces_of_odd_white_space_are_the_tokenizers():
+    tokenizer, table, rng = token_files.load_tokenizer(FILES), token_files._encoder(FILES, "<u2"), random.Random(2)
+    parts = ["a", "B", " ", "  ", "\n", "\t", "é", "日本", "!", "'s", "12", "%%", "\x1c", "😀", "\u3000", "ab,", "'", ".", "\r\n", "²", "'ll", "\u0301", "\xa0"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(3000)]
+    assert [np.frombuffer(x, "<u2").tolist() for x in table.encode(texts)] == [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
 def expected_files(rows):

@@ -18,20 +18,25 @@ from __future__ import annotations
 import base64
 import hashlib
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from vecengine.llm import common
-from vecengine.llm.pieces import PieceEncoder
+from vecengine.llm.pieces import PieceTable
 
 #: Byte strings up to this length are leaves of the tree.
 LEAF_BYTES = 2
 #: Subtrees up to this length are kept in a bounded memo: words share halves.
-KEEP_BYTES, MEMO_ENTRIES = 8, 200_000
+KEEP_BYTES, MEMO_ENTRIES = 8, 100_000
 #: Windows up to this length are encoded merge by merge; longer ones are trees themselves.
 WINDOW_BYTES = 128
+#: Longer byte strings are merged from a heap.
+LONG_BYTES = 64
+#: Entries of a worker's table of pieces, beyond which it starts anew.
+PIECES = 1_000_000
 #: Ids that a leaf of the decoding tree joins.
 LEAF_IDS = 8192
 RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -50,13 +55,15 @@ class ByteBpe:
 
         self.ranks, self.tokens = ranks, {v: k for k, v in ranks.items()}
         self.find = regex.compile(pattern).findall
-        self.short = lru_cache(1 << 17)(self.leaf)
-        self.agrees = lru_cache(1 << 18)(self._agrees)
+        self.short = lru_cache(1 << 16)(self.leaf)
+        self.agrees = lru_cache(1 << 16)(self._agrees)
         self.halves: dict[bytes, list[bytes]] = {}
-        self.pieces = PieceEncoder(lambda pieces: [common.packed(self.text_ids(p), "<u4") for p in pieces])
+        self.pieces = PieceTable(lambda pieces: [common.packed(self.text_ids(p), "<u4") for p in pieces], "<u4", PIECES)
 
     def leaf(self, data: bytes) -> list[bytes]:
         """Merge the pair of least rank, the leftmost among equals, until none is in the vocabulary."""
+        if len(data) > LONG_BYTES:
+            return self._long_leaf(data)
         ranks = self.ranks
         parts = [data[i : i + 1] for i in range(len(data))]
         while len(parts) > 1:
@@ -70,6 +77,31 @@ class ByteBpe:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
+    def _long_leaf(self, data: bytes) -> list[bytes]:
+        """The same merges from a heap of pairs over a linked list: n log n steps."""
+        ranks, n = self.ranks, len(data)
+        end, before = list(range(1, n + 1)), list(range(-1, n - 1))  # of the part that starts at a position; end 0: merged away
+        heap = [(rank, i, i + 2) for i in range(n - 1) if (rank := ranks.get(data[i : i + 2])) is not None]
+        heapify(heap)
+        while heap:
+            _, start, stop = heappop(heap)
+            middle = end[start]
+            if not middle or middle >= n or middle == stop or end[middle] != stop:
+                continue  # one of the two is not what it was
+            end[start], end[middle] = stop, 0
+            if stop < n:
+                before[stop] = start
+                if (rank := ranks.get(data[start : end[stop]])) is not None:
+                    heappush(heap, (rank, start, end[stop]))
+            left = before[start]
+            if left >= 0 and (rank := ranks.get(data[left:stop])) is not None:
+                heappush(heap, (rank, left, stop))
+        out, at = [], 0
+        while at < n:
+            out.append(data[at : end[at]])
+            at = end[at]
+        return out
+
     def _agrees(self, left: bytes, right: bytes) -> bool:
         """Whether the two tokens' bytes encode to just them."""
         return left + right not in self.ranks and self.leaf(left + right) == [left, right]
@@ -127,6 +159,7 @@ class ByteBpe:
 
 def coder(ranks_path: str, pattern: str) -> ByteBpe:
     """This worker's coder."""
+    common.claim("byte_bpe", _coders.clear)
     if (ranks_path, pattern) not in _coders:
         _coders[ranks_path, pattern] = ByteBpe(read_ranks(ranks_path), pattern)
     return _coders[ranks_path, pattern]

@@ -6,6 +6,9 @@ that the cluster names in ``spark.checkpoint.dir``.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -22,7 +25,10 @@ from pyspark.sql import functions as F
 
 #: Rows that one step of a batch function sees at once.
 SLICE_ROWS = 512
+#: Estimates from here on mean that the optimizer doesn't know.
+UNKNOWN_BYTES = 1 << 52
 _shipped: set[str] = set()
+_tenant: list = [None, None]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +50,17 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+def claim(name: str, forget: Callable[[], None]) -> None:
+    """Say that this worker's large memo is now name's: the one before is dropped, so that a worker holds one at a time."""
+    if _tenant[0] != name:
+        if _tenant[1] is not None:
+            _tenant[1]()
+            gc.collect()
+            with contextlib.suppress(OSError, AttributeError):  # not every C library can give memory back
+                ctypes.CDLL(None).malloc_trim(0)
+        _tenant[:] = [name, forget]
+
+
 def shared_base(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -87,8 +104,11 @@ def plan_bytes(df: DataFrame) -> int:
 
 def parts_for(df: DataFrame, bytes_each: int) -> int:
     """Partitions so that each holds about bytes_each of df, at least the session's shuffle partitions."""
-    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, min(1 << 20, -(-plan_bytes(df) // bytes_each)))
+    least, size = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), plan_bytes(df)
+    if size >= UNKNOWN_BYTES:  # rows that don't come from files: measure them
+        lengths = [F.coalesce(F.octet_length(k), F.lit(0)) for k, kind in df.dtypes if kind in ("string", "binary")]
+        size = df.agg(F.sum(sum(lengths, F.lit(16)).cast("long"))).first()[0] or 0
+    return max(least, min(1 << 20, -(-size // bytes_each)))
 
 
 def id_bounds(df: DataFrame, key: str, n: int) -> list[int]:

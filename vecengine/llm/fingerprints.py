@@ -43,7 +43,7 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _tables(chars: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def hashing_tables(chars: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Which code points are letters, digits or underscores; a random number for each; powers of BASE and of its inverse."""
     if "word" not in _cache:
         _cache["word"] = np.array([chr(c).isalnum() or c == 95 for c in range(0x110000)])
@@ -75,7 +75,7 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, list[int]]:
 
 def _span_hashes(texts: list[str]) -> tuple[np.ndarray, list[int]]:
     codes = np.frombuffer(("\n".join(texts) + "\n").encode("utf-32-le"), np.uint32)
-    is_word, numbers, powers, inverse = _tables(len(codes))
+    is_word, numbers, powers, inverse = hashing_tables(len(codes))
     edges = np.flatnonzero(np.diff(is_word[codes], prepend=False))  # where words start and where they end, in turn
     starts, ends = edges[::2], edges[1::2]
     sums = np.cumsum(numbers[codes] * powers[: len(codes)])

@@ -1,40 +1,34 @@
-"""Encoding of whole texts through memoised pieces.
+"""Encoding of whole texts through pieces that are encoded once.
 
-A text is cut only at single spaces between two characters that aren't white space. The common split pattern of
-byte-level tokenizers starts a new match at such a space whatever surrounds it, so the encodings of the
-pieces, joined, are the encoding of the text. Each distinct piece is encoded once per worker while it stays in a
-bounded memo.
+A text is cut where the common split pattern of byte-level tokenizers (letters, digits, marks, white space) starts a new match
+whatever surrounds the place, so the encodings of the pieces, joined, are the encoding of the text.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
-#: Entries of one generation of a worker's memo.
-MEMO_ENTRIES = 400_000
-#: Longer pieces aren't kept.
-KEEP_CHARS = 64
+import numpy as np
+
+#: Entries of one generation of a memo.
+MEMO_ENTRIES = 250_000
+#: Characters over which sums run at once.
+SPAN = 1 << 18
 #: Letters and then only such marks are two matches of the split pattern.
 MARKS = ".,;:!?%$&*#)]}\""
-SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
-
-
-def _hides_white_space(piece: str) -> bool:
-    """Whether a piece between single spaces could be part of a longer run of white space."""
-    return not piece or piece[0].isspace() or piece[-1].isspace()
 
 
 class Memo(dict):
-    """A dict of at most about two generations of MEMO_ENTRIES: what the older one still gives moves to the younger."""
+    """A dict of at most about two generations of so many entries: what the older one still gives moves to the younger."""
 
-    def __init__(self):
+    def __init__(self, entries: int | None = None):
         super().__init__()
         self.older: dict = {}
+        self.entries = entries or MEMO_ENTRIES
 
     def missing(self, wanted: set) -> list:
         """Those of wanted that neither generation has; the others are here afterwards."""
-        if len(self) > MEMO_ENTRIES:
+        if len(self) > self.entries:
             self.older = dict(self)
             self.clear()
         absent = wanted.difference(self)
@@ -43,53 +37,86 @@ class Memo(dict):
         return list(absent - found if found else absent)
 
 
-class PieceEncoder:
-    """encode_many takes a list of strings and returns for each the bytes of its encoding."""
-
-    def __init__(self, encode_many: Callable[[list[str]], list[bytes]]):
-        self.encode_many = encode_many
-        self.ends = Memo()
-        self.memos = {"": Memo(), " ": Memo()}  # by what stands before the piece
-
-    def _known(self, prefix: str, wanted: set[str]) -> Memo:
-        """A memo that holds all of wanted; None for pieces whose texts need the exact cut."""
-        memo = self.memos[prefix]
-        missing = memo.missing(wanted)
-        whole, two = [], []
-        for x in missing:
-            core = x.rstrip(MARKS)
-            if len(core) < len(x) and core.isalpha():
-                two.append((x, core, x[len(core) :]))
-            elif _hides_white_space(x):
-                memo[x] = None
-            else:
-                whole.append(x)
-        memo.update(zip(whole, self.encode_many([prefix + x for x in whole]), strict=True))
-        if two:
-            kept = len(memo)
-            cores = memo.missing({c for _, c, _ in two})
-            if len(memo) < kept:  # a new generation began: what is wanted moves along
-                memo.missing(wanted)
-            memo.update(zip(cores, self.encode_many([prefix + c for c in cores]), strict=True))
-            ends = self.ends.missing({e for _, _, e in two})
-            self.ends.update(zip(ends, self.encode_many(ends), strict=True))
-            memo.update((x, memo[c] + self.ends[e]) for x, c, e in two)
-        return memo
+class PieceTable:
+    """encode_many takes a list of strings and returns for each the bytes of its encoding; encode does so for whole texts.
+
+    Texts are cut before a single space between other characters, between letters and MARKS, before white space, and after a
+    single line break or the like: no match of the pattern spans those places. Pieces are told apart by 64-bit hashes from running sums, looked up in a sorted table
+    whose tokens lie in one flat array. itemsize is that of a token.
+    """
+
+    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], dtype: str, entries: int):
+        self.encode_many, self.dtype, self.entries = encode_many, np.dtype(dtype), entries
+        self.kinds = np.zeros(0x110000, np.uint8)  # 1: letter, 2: mark, 4: white space, 8: other, 16: separators that not all call white space
+        for c in range(0x110000):
+            ch = chr(c)
+            self.kinds[c] = 1 if ch.isalpha() else 2 if ch in MARKS else 16 if "\x1c" <= ch <= "\x1f" else 4 if ch.isspace() else 8
+        self._renew()
+
+    def _renew(self) -> None:
+        self.keys = np.zeros(0, np.uint64)
+        self.at, self.lens, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, self.dtype)
+
+    def _starts(self, codes: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Where pieces begin."""
+        kind = self.kinds[codes]
+        before, after = np.concatenate((np.zeros(1, np.uint8), kind[:-1])), np.concatenate((kind[1:], np.zeros(1, np.uint8)))
+        space = codes == 32
+        cut = space & ((before | after) & 20 == 0) & (after != 0)  # a single space belongs to what follows
+        cut |= ((kind == 1) & (before == 2)) | ((kind == 2) & (before == 1))
+        cut |= (kind == 4) & ~space & (before & 20 == 0)
+        single = (kind == 4) & ~space & (before & 20 == 0)
+        cut |= (kind & 20 == 0) & np.concatenate((np.zeros(1, bool), single[:-1]))  # a longer run is split by what follows it
+        first = np.concatenate((np.zeros(1, np.int64), ends[:-1]))
+        cut[first[first < len(codes)]] = True
+        # Before a document's end nothing follows: a space there is no single space between characters.
+        last = ends[ends > 0] - 1
+        keep = np.zeros(len(codes), bool)
+        keep[first[first < len(codes)]] = True
+        cut[last] &= ~space[last] | keep[last]
+        return np.flatnonzero(cut)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [t.split(" ") for t in texts]
-        heads, tails = {p[0] for p in cut}, set().union(*cut)
-        first, rest = self._known("", heads), self._known(" ", tails)
-        out = []
-        for text, pieces in zip(texts, cut, strict=True):
-            found = list(map(rest.__getitem__, pieces))
-            found[0] = first[pieces[0]]
-            try:
-                out.append(b"".join(found))
-            except TypeError:  # runs of white space somewhere
-                exact = SAFE_CUT.split(text)
-                out.append(b"".join(self.encode_many([exact[0], *[" " + x for x in exact[1:]]])))
-        for memo, seen in ((first, heads), (rest, tails)):
-            for x in [x for x in seen if len(x) > KEEP_CHARS]:
-                del memo[x]
-        return out
+        from vecengine.llm.fingerprints import hashing_tables, mixed
+
+        sizes = np.array([len(t) for t in texts], np.int64)
+        ends = np.cumsum(sizes)
+        joined = "".join(texts)
+        if not joined:
+            return [b""] * len(texts)
+        codes = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+        starts = self._starts(codes, ends)
+        _, numbers, powers, inverse = hashing_tables(SPAN + 1)
+        stops = np.append(starts[1:], len(codes))
+        hashes = np.empty(len(starts), np.uint64)
+        a = 0
+        while a < len(starts):  # running sums over spans of bounded length
+            b = max(a + 1, int(np.searchsorted(stops, starts[a] + SPAN, "right")))
+            low, high = int(starts[a]), int(stops[b - 1])
+            if high - low > SPAN:
+                _, numbers, powers, inverse = hashing_tables(high - low + 1)
+            sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(numbers[codes[low:high]] * powers[: high - low])))
+            hashes[a:b] = mixed((sums[stops[a:b] - low] - sums[starts[a:b] - low]) * inverse[starts[a:b] - low])
+            a = b
+        if len(self.keys) > self.entries:
+            self._renew()
+        distinct, one, inverse_at = np.unique(hashes, return_index=True, return_inverse=True)
+        place = np.searchsorted(self.keys, distinct)
+        known = (place < len(self.keys)) & (self.keys[np.minimum(place, max(0, len(self.keys) - 1))] == distinct) if len(self.keys) else np.zeros(len(distinct), bool)
+        new = np.flatnonzero(~known)
+        if len(new):
+            found = self.encode_many([joined[s:e] for s, e in zip(starts[one[new]].tolist(), stops[one[new]].tolist(), strict=True)])
+            lens = np.array([len(x) for x in found], np.int64) // self.dtype.itemsize
+            at = len(self.pool) + np.cumsum(lens) - lens
+            self.pool = np.concatenate((self.pool, np.frombuffer(b"".join(found), self.dtype)))
+            keys = np.concatenate((self.keys, distinct[new]))
+            order = np.argsort(keys, kind="stable")
+            self.keys, self.at, self.lens = keys[order], np.concatenate((self.at, at))[order], np.concatenate((self.lens, lens))[order]
+            place = np.searchsorted(self.keys, distinct)
+        where = place[inverse_at]
+        lens = self.lens[where]
+        done = np.cumsum(lens)
+        tokens = self.pool[np.repeat(self.at[where] - (done - lens), lens) + np.arange(int(done[-1]))]
+        token_ends = np.concatenate((np.zeros(1, np.int64), done))[np.searchsorted(starts, ends)].tolist()
+        data, size = tokens.tobytes(), self.dtype.itemsize
+        return [data[a * size : b * size] for a, b in zip([0, *token_ends[:-1]], token_ends, strict=True)]

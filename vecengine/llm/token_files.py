@@ -25,18 +25,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecengine.llm import common
-from vecengine.llm.pieces import PieceEncoder
+from vecengine.llm.pieces import PieceTable
 
 #: Input bytes that one token file is made from.
 PART_BYTES = 64 << 20
-#: Pieces that are encoded in one call.
-JOINED_PIECES = 2000
+#: Documents whose distinct pieces are looked up together; pieces that are encoded in one call.
+SLICE_ROWS, JOINED_PIECES = 2048, 2000
+#: Entries of a worker's table of pieces, beyond which it starts anew.
+MEMO_ENTRIES = 2_000_000
 #: How the vocabulary writes a space.
 SPACE = "\u0120"
 NO_ID = -(1 << 63)
 MANIFEST = "part int, n_docs long, n_tokens long, first_doc long, first_token long"
 READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
-_encoders: dict[tuple[str, str], PieceEncoder] = {}
+_encoders: dict[tuple[str, str], PieceTable] = {}
 
 
 def dtype_for(vocabulary: int) -> str:
@@ -52,8 +54,9 @@ def load_tokenizer(tokenizer_path: str):
     return tokenizer
 
 
-def _encoder(tokenizer_path: str, dtype: str) -> PieceEncoder:
-    """This worker's encoder; it lives as long as the worker."""
+def _encoder(tokenizer_path: str, dtype: str) -> PieceTable:
+    """This worker's encoder."""
+    common.claim("token_files", _encoders.clear)
     if (tokenizer_path, dtype) not in _encoders:
         tokenizer = load_tokenizer(tokenizer_path)
 
@@ -78,7 +81,7 @@ def _encoder(tokenizer_path: str, dtype: str) -> PieceEncoder:
                 out[i] = common.packed(e.ids, dtype)
             return out
 
-        _encoders[tokenizer_path, dtype] = PieceEncoder(encode_many)
+        _encoders[tokenizer_path, dtype] = PieceTable(encode_many, dtype, MEMO_ENTRIES)
     return _encoders[tokenizer_path, dtype]
 
 
