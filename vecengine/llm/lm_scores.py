@@ -188,4 +188,16 @@ def score_against(docs: DataFrame, train: DataFrame) -> DataFrame:
 
 
 def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_corpus(common.table(spark, sf_dir, "documents"))
+    return score_corpus(common.table(spark, sf_dir, "documents")).withColumn("log_score", F.round("log_score", 4))
+
+
+SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') AS w FROM documents),
+one AS (SELECT x, count(*) AS c FROM (SELECT unnest(w) AS x FROM d) GROUP BY x),
+n AS (SELECT sum(c) AS n FROM one),
+pairs AS (SELECT doc_id, w[i] AS a, w[i + 1] AS b FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM d)),
+two AS (SELECT a, b, count(*) AS c2 FROM pairs GROUP BY a, b),
+s AS (SELECT doc_id, sum(ln(c2 / c)) AS s FROM pairs JOIN two USING (a, b) JOIN one ON x = a GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, round(CASE WHEN len(w) = 0 THEN 0.0 ELSE coalesce(s, 0) + ln(o.c / n) END, 4) AS log_score
+FROM d LEFT JOIN s USING (doc_id) LEFT JOIN one o ON o.x = w[1], n
+"""
