@@ -81,8 +81,8 @@ def key_of(page_id: int | None, url: str | None, digest: str) -> str:
     return f"{page_id}:{digest}:{url}"
 
 
-def with_first(pages: DataFrame) -> DataFrame:
-    """pages (page_id, url, html) with first: page_id and url of the payload's response; null for responses."""
+def with_first(pages: DataFrame, parts: int) -> DataFrame:
+    """pages (page_id, url, html) with first: page_id and url of the payload's response; null for responses. Repeated rows lie in one partition."""
     html = F.coalesce("html", F.lit(""))
     pages = pages.select("page_id", "url", html.alias("html"), F.sha1(html.cast("binary")).alias("digest"))
     keys = pages.select("page_id", "url", "digest", F.octet_length("html").alias("size")).distinct()
@@ -90,16 +90,17 @@ def with_first(pages: DataFrame) -> DataFrame:
     # The rows of one payload may be a third of all: they meet its largest id in SALTS places.
     salted = first.select("digest", "size", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     revisits = keys.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(salted, ["digest", "size", "salt"])
-    revisits = revisits.where(~F.col("page_id").eqNullSafe(F.col("first.page_id"))).select(F.col("page_id").alias("own"), F.col("url").alias("own_url"), F.col("digest").alias("own_digest"), "first")
-    same = F.col("page_id").eqNullSafe(F.col("own")) & F.col("url").eqNullSafe(F.col("own_url")) & (F.col("digest") == F.col("own_digest"))
-    return pages.join(revisits, same, "left").select("page_id", "url", "html", "first")
+    # One key without nulls: html moves to its partition once, and the join needs no other.
+    key = F.concat_ws(" ", F.coalesce(F.col("page_id").cast("string"), F.lit("-")), "digest", F.coalesce(F.concat(F.lit("="), "url"), F.lit("-")))
+    revisits = revisits.where(~F.col("page_id").eqNullSafe(F.col("first.page_id"))).select(key.alias("key"), "first")
+    return pages.withColumn("key", key).repartition(parts, "key").join(revisits, "key", "left").select("page_id", "url", "html", "first")
 
 
 def write_archives(pages: DataFrame, folder: str) -> list[str]:
     """Write pages (page_id, url, html) as archives in folder; return their paths."""
     common.ship(pages.sparkSession)
     n = common.parts_for(pages, ARCHIVE_BYTES)
-    ready = with_first(pages).repartition(n, "page_id", "url", F.octet_length("html"))
+    ready = with_first(pages, n)
 
     def write(batches):
         fs, root = common.filesystem(folder)
