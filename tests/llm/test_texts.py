@@ -137,10 +137,11 @@ def brute_classes(rows, t=0.8):
             x = parent[x]
         return x
 
+    cut = [words(a) for _, a in rows]
     for i, (_, a) in enumerate(rows):
         for j in range(i):
             b = rows[j][1]
-            if (a or "") == (b or "") or (words(a) and words(b) and near_duplicates.similar(words(a), words(b), t)):
+            if (a or "") == (b or "") or (cut[i] and cut[j] and min(len(cut[i]), len(cut[j])) >= 0.79 * max(len(cut[i]), len(cut[j])) and near_duplicates.similar(cut[i], cut[j], t)):
                 parent[find(i)] = find(j)
     ids = defaultdict(list)
     for i, (d, _) in enumerate(rows):
