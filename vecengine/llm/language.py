@@ -25,8 +25,8 @@ from vecengine.llm import common
 DIMENSIONS, SEED = 1024, 7
 #: Letters below this code point have vectors of their own; others share the vectors of as many classes again.
 OWN_LETTERS = 1 << 11
-#: Distinct trigrams of a batch whose vectors are kept at hand together (4 KB each).
-SHARED_TRIGRAMS = 30_000
+#: Rows of a batch; distinct trigrams of it whose vectors are kept at hand together (4 KB each).
+ROWS, SHARED_TRIGRAMS = 128, 20_000
 UNDETERMINED = "und"
 RESULT = "doc_id long, held_out boolean, lang_pred string, score double"
 _tables: dict[str, np.ndarray] = {}
@@ -85,12 +85,17 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("null")).cast("binary")) % 4 == 2
 
 
+def _ready() -> None:
+    common.claim("language", _tables.clear)
+
+
 def learn(docs: DataFrame) -> dict[str, np.ndarray]:
     """A prototype of length 1 for each language of docs (text, lang)."""
     common.ship(docs.sparkSession)
     ddl = "lang string, vector array<long>"
 
     def partial(batches):
+        _ready()
         sums: dict[str, np.ndarray] = {}
         for batch in common.slices(batches):
             by: dict[str, list[np.ndarray]] = {}
@@ -110,6 +115,7 @@ def learn(docs: DataFrame) -> dict[str, np.ndarray]:
 
 def predict(texts: list[str], names: list[str], matrix: np.ndarray) -> tuple[list[str], list[float]]:
     """Languages and scores of texts under the prototypes that are the rows of matrix."""
+    _ready()
     found = [counted(trigrams(t)) for t in texts]
     distinct, where = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
     vectors = bound_vectors(distinct).astype(np.float32) if len(distinct) <= SHARED_TRIGRAMS else None
@@ -143,7 +149,7 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray]) -> DataFrame:
         langs, scores = predict(common.texts_of(batch), names, matrix)
         return {"doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "lang_pred": langs, "score": scores}
 
-    return common.map_batches(docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out")), run, RESULT)
+    return common.map_batches(docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out")), run, RESULT, ROWS)
 
 
 def with_language(docs: DataFrame, prototypes: dict[str, np.ndarray]) -> DataFrame:
@@ -153,7 +159,7 @@ def with_language(docs: DataFrame, prototypes: dict[str, np.ndarray]) -> DataFra
     at = docs.columns.index("lang")
 
     def run(batches):
-        for batch in common.slices(batches):
+        for batch in common.slices(batches, ROWS):
             langs, _ = predict(common.texts_of(batch), names, matrix)
             lang = pa.array([own if own is not None else new for own, new in zip(batch.column("lang").to_pylist(), langs, strict=True)], batch.schema.field(at).type)
             kept = pa.array([x != UNDETERMINED for x in langs])

@@ -111,6 +111,7 @@ def read_scores(model_path: str) -> dict[str, float]:
 
 def counter(model_path: str) -> TrieCounter:
     """This worker's counter."""
+    common.claim("token_counts", _counters.clear)
     if model_path not in _counters:
         _counters[model_path] = TrieCounter(read_scores(model_path))
     return _counters[model_path]
