@@ -185,6 +185,24 @@ def test_hot_buckets_and_chains(spark, monkeypatch):
     assert all(got[i] == i for i in range(90)) and {got[i] for i in range(100, 110)} == {100}
 
 
+def classes_of(spark, rows):
+    return {r.doc_id: r.class_id for r in near_duplicates.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+
+
+def test_near_pairs_in_a_crowded_bucket(spark, monkeypatch):
+    """Pairs that share only a passage of 90 unlike texts, and with it most of their words, are found among those, in many blocks."""
+    rng = np.random.default_rng(4)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    passage, rows = list(rng.choice(vocabulary, 60)), []
+    for i in range(0, 180, 2):
+        own = list(rng.choice(vocabulary, 30))
+        rows.append((i, " ".join(passage + own)))
+        if i < 16:
+            rows.append((i + 1, " ".join(passage + [w if k % 2 else f"x{i}_{k}" for k, w in enumerate(own)])))  # 75 of 90 words, J = 0.48
+    monkeypatch.setattr(near_duplicates, "HOT_DEEP", 16)
+    assert classes_of(spark, rows) == {i: i - i % 2 for i, _ in rows}
+
+
 def lm_brute(rows, train):
     one, two = Counter(), Counter()
     for _, t in train:

@@ -9,13 +9,14 @@ Steps, each cut by a table in the shared folder:
 1. Equal texts become one class by their SHA-256; only classes go on, so copies never meet each other again.
 2. Each tuple's bucket has a hub, its least text. Every text is aligned with the least of its hubs; verified pairs
    are links, and links become components. A large family of near copies is one component after this, by one alignment a text.
-3. In each bucket the least text of each component stands for it, and those of different components whose lengths allow it
-   are aligned pairwise. Buckets of more than HOT components, such as those of a passage that many texts share, are first split by the
-   tuple of DEEP least k-mers of the same order. So rows of pairs are at most in proportion to rows of buckets. Should more than HOT_DEEP
-   unlike components share even such a tuple, each meets the bucket's hub, another text in each of the SEEDS orders.
-4. Components of all links are the classes; a class's id is its least doc_id.
-
-Buckets are aggregated before they are joined, joins are plain equi-joins whose skewed partitions Spark splits, and no group is
+3. A round that only saves work: in each bucket the least text of each component stands for it. Up to HOT of them meet
+   pairwise, more of them meet the bucket's hub. Links are added to the components.
+4. The exact rest: in each bucket that still has several components their heads meet pairwise. Large buckets are dealt
+   into blocks of HOT_DEEP, and each pair of blocks is a task's group of its own, so that nothing is dropped and no task has a whole bucket.
+5. Components of all links are the classes; a class's id is its least doc_id.
+
+Texts that meet are aligned unless their bags of words, as counts of BAG hashed words, are already too far apart: a bound that
+loses no pair. Buckets are aggregated before they are joined, joins are plain equi-joins whose skewed partitions Spark splits, and no group is
 ever gathered in one place. Components come from alternating large and small stars.
 
 Defined results: null text is empty; texts without words equal each other only if they are the same; null doc_id gets
@@ -26,6 +27,7 @@ columns are ignored; a document alike to none has its own id as class_id.
 from __future__ import annotations
 
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,11 +36,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecengine.llm import common
-from vecengine.llm.fingerprints import MULTIPLIER, WORD, mixed, shingle_hashes
+from vecengine.llm.fingerprints import MULTIPLIER, WORD, mixed, shingle_hashes, word_hashes
 
-THRESHOLD, SEEDS, DEPTH, DEEP = 0.8, 32, 3, 6
-#: Components in a bucket beyond which it is split by the deeper tuples, and in a deeper bucket beyond which they meet its hub only.
-HOT, HOT_DEEP = 8, 64
+THRESHOLD, SEEDS, DEPTH = 0.8, 32, 3
+#: Components in a bucket beyond which they meet its hub before they meet each other; texts of a block of a large bucket; counts of a bag.
+HOT, HOT_DEEP, BAG = 8, 1024, 128
 _rng = np.random.default_rng(11)
 XORS, FACTORS, ORDERS = (_rng.integers(0, 1 << 63, (3, SEEDS, 1), dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1))
 
@@ -57,26 +59,24 @@ def labelled(kmers: np.ndarray) -> np.ndarray:
     return np.where(number > 0, mixed(kmers + number * MULTIPLIER), kmers)
 
 
-def order_min_hash(kmers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Per seed the keys of the tuples of DEPTH and of DEEP least labelled k-mers, in text order."""
+def order_min_hash(kmers: np.ndarray) -> tuple[np.ndarray]:
+    """Per seed the key of the tuple of DEPTH least labelled k-mers, in text order."""
     own, n = labelled(kmers), len(kmers)
     step = max(1, min(SEEDS, (1 << 21) // n))
-    least = []
+    least, depth = [], min(DEPTH, n)
     for i in range(0, SEEDS, step):
         ranks = ((own ^ XORS[i : i + step]) * FACTORS[i : i + step])
         ranks = (ranks ^ (ranks >> np.uint64(32))) * ORDERS[i : i + step]
-        deep = min(DEEP, n)
-        some = np.argpartition(ranks, deep - 1, axis=1)[:, :deep] if deep < n else np.tile(np.arange(n), (len(ranks), 1))
-        least.append(np.take_along_axis(some, np.argsort(np.take_along_axis(ranks, some, 1), axis=1), 1))
-    least = np.concatenate(least)
-    keys = []
-    for depth in (DEPTH, DEEP):
-        at = np.sort(least[:, :depth], axis=1)  # the order of the text
-        key = XORS[:, 0].copy()
-        for column in at.T:
-            key = mixed(key * MULTIPLIER + own[column])
-        keys.append(key.view(np.int64))
-    return keys[0], keys[1]
+        least.append(np.argpartition(ranks, depth - 1, axis=1)[:, :depth])
+    key = XORS[:, 0].copy()
+    for column in np.sort(np.concatenate(least), axis=1).T:  # the order of the text
+        key = mixed(key * MULTIPLIER + own[column])
+    return (key.view(np.int64),)
+
+
+def bag_of(words: np.ndarray) -> bytes:
+    """How many of the words (hashes) fall into each of BAG classes, up to 255."""
+    return np.minimum(np.bincount((words % np.uint64(BAG)).astype(np.int64), minlength=BAG), 255).astype(np.uint8).tobytes()
 
 
 def banded_distance(a: list, b: list, limit: int) -> int | None:
@@ -124,18 +124,15 @@ def text_key(text: Column) -> Column:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, h (of the text), number of words and the keys of each document."""
-    ddl = "doc_id long, h binary, n_words int, keys array<long>, deep array<long>"
+    """doc_id, h (of the text), number of words, the keys and the bag of each document."""
+    ddl = "doc_id long, h binary, n_words int, keys array<long>, bag binary"
 
     def run(batch: pa.RecordBatch) -> dict:
-        texts, keys, deep, sizes = common.texts_of(batch), [], [], []
-        for kmers, text in zip(shingle_hashes(texts), texts, strict=True):
-            n = len(kmers)
-            a, b = order_min_hash(kmers) if n else (kmers, kmers)
-            keys.append(a)
-            deep.append(b)
-            sizes.append(n + 4 if n > 1 else len(WORD.findall(text.lower())))
-        return {"doc_id": batch.column("doc_id"), "h": batch.column("h"), "n_words": sizes, "keys": keys, "deep": deep}
+        texts = common.texts_of(batch)
+        words, sizes = word_hashes(texts)
+        own = np.split(words, np.cumsum(sizes)[:-1])
+        keys = [order_min_hash(kmers)[0] if len(kmers) else [] for kmers in shingle_hashes(texts)]
+        return {"doc_id": batch.column("doc_id"), "h": batch.column("h"), "n_words": sizes, "keys": keys, "bag": [bag_of(w) for w in own]}
 
     return common.map_batches(docs.select("doc_id", "text", text_key(F.col("text")).alias("h")), run, ddl)
 
@@ -174,14 +171,81 @@ def lengths_allow(a: str, b: str, threshold: float) -> Column:
     return F.least(a, b) >= F.greatest(a, b) * threshold - 1e-9
 
 
+def meetings(rows: DataFrame, threshold: float) -> DataFrame:
+    """Distinct pairs (a < b) of texts of one group (key, lo, hi) that have unlike labels and may be similar by their lengths and bags.
+
+    rows have key, lo, hi, side, h, label, n_words and bag. Where lo = hi all texts of the group meet, else those of side lo meet those of side hi.
+    """
+    common.ship(rows.sparkSession)
+    ddl = "a binary, b binary"
+
+    def pairs_of(group: list[np.ndarray]):
+        """Numbers of the pairs of a group."""
+        side, labels, n, bags = group
+        across = side[0] != side[-1]  # sorted by side
+        cut = int(np.searchsorted(side, side[-1])) if across else 0
+        for i in range(cut if across else len(n) - 1):
+            rest = slice(cut if across else i + 1, None)
+            longer = np.maximum(n[rest], n[i])
+            limit = np.floor((1 - threshold) * longer + 1e-9)
+            open_ = np.flatnonzero((labels[rest] != labels[i]).any(axis=1) & (np.abs(n[rest] - n[i]) <= limit))
+            if len(open_):
+                # An edit changes the counts by 2 at most where it replaces a word, and by 1 where the lengths differ.
+                apart = np.abs(bags[rest][open_] - bags[i]).sum(axis=1, dtype=np.int64)
+                near = open_[apart + np.abs(n[rest][open_] - n[i]) <= 2 * limit[open_]]
+                yield i, near + rest.start
+
+    def run(batches):
+        schema, held = common.schema_of(ddl), None
+        for batch in chain(batches, [None]):
+            if batch is not None and batch.num_rows:
+                table = pa.Table.from_batches([batch])
+                held = table if held is None else pa.concat_tables([held, table])
+            if held is None or (batch is not None and not batch.num_rows):
+                continue
+            group = np.stack([held[c].to_numpy().astype(np.int64) for c in ("key", "lo", "hi")])
+            edges = np.concatenate(([0], np.flatnonzero((group[:, 1:] != group[:, :-1]).any(axis=0)) + 1, [held.num_rows]))
+            if batch is not None:
+                edges = edges[:-1]  # the last group may go on
+            whole = held.slice(0, int(edges[-1]))
+            held = held.slice(int(edges[-1]))
+            if whole.num_rows:
+                hs = whole["h"].to_pylist()
+                side, n = whole["side"].to_numpy(), whole["n_words"].to_numpy().astype(np.int64)
+                labels = np.frombuffer(b"".join(whole["label"].to_pylist()), np.uint64).reshape(-1, 2)
+                bags = np.frombuffer(b"".join(whole["bag"].to_pylist()), np.uint8).reshape(-1, BAG).astype(np.int16)
+                a, b = [], []
+                for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                    if j - i > 1:
+                        for x, near in pairs_of([side[i:j], labels[i:j], n[i:j], bags[i:j]]):
+                            for y in near.tolist():
+                                u, v = hs[i + x], hs[i + y]
+                                a.append(min(u, v))
+                                b.append(max(u, v))
+                    if len(a) > 50_000:
+                        yield pa.RecordBatch.from_pydict({"a": a, "b": b}, schema=schema)
+                        a, b = [], []
+                yield pa.RecordBatch.from_pydict({"a": a, "b": b}, schema=schema)
+
+    rows = rows.select("key", "lo", "hi", "side", "h", "label", "n_words", "bag")
+    return rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "side").mapInArrow(run, ddl).distinct()
+
+
+def in_blocks(rows: DataFrame) -> DataFrame:
+    """rows (with n, the size of their bucket) with lo, hi and side, so that all texts of a bucket meet each other: in one group up to HOT_DEEP, else once for each pair of blocks."""
+    blocks = F.ceil(F.col("n") / HOT_DEEP).cast("int")
+    dealt = rows.withColumn("side", F.pmod(F.xxhash64("h"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    return dealt.withColumn("lo", F.least("side", "other")).withColumn("hi", F.greatest("side", "other"))
+
+
 def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, class_id (the least doc_id of the class), h (the text's digest) and root (the class's, the least of its texts') of each row of docs (doc_id, text)."""
     docs = docs.select("doc_id", "text")
     found = common.written(sketches(docs), "sketches")
-    texts = found.groupBy("h").agg(F.min("doc_id").alias("rep_id"), F.first("n_words").alias("n_words"), F.first("keys").alias("keys"), F.first("deep").alias("deep"))
+    texts = found.groupBy("h").agg(F.min("doc_id").alias("rep_id"), F.first("n_words").alias("n_words"), F.first("keys").alias("keys"), F.first("bag").alias("bag"))
     texts = common.written(texts, "texts")
 
-    rows = texts.select("h", "n_words", F.posexplode("keys").alias("seed", "key"))
+    rows = texts.select("h", "n_words", F.explode("keys").alias("key"))
     shared = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("h").alias("hub")).where("n > 1").select("key", "hub")
     shared = common.written(rows.join(shared, "key"), "buckets")
 
@@ -205,25 +269,25 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> Dat
     links = checked.where("ok").select("a", "b")
     stars = components(links)
 
-    # One text for each component in each bucket; pairs of different components.
-    label = F.coalesce("v", "h").alias("label")
-    members = shared.join(stars, shared["h"] == stars["u"], "left").select("key", "h", "n_words", "seed", label)
-    heads = members.groupBy("key", "label").agg(F.min(F.struct("h", "n_words", "seed")).alias("x")).select("key", "label", "x.*")
-    open_keys = heads.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    heads = common.written(heads.join(open_keys, "key"), "heads")
-    warm = heads.where(F.col("n") <= HOT).select("key", "label", "h", "n_words")
-    deep = heads.where(F.col("n") > HOT).join(texts.select("h", "deep"), "h").select(F.element_at("deep", F.col("seed") + 1).alias("key"), "label", "h", "n_words")
-    deep = common.written(deep, "deep")
-    counts = deep.groupBy("key").agg(F.count("*").alias("n"), F.min_by(F.struct("h", "label", "n_words"), F.xxhash64("key", "h")).alias("hub")).where("n > 1")
-    deep = common.written(deep.join(counts, "key"), "deep")
-    warm = warm.unionByName(deep.where(F.col("n") <= HOT_DEEP).select("key", "label", "h", "n_words"))
-    x, y = warm.alias("x"), warm.alias("y")
-    meets = (F.col("x.key") == F.col("y.key")) & (F.col("x.label") < F.col("y.label")) & lengths_allow("x.n_words", "y.n_words", threshold)
-    pairs = x.join(y, meets).select(F.col("x.h").alias("a"), F.col("y.h").alias("b"))
-    to_hub = deep.where((F.col("n") > HOT_DEEP) & (F.col("label") != F.col("hub.label")) & lengths_allow("n_words", "hub.n_words", threshold)).select(F.col("h").alias("a"), F.col("hub.h").alias("b"))
-    pairs = pairs.unionByName(to_hub).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(checked, ["a", "b"], "left_anti")
-    more = verified(pairs, bodies, threshold).where("ok").select("a", "b")
-    stars = components(stars.select(F.col("v").alias("a"), F.col("u").alias("b")).unionByName(more))
+    # One text for each component in each bucket, of buckets with more than one.
+    def heads_of(stars: DataFrame) -> DataFrame:
+        label = F.coalesce("v", "h").alias("label")
+        members = shared.join(stars, shared["h"] == stars["u"], "left").select("key", "h", "n_words", label)
+        heads = members.groupBy("key", "label").agg(F.min(F.struct("h", "n_words")).alias("x")).select("key", "label", "x.*")
+        open_keys = heads.groupBy("key").agg(F.count("*").alias("n"), F.min_by("h", F.xxhash64("key", "h")).alias("hub")).where("n > 1")
+        return common.written(heads.join(open_keys, "key").join(texts.select("h", "bag"), "h"), "heads")
+
+    def joined(stars: DataFrame, rows: DataFrame, checked: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The components with the links between rows that meet, and the pairs checked so far."""
+        new = common.written(verified(meetings(rows, threshold).join(checked, ["a", "b"], "left_anti"), bodies, threshold), "checked")
+        more = new.where("ok").select("a", "b")
+        return components(stars.select(F.col("v").alias("a"), F.col("u").alias("b")).unionByName(more)), checked.unionByName(new)
+
+    checked = checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "ok")
+    side = F.when((F.col("n") > HOT) & (F.col("h") != F.col("hub")), 1).otherwise(0)
+    first = heads_of(stars).select("*", F.lit(0).alias("lo"), F.when(F.col("n") > HOT, 1).otherwise(0).alias("hi"), side.alias("side"))
+    stars, checked = joined(stars, first, checked)
+    stars, checked = joined(stars, in_blocks(heads_of(stars)), checked)
 
     ids = texts.select("h", "rep_id")
     nodes = stars.select(F.col("u").alias("h"), "v").unionByName(stars.select(F.col("v").alias("h"), "v").distinct()).join(ids, "h")
