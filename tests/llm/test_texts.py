@@ -203,6 +203,21 @@ def test_near_pairs_in_a_crowded_bucket(spark, monkeypatch):
     assert classes_of(spark, rows) == {i: i - i % 2 for i, _ in rows}
 
 
+def test_links_of_texts_that_are_no_heads(spark):
+    """A text is linked although in each of its buckets a text of its own component, unlike the other, comes before it."""
+    rng = np.random.default_rng(6)
+    base = list(rng.choice([f"w{i}" for i in range(5000)], 100))
+    edit = lambda at, n, name: " ".join(f"{name}{k}" if at <= k < at + n else w for k, w in enumerate(base))
+
+    def marked(text, low):
+        """text with signs that change its digest only: to one of the least, or to one of the largest."""
+        return next(t for k in range(100_000) if (hashlib.sha256((t := text + "." * k).encode()).hexdigest()[:2] == "00") == low and (low or hashlib.sha256(t.encode()).hexdigest()[0] == "f"))
+
+    rows = [(1, marked(edit(0, 18, "b"), False)), (2, marked(" ".join(base), False))]
+    rows += [(3 + i, marked(edit(18 + 10 * i, 10, f"s{i}_"), True)) for i in range(8)]
+    assert set(classes_of(spark, rows).values()) == {1}
+
+
 def lm_brute(rows, train):
     one, two = Counter(), Counter()
     for _, t in train:

@@ -11,7 +11,8 @@ Steps, each cut by a table in the shared folder:
    are links, and links become components. A large family of near copies is one component after this, by one alignment a text.
 3. A round that only saves work: in each bucket the least text of each component stands for it. Up to HOT of them meet
    pairwise, more of them meet the bucket's hub. Links are added to the components.
-4. The exact rest: in each bucket that still has several components their heads meet pairwise. Large buckets are dealt
+4. The exact rest: in each bucket that still has several components all texts of different components meet, as a head that is unlike
+   says nothing of its component's other texts. Large buckets are dealt
    into blocks of HOT_DEEP, and each pair of blocks is a task's group of its own, so that nothing is dropped and no task has a whole bucket.
 5. Components of all links are the classes; a class's id is its least doc_id.
 
@@ -269,13 +270,14 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> Dat
     links = checked.where("ok").select("a", "b")
     stars = components(links)
 
-    # One text for each component in each bucket, of buckets with more than one.
-    def heads_of(stars: DataFrame) -> DataFrame:
+    # The texts in buckets with more than one component, or one text for each component there.
+    def members_of(stars: DataFrame, heads: bool) -> DataFrame:
         label = F.coalesce("v", "h").alias("label")
         members = shared.join(stars, shared["h"] == stars["u"], "left").select("key", "h", "n_words", label)
-        heads = members.groupBy("key", "label").agg(F.min(F.struct("h", "n_words")).alias("x")).select("key", "label", "x.*")
-        open_keys = heads.groupBy("key").agg(F.count("*").alias("n"), F.min_by("h", F.xxhash64("key", "h")).alias("hub")).where("n > 1")
-        return common.written(heads.join(open_keys, "key").join(texts.select("h", "bag"), "h"), "heads")
+        if heads:
+            members = members.groupBy("key", "label").agg(F.min(F.struct("h", "n_words")).alias("x")).select("key", "label", "x.*")
+        open_keys = members.groupBy("key").agg(F.count("*").alias("n"), F.min_by("h", F.xxhash64("key", "h")).alias("hub"), F.min("label").alias("l"), F.max("label").alias("m")).where("l < m").drop("l", "m")
+        return common.written(members.join(open_keys, "key").join(texts.select("h", "bag"), "h"), "members")
 
     def joined(stars: DataFrame, rows: DataFrame, checked: DataFrame) -> tuple[DataFrame, DataFrame]:
         """The components with the links between rows that meet, and the pairs checked so far."""
@@ -285,9 +287,9 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> Dat
 
     checked = checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "ok")
     side = F.when((F.col("n") > HOT) & (F.col("h") != F.col("hub")), 1).otherwise(0)
-    first = heads_of(stars).select("*", F.lit(0).alias("lo"), F.when(F.col("n") > HOT, 1).otherwise(0).alias("hi"), side.alias("side"))
+    first = members_of(stars, heads=True).select("*", F.lit(0).alias("lo"), F.when(F.col("n") > HOT, 1).otherwise(0).alias("hi"), side.alias("side"))
     stars, checked = joined(stars, first, checked)
-    stars, checked = joined(stars, in_blocks(heads_of(stars)), checked)
+    stars, checked = joined(stars, in_blocks(members_of(stars, heads=False)), checked)
 
     ids = texts.select("h", "rep_id")
     nodes = stars.select(F.col("u").alias("h"), "v").unionByName(stars.select(F.col("v").alias("h"), "v").distinct()).join(ids, "h")
