@@ -218,6 +218,28 @@ def test_links_of_texts_that_are_no_heads(spark):
     assert set(classes_of(spark, rows).values()) == {1}
 
 
+def test_short_texts_and_spread_edits(spark):
+    """Any word of a short text may be replaced, left out or added; long texts may be edited evenly up to the threshold."""
+    rng = np.random.default_rng(8)
+    vocabulary, rows, want, number = [f"w{i}" for i in range(5000)], [], {}, iter(range(10_000))
+
+    def add(*texts):
+        ids = [next(number) for _ in texts]
+        rows.extend((i, " ".join(t)) for i, t in zip(ids, texts, strict=True))
+        want.update(dict.fromkeys(ids, ids[0]))
+
+    for n in range(5, 20):
+        for at in range(n):
+            t = list(rng.choice(vocabulary, n))
+            edits = [[*t[:at], "new", *t[at + 1 :]], [*t[:at], "more", *t[at:]]]
+            add(t, *(edits if n > 5 else edits[:1]), *([t[:at] + t[at + 1 :]] if n > 5 else []))
+    for n in (10, 15, 20, 30, 40, 45, 50, 60, 100, 300, 1000):
+        for step in (5, 7, 10):
+            t = list(rng.choice(vocabulary, n))
+            add(t, [f"x{n}_{step}_{k}" if k % step == 2 else w for k, w in enumerate(t)])
+    assert classes_of(spark, rows) == want
+
+
 def lm_brute(rows, train):
     one, two = Counter(), Counter()
     for _, t in train:

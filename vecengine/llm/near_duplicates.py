@@ -1,10 +1,16 @@
 """Near-duplicate documents by Order MinHash (op 6).
 
-A text's k-mers are its five-word shingles, each labelled with its number among equal ones. For each of SEEDS random orders
+A text's k-mers are its pairs of neighbouring words, each labelled with its number among equal ones. For each of SEEDS random orders
 the sketch takes the DEPTH least labelled k-mers and keeps them in the order of the text; two texts that share such a tuple are candidates.
 Unlike MinHash this sees repeats and order, and so edit similarity. Candidates are verified by banded alignment:
 the edit distance of their words within the band that the threshold allows, 1 - distance / (words of the longer) >= 0.8.
 
+Lengths decide what a text is found by, in bands that overlap so that each pair whose lengths allow the threshold shares a band:
+- up to SHORT words: all that is left of the text without as many words as the threshold lets go, so that every similar pair is found;
+- up to MEDIUM words: tuples of DEPTH - 1, as few k-mers survive an edit; beyond: tuples of DEPTH.
+Edits that are spread as evenly as can be leave 3 of 5 pairs of words at the threshold, J = 0.43, the least that a long text can have with
+replaced words; it is found with 1 - (1 - J^3)^64 = 0.995.
+
 Steps, each cut by a table in the shared folder:
 1. Equal texts become one class by their SHA-256; only classes go on, so copies never meet each other again.
 2. Each tuple's bucket has a hub, its least text. Every text is aligned with the least of its hubs; verified pairs
@@ -28,7 +34,8 @@ columns are ignored; a document alike to none has its own id as class_id.
 from __future__ import annotations
 
 from collections import Counter
-from itertools import chain
+from functools import lru_cache
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -37,9 +44,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecengine.llm import common
-from vecengine.llm.fingerprints import MULTIPLIER, WORD, mixed, shingle_hashes, word_hashes
+from vecengine.llm.fingerprints import MULTIPLIER, WORD, mixed, word_hashes
 
-THRESHOLD, SEEDS, DEPTH = 0.8, 32, 3
+THRESHOLD, SEEDS, DEPTH = 0.8, 64, 3
+#: Words up to which texts are found by what is left of them without some words, and up to which by tuples of DEPTH - 1.
+SHORT, MEDIUM = 14, 49
 #: Components in a bucket beyond which they meet its hub before they meet each other; texts of a block of a large bucket; counts of a bag.
 HOT, HOT_DEEP, BAG = 8, 1024, 128
 _rng = np.random.default_rng(11)
@@ -60,19 +69,55 @@ def labelled(kmers: np.ndarray) -> np.ndarray:
     return np.where(number > 0, mixed(kmers + number * MULTIPLIER), kmers)
 
 
-def order_min_hash(kmers: np.ndarray) -> tuple[np.ndarray]:
-    """Per seed the key of the tuple of DEPTH least labelled k-mers, in text order."""
+def order_min_hash(kmers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per seed the keys of the tuples of DEPTH and of DEPTH - 1 least labelled k-mers, in text order."""
     own, n = labelled(kmers), len(kmers)
     step = max(1, min(SEEDS, (1 << 21) // n))
     least, depth = [], min(DEPTH, n)
     for i in range(0, SEEDS, step):
         ranks = ((own ^ XORS[i : i + step]) * FACTORS[i : i + step])
         ranks = (ranks ^ (ranks >> np.uint64(32))) * ORDERS[i : i + step]
-        least.append(np.argpartition(ranks, depth - 1, axis=1)[:, :depth])
-    key = XORS[:, 0].copy()
-    for column in np.sort(np.concatenate(least), axis=1).T:  # the order of the text
-        key = mixed(key * MULTIPLIER + own[column])
-    return (key.view(np.int64),)
+        some = np.argpartition(ranks, depth - 1, axis=1)[:, :depth]
+        least.append(np.take_along_axis(some, np.argsort(np.take_along_axis(ranks, some, 1), axis=1), 1))
+    least = np.concatenate(least)
+    keys = []
+    for some in (least, least[:, : DEPTH - 1]):
+        key = XORS[:, 0].copy()
+        for column in np.sort(some, axis=1).T:  # the order of the text
+            key = mixed(key * MULTIPLIER + own[column])
+        keys.append(key.view(np.int64))
+    return keys[0], keys[1]
+
+
+@lru_cache(None)
+def _kept(n: int, left: int) -> np.ndarray:
+    return np.array(list(combinations(range(n), left)), np.int64).T
+
+
+def shortened(words: np.ndarray, drop: int) -> np.ndarray:
+    """Keys of all that is left of words without up to drop of them. Two texts within drop edits share one."""
+    keys = []
+    for left in range(len(words), len(words) - drop - 1, -1):
+        kept = _kept(len(words), left)
+        key = np.full(kept.shape[1], MULTIPLIER)
+        for at in kept:
+            key = mixed(key * MULTIPLIER + words[at])
+        keys.append(key.view(np.int64))
+    return np.concatenate(keys)
+
+
+def keys_of(words: np.ndarray, threshold: float = THRESHOLD) -> np.ndarray:
+    """The keys of a text's words (hashes): texts that share one are candidates."""
+    n, keys = len(words), []
+    if 0 < n <= SHORT:
+        keys.append(shortened(words, int((1 - threshold) * n + 1e-9)))
+    if n > 1 and n >= threshold * (SHORT + 1) - 1e-9:
+        deep, flat = order_min_hash(mixed(words[:-1] * MULTIPLIER + words[1:]))
+        if n <= MEDIUM:
+            keys.append(flat)
+        if n >= threshold * (MEDIUM + 1) - 1e-9:
+            keys.append(deep)
+    return np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
 
 
 def bag_of(words: np.ndarray) -> bytes:
@@ -124,7 +169,7 @@ def text_key(text: Column) -> Column:
     return F.unhex(F.substring(F.sha2(F.coalesce(text, F.lit("")), 256), 1, 32))
 
 
-def sketches(docs: DataFrame) -> DataFrame:
+def sketches(docs: DataFrame, threshold: float) -> DataFrame:
     """doc_id, h (of the text), number of words, the keys and the bag of each document."""
     ddl = "doc_id long, h binary, n_words int, keys array<long>, bag binary"
 
@@ -132,8 +177,7 @@ def sketches(docs: DataFrame) -> DataFrame:
         texts = common.texts_of(batch)
         words, sizes = word_hashes(texts)
         own = np.split(words, np.cumsum(sizes)[:-1])
-        keys = [order_min_hash(kmers)[0] if len(kmers) else [] for kmers in shingle_hashes(texts)]
-        return {"doc_id": batch.column("doc_id"), "h": batch.column("h"), "n_words": sizes, "keys": keys, "bag": [bag_of(w) for w in own]}
+        return {"doc_id": batch.column("doc_id"), "h": batch.column("h"), "n_words": sizes, "keys": [keys_of(w, threshold) for w in own], "bag": [bag_of(w) for w in own]}
 
     return common.map_batches(docs.select("doc_id", "text", text_key(F.col("text")).alias("h")), run, ddl)
 
@@ -242,7 +286,7 @@ def in_blocks(rows: DataFrame) -> DataFrame:
 def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, class_id (the least doc_id of the class), h (the text's digest) and root (the class's, the least of its texts') of each row of docs (doc_id, text)."""
     docs = docs.select("doc_id", "text")
-    found = common.written(sketches(docs), "sketches")
+    found = common.written(sketches(docs, threshold), "sketches")
     texts = found.groupBy("h").agg(F.min("doc_id").alias("rep_id"), F.first("n_words").alias("n_words"), F.first("keys").alias("keys"), F.first("bag").alias("bag"))
     texts = common.written(texts, "texts")
 
