@@ -55,7 +55,8 @@ ENCODINGS = (
     ("base64url", "[A-Za-z0-9_-]+", UPPER + LOWER + DIGITS + "-_", 2.0),
     ("other", ".+", UPPER + LOWER + DIGITS + "+/-_", 2.0),
 )
-BINS = 60
+#: The last bin is p = 1e-100: no corpus has so many tokens that stronger evidence could matter, and the table of counts stays bounded.
+BINS = 1000
 
 
 def located(text: Column, pattern: str) -> Column:
@@ -87,8 +88,14 @@ def normal_tail(z: Column) -> Column:
     return F.exp(-z * z / 2) / math.sqrt(2 * math.pi) * poly
 
 
-def lower_tail(z: Column) -> Column:
-    return F.when(z <= 0, normal_tail(-z)).otherwise(1 - normal_tail(z))
+def log_lower_tail(z: Column) -> Column:
+    """The decimal logarithm of the chance that a standard normal variable is below z, however small: beyond -3 by the continued fraction of the tail."""
+    far = F.greatest(-z, F.lit(3.0))
+    fraction = far
+    for i in range(12, 0, -1):
+        fraction = far + i / fraction
+    near = F.when(z <= 0, normal_tail(F.least(-z, F.lit(3.0)))).otherwise(1 - normal_tail(F.greatest(z, F.lit(0.0))))
+    return F.when(z < -3, -far * far / (2 * math.log(10)) - math.log10(2 * math.pi) / 2 - F.log10(fraction)).otherwise(F.log10(near))
 
 
 def with_battery(tokens: Column) -> Column:
@@ -129,7 +136,7 @@ def with_battery(tokens: Column) -> Column:
     def judge(x: Column) -> Column:
         n, k, pairs = x["n"], x["k"], x["pairs"]
         x2, extra = k * x["squares"] / n - n, (n - 1) * x["excess"]
-        p = lower_tail((x2 - (k - 1 + extra)) / F.sqrt(2 * (k - 1 + 2 * extra)))
+        z = (x2 - (k - 1 + extra)) / F.sqrt(2 * (k - 1 + 2 * extra))
         too_much = (x2 - (k - 1)) / F.sqrt(2 * (k - 1) * (n - 1) / n)
         spread = pairs * (pairs - 1) / (n - 1)
         runs = F.when(spread > 0, F.abs(x["runs"] - pairs - 1) / F.sqrt(spread)).otherwise(99.0)
@@ -137,10 +144,14 @@ def with_battery(tokens: Column) -> Column:
         by_chance = (2 * normal_tail(runs) * 2 >= CHANCE) & (2 * normal_tail(serial) * 2 >= CHANCE) & ((too_much <= 0) | (normal_tail(F.greatest(too_much, F.lit(0.0))) >= CHANCE))
         return F.struct(
             x["start"].alias("start"), x["end"].alias("end"), F.concat_ws("/", x["encoding"], F.floor(F.log2(n)).cast("string")).alias("stratum"),
-            F.least(F.lit(BINS), F.floor(-10 * F.log10(F.greatest(p, F.lit(1e-9))) + 1e-9)).cast("int").alias("bin"), by_chance.alias("plausible"),
+            z.alias("z"), by_chance.alias("plausible"),
         )
 
-    for step in (read, measure, correlate, judge):
+    def binned(x: Column) -> Column:  # z is a field by now, so that it is computed once
+        bin = F.least(F.lit(BINS), F.floor(-10 * log_lower_tail(x["z"]) + 1e-9)).cast("int")
+        return F.struct(x["start"].alias("start"), x["end"].alias("end"), x["stratum"].alias("stratum"), bin.alias("bin"), x["plausible"].alias("plausible"))
+
+    for step in (read, measure, correlate, judge, binned):
         tokens = F.transform(tokens, step)
     return tokens
 
