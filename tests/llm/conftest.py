@@ -5,6 +5,11 @@ import pytest
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, lang_pred string, h string, part int, row string, spans string"
 
 
+def thue_morse(n, a="a", b="b"):
+    """The first n letters of the Thue-Morse word: polynomials modulo 2^64 don't tell it from the word with a and b swapped."""
+    return "".join(b if i.bit_count() % 2 else a for i in range(n))
+
+
 @pytest.fixture(scope="session")
 def odd_rows():
     """Nulls, empty and long texts, ties, repeated rows and white space of all kinds."""
@@ -18,6 +23,8 @@ def odd_rows():
         (1, base), (2, base), (2, base), (3, " ".join(near)), (4, text(80)), (4, text(70)),
         (5, None), (None, text(30)), (None, text(30)), (6, ""), (7, " "), (8, "  two  spaces \n\t and\x1c tabs   "), (9, "\n"),
         (10, "!!! ???"), (11, "one"), (12, "a b c"), (13, text(6000)), (14, "x" * 50000), (15, "ab" * 20000 + " " + "%" * 3000), (16, "ha " * 500),
+        (20, thue_morse(1024)), (21, thue_morse(1024, "b", "a")), (22, f"{thue_morse(2048)} so, {thue_morse(2048, 'b', 'a')}"), (23, f"{thue_morse(2048, 'b', 'a')} so, {thue_morse(2048)}"),
+        (24, thue_morse(65536, "x", "é")), (25, thue_morse(65536, "é", "x")), (26, f"in {thue_morse(128, 't', 'n')} it"), (27, f"in {thue_morse(128, 'n', 't')} it"),
         (17, "▁ mark ▁▁ here"), (18, "<|endoftext|> is text"), (19, "😀 é́ 🇩🇪   line"),
     ]
 

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,64 +25,67 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecengine.llm import common
+from vecengine.llm.hashing import MULTIPLIER, hashed, mixed
 
 K, SHINGLE_WORDS = 128, 5
 WORD = re.compile(r"\w+")
-MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+NO_WORD = re.compile(r"\W")
 #: Input bytes of one range of documents.
 PART_BYTES = 32 << 20
 RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_shingles long"
-#: Characters hashed at once; the base of the polynomial (odd, so that it has an inverse).
-SPAN_CHARS, BASE = 1 << 18, np.uint64(0xD1342543DE82EF95)
+#: Characters hashed at once; longer texts are cut between words.
+SPAN_CHARS = 1 << 18
 _cache: dict[str, np.ndarray] = {}
 
 
-def mixed(h: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit integers that spreads each bit (the finaliser of splitmix64)."""
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
-
-def hashing_tables(chars: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Which code points are letters, digits or underscores; a random number for each; powers of BASE and of its inverse."""
+def word_marks() -> np.ndarray:
+    """Which code points are letters, digits or underscores."""
     if "word" not in _cache:
         _cache["word"] = np.array([chr(c).isalnum() or c == 95 for c in range(0x110000)])
-        _cache["random"] = mixed(np.arange(0x110000, dtype=np.uint64) + MULTIPLIER)
-    if len(_cache.get("powers", ())) < chars:
-        n = max(chars, 1 << 16)
-        powers = [np.concatenate(([np.uint64(1)], np.cumprod(np.full(n - 1, base, np.uint64)))) for base in (BASE, np.uint64(pow(int(BASE), -1, 1 << 64)))]
-        _cache["powers"], _cache["inverse"] = powers
-    return _cache["word"], _cache["random"], _cache["powers"], _cache["inverse"]
+    return _cache["word"]
+
+
+def _segments(text: str) -> Iterator[str]:
+    """text, lower-cased, in stretches of about SPAN_CHARS that end between words."""
+    text, at = text.lower(), 0
+    while len(text) - at > SPAN_CHARS:
+        cut = NO_WORD.search(text, at + SPAN_CHARS)
+        if cut is None:
+            break
+        yield text[at : cut.start()]
+        at = cut.start()
+    yield text[at:] if at else text
 
 
 def word_hashes(texts: list[str]) -> tuple[np.ndarray, list[int]]:
-    """64-bit hashes of the words of all texts, in order, and the number of words of each text.
-
-    A word's hash is the polynomial of its characters' random numbers, as a difference of running sums: no word becomes an object.
-    """
-    hashes, sizes, at = [], [], 0
-    while at < len(texts):
-        stop, chars = at, 0
-        while stop < len(texts) and (stop == at or chars + len(texts[stop]) <= SPAN_CHARS):
-            chars += len(texts[stop])
-            stop += 1
-        h, n = _span_hashes([t.lower() for t in texts[at:stop]])
-        hashes.append(h)
-        sizes += n
-        at = stop
-    return np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), sizes
-
-
-def _span_hashes(texts: list[str]) -> tuple[np.ndarray, list[int]]:
-    codes = np.frombuffer(("\n".join(texts) + "\n").encode("utf-32-le"), np.uint32)
-    is_word, numbers, powers, inverse = hashing_tables(len(codes))
-    edges = np.flatnonzero(np.diff(is_word[codes], prepend=False))  # where words start and where they end, in turn
+    """64-bit hashes of the words of all texts, in order, and the number of words of each text. No word becomes an object."""
+    hashes, sizes, held, owners, chars = [], np.zeros(len(texts), np.int64), [], [], 0
+
+    def flush() -> None:
+        nonlocal held, owners, chars
+        if held:
+            h, n = _span_hashes(held)
+            hashes.append(h)
+            np.add.at(sizes, owners, n)
+        held, owners, chars = [], [], 0
+
+    for i, text in enumerate(texts):
+        for segment in _segments(text):
+            if chars + len(segment) > SPAN_CHARS:
+                flush()
+            held.append(segment)
+            owners.append(i)
+            chars += len(segment)
+    flush()
+    return np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), sizes.tolist()
+
+
+def _span_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    codes = np.frombuffer(("\n".join(texts) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
+    edges = np.flatnonzero(np.diff(word_marks()[codes], prepend=False))  # where words start and where they end, in turn
     starts, ends = edges[::2], edges[1::2]
-    sums = np.cumsum(numbers[codes] * powers[: len(codes)])
-    hashes = mixed((sums[ends - 1] - np.where(starts > 0, sums[starts - 1], np.uint64(0))) * inverse[starts])
     bounds = np.cumsum([len(t) + 1 for t in texts])
-    return hashes, np.diff(np.searchsorted(starts, bounds), prepend=0).tolist()
+    return hashed(codes, starts, ends - starts), np.diff(np.searchsorted(starts, bounds), prepend=0)
 
 
 def shingle_hashes(texts: list[str], n: int = SHINGLE_WORDS) -> list[np.ndarray]:

@@ -10,10 +10,12 @@ from collections.abc import Callable
 
 import numpy as np
 
+from vecengine.llm.hashing import hashed
+
 #: Entries of one generation of a memo.
 MEMO_ENTRIES = 250_000
-#: Characters over which sums run at once.
-SPAN = 1 << 18
+#: Characters of a piece that the table keeps, and of all its pieces.
+LONG_PIECE, POOL_CHARS = 256, 1 << 25
 #: Letters and then only such marks are two matches of the split pattern.
 MARKS = ".,;:!?%$&*#)]}\""
 
@@ -37,12 +39,33 @@ class Memo(dict):
         return list(absent - found if found else absent)
 
 
+class Pool:
+    """A growing flat array."""
+
+    def __init__(self, dtype: np.dtype):
+        self.data, self.size = np.zeros(1 << 12, dtype), 0
+
+    def add(self, more: np.ndarray) -> None:
+        end = self.size + len(more)
+        if end > len(self.data):
+            self.data = np.concatenate((self.data[: self.size], np.zeros(max(end, 2 * len(self.data)) - self.size, self.data.dtype)))
+        self.data[self.size : end] = more
+        self.size = end
+
+
+def ranges(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """The indices start .. start + len of each stretch, one after another."""
+    done = np.cumsum(lens)
+    return np.repeat(starts - (done - lens), lens) + np.arange(int(done[-1]) if len(done) else 0)
+
+
 class PieceTable:
     """encode_many takes a list of strings and returns for each the bytes of its encoding; encode does so for whole texts.
 
     Texts are cut before a single space between other characters, between letters and MARKS, before white space, and after a
-    single line break or the like: no match of the pattern spans those places. Pieces are told apart by 64-bit hashes from running sums, looked up in a sorted table
-    whose tokens lie in one flat array. itemsize is that of a token.
+    single line break or the like: no match of the pattern spans those places. Pieces of up to LONG_PIECE characters are looked up by a
+    64-bit hash in a sorted table whose characters and tokens lie in flat arrays, and a hit counts only if the characters agree; pieces whose
+    hash belongs to another piece, and longer ones, are encoded as they come. The table starts anew beyond so many entries or POOL_CHARS.
     """
 
     def __init__(self, encode_many: Callable[[list[str]], list[bytes]], dtype: str, entries: int):
@@ -55,7 +78,8 @@ class PieceTable:
 
     def _renew(self) -> None:
         self.keys = np.zeros(0, np.uint64)
-        self.at, self.lens, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, self.dtype)
+        self.at, self.lens, self.char_at, self.char_lens = (np.zeros(0, np.int64) for _ in range(4))
+        self.pool, self.chars = Pool(self.dtype), Pool(np.dtype(np.uint32))
 
     def _starts(self, codes: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Where pieces begin."""
@@ -76,47 +100,62 @@ class PieceTable:
         cut[last] &= ~space[last] | keep[last]
         return np.flatnonzero(cut)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        from vecengine.llm.fingerprints import hashing_tables, mixed
+    def _encoded(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens of all pieces and the number of each piece's."""
+        found = self.encode_many(pieces)
+        return np.frombuffer(b"".join(found), self.dtype), np.array([len(x) for x in found], np.int64) // self.dtype.itemsize
 
-        sizes = np.array([len(t) for t in texts], np.int64)
-        ends = np.cumsum(sizes)
+    def encode(self, texts: list[str]) -> list[bytes]:
+        ends = np.cumsum(np.array([len(t) for t in texts], np.int64))
         joined = "".join(texts)
         if not joined:
             return [b""] * len(texts)
-        codes = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+        codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
         starts = self._starts(codes, ends)
-        _, numbers, powers, inverse = hashing_tables(SPAN + 1)
-        stops = np.append(starts[1:], len(codes))
-        hashes = np.empty(len(starts), np.uint64)
-        a = 0
-        while a < len(starts):  # running sums over spans of bounded length
-            b = max(a + 1, int(np.searchsorted(stops, starts[a] + SPAN, "right")))
-            low, high = int(starts[a]), int(stops[b - 1])
-            if high - low > SPAN:
-                _, numbers, powers, inverse = hashing_tables(high - low + 1)
-            sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(numbers[codes[low:high]] * powers[: high - low])))
-            hashes[a:b] = mixed((sums[stops[a:b] - low] - sums[starts[a:b] - low]) * inverse[starts[a:b] - low])
-            a = b
-        if len(self.keys) > self.entries:
+        sizes = np.diff(np.append(starts, len(codes)))
+        if len(self.keys) > self.entries or self.chars.size > POOL_CHARS:
             self._renew()
-        distinct, one, inverse_at = np.unique(hashes, return_index=True, return_inverse=True)
-        place = np.searchsorted(self.keys, distinct)
-        known = (place < len(self.keys)) & (self.keys[np.minimum(place, max(0, len(self.keys) - 1))] == distinct) if len(self.keys) else np.zeros(len(distinct), bool)
-        new = np.flatnonzero(~known)
+        piece = lambda i: joined[starts[i] : starts[i] + sizes[i]]
+        short = np.flatnonzero(sizes <= LONG_PIECE) if int(sizes.max()) > LONG_PIECE else np.arange(len(sizes))
+        distinct, one, inverse = np.unique(hashed(codes, starts[short], sizes[short]), return_index=True, return_inverse=True)
+        new, place = np.zeros(0, np.int64), np.searchsorted(self.keys, distinct)
+        if len(distinct):
+            known = self.keys[np.minimum(place, len(self.keys) - 1)] == distinct if len(self.keys) else np.zeros(len(distinct), bool)
+            new = np.flatnonzero(~known)
         if len(new):
-            found = self.encode_many([joined[s:e] for s, e in zip(starts[one[new]].tolist(), stops[one[new]].tolist(), strict=True)])
-            lens = np.array([len(x) for x in found], np.int64) // self.dtype.itemsize
-            at = len(self.pool) + np.cumsum(lens) - lens
-            self.pool = np.concatenate((self.pool, np.frombuffer(b"".join(found), self.dtype)))
+            own = short[one[new]]
+            tokens, lens = self._encoded([piece(i) for i in own.tolist()])
+            at, char_at = self.pool.size + np.cumsum(lens) - lens, self.chars.size + np.cumsum(sizes[own]) - sizes[own]
+            self.pool.add(tokens)
+            self.chars.add(codes[ranges(starts[own], sizes[own])])
             keys = np.concatenate((self.keys, distinct[new]))
             order = np.argsort(keys, kind="stable")
-            self.keys, self.at, self.lens = keys[order], np.concatenate((self.at, at))[order], np.concatenate((self.lens, lens))[order]
+            self.keys = keys[order]
+            self.at, self.lens, self.char_at, self.char_lens = (np.concatenate(x)[order] for x in ((self.at, at), (self.lens, lens), (self.char_at, char_at), (self.char_lens, sizes[own])))
             place = np.searchsorted(self.keys, distinct)
-        where = place[inverse_at]
-        lens = self.lens[where]
-        done = np.cumsum(lens)
-        tokens = self.pool[np.repeat(self.at[where] - (done - lens), lens) + np.arange(int(done[-1]))]
-        token_ends = np.concatenate((np.zeros(1, np.int64), done))[np.searchsorted(starts, ends)].tolist()
+        where = place[inverse]
+        at, lens = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
+        at[short], lens[short] = self.at[where], self.lens[where]
+        # A hit is the piece itself only if all its characters are.
+        same = self.char_lens[where] == sizes[short]
+        alike = np.flatnonzero(same)
+        if len(alike):
+            n = sizes[short[alike]]
+            apart = self.chars.data[ranges(self.char_at[where[alike]], n)] != (codes if len(alike) == len(starts) else codes[ranges(starts[short[alike]], n)])
+            if apart.any():
+                same[alike[np.unique(np.searchsorted(np.cumsum(n), np.flatnonzero(apart), "right"))]] = False
+        own = np.ones(len(starts), bool)
+        own[short[same]] = False
+        own, pool = np.flatnonzero(own), self.pool.data
+        if len(own):
+            strings = [piece(i) for i in own.tolist()]
+            names = list(dict.fromkeys(strings))
+            number = {x: i for i, x in enumerate(names)}
+            tokens, n = self._encoded(names)
+            of = np.array([number[x] for x in strings])
+            at[own], lens[own] = (self.pool.size + np.cumsum(n) - n)[of], n[of]
+            pool = np.concatenate((pool[: self.pool.size], tokens))
+        tokens = pool[ranges(at, lens)]
+        token_ends = np.concatenate((np.zeros(1, np.int64), np.cumsum(lens)))[np.searchsorted(starts, ends)].tolist()
         data, size = tokens.tobytes(), self.dtype.itemsize
         return [data[a * size : b * size] for a, b in zip([0, *token_ends[:-1]], token_ends, strict=True)]
