@@ -1,168 +1,190 @@
 """Stupid-backoff language-model scores, relationally (op 8).
 
-S(w2 | w1) is c(w1 w2) / c(w1) where the corpus has the bigram, else 0.4 c(w2) / N; a document's score is the sum of
-log S over its words, the first by c(w) / N alone. Counts cover the whole training table.
-
-``score_against`` is the plain relational form: count tables partitioned by the n-gram's hash, joined to the exploded n-grams of
-the documents to score, summed per document.
-
-``score_corpus`` scores a corpus by its own counts, where every bigram is known. There the n-grams of some 2 million words
-at a time are exploded and aggregated in arrays: a block sends each bucket of hashes its distinct n-grams, their counts and the
-documents they occur in. A bucket adds up the counts of all blocks (the count table's partition), joins them to the n-grams
-and returns to each block what its documents get. An n-gram that is frequent in a block sends its count only, and gets the
-total back, so that very common words weigh on no bucket. The block sums per document.
+S(w2 | w1) is c(w1 w2) / c(w1) where the counts have the bigram, else 0.4 c(w2) / N; a document's score is the sum of
+log S over its words, the first by c(w) / N alone.
+
+``score_against`` scores documents by the counts of another table: count tables partitioned by the n-gram's hash, joined to the
+exploded n-grams of the documents to score, summed per document.
+
+``score_corpus`` scores each document by the counts of all others (leave one out), so that n-grams that only the document itself has back
+off. It is the same plan on blocks of some 2 million words, so that a row is an array of n-grams instead of one:
+1. blocks: the words of each block as numbers of its distinct words, written once;
+2. explode: a block sends each bucket of hashes its distinct n-grams and how often it has them, however frequent they are;
+3. count and join: a bucket, which is one partition, adds up the counts of all blocks, that is its part of the count tables, and
+   joins them to the n-grams of each block;
+4. sum: a block takes each document's own occurrences from the totals, backs off where nothing is left, and sums per document.
+A bucket gets an n-gram at most once from each block, so frequent ones weigh little; buckets have a fixed size, and their number grows
+with the input. At least one n-gram is in each row, so rows never outnumber the n-grams that the plain form would move.
 
 Defined results: words are maximal runs of letters, digits and underscores of the lower-cased text; null and wordless texts have
-n_words 0 and score 0.0; a word that the training table lacks counts as if seen once; null doc_id stays null; repeated
-rows count and are scored as often as they occur; an empty table gives no rows; other columns are ignored.
+n_words 0 and score 0.0; a word that the counts lack counts as if seen once, and N is at least 1; null doc_id stays null; repeated
+rows count and are scored as often as they occur, each by the others; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecengine.llm import common
-from vecengine.llm.fingerprints import MULTIPLIER, mixed, word_hashes
+from vecengine.llm.fingerprints import word_hashes
+from vecengine.llm.hashing import MULTIPLIER, mixed
 
 BACKOFF = 0.4
-#: Words and documents of a block; occurrences in a block beyond which an n-gram sends its count only; input bytes per bucket.
-BLOCK_WORDS, BLOCK_DOCS, FREQUENT, BUCKET_BYTES = 2_000_000, 60_000, 32, 8 << 20
-SENT = "bucket int, block long, kind int, hashes binary, counts binary, lens binary, docs binary"
-RETURNED = "block long, kind int, hashes binary, counts binary, lens binary, docs binary"
-RESULT = "doc_id long, n_words long, part double"
-#: Kinds of rows: n-grams of one word and of two, documents of one word, totals, frequent n-grams, documents of a block.
-ONE, TWO, ALONE, TOTALS_ONE, TOTALS_TWO, OWN_ONE, OWN_TWO, DOCS, SUMS = range(9)
-SIGN = {ONE: -1.0, TWO: 1.0, ALONE: 1.0}
-
-
-def _grouped(hashes: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct hashes, ascending; how often each occurs; the documents by hash."""
-    order = np.argsort(hashes, kind="stable")
-    hashes, docs = hashes[order], docs[order]
-    first = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1]))) if len(hashes) else np.zeros(0, np.int64)
-    return hashes[first], np.diff(np.append(first, len(hashes))), docs
-
-
-def _block_rows(block: int, ids: list, sizes: list[int], words: np.ndarray, buckets: int) -> list[dict]:
-    n, doc = len(words), np.repeat(np.arange(len(ids), dtype=np.uint16), sizes)
-    same = doc[1:] == doc[:-1]
-    rows = [{"bucket": block % buckets, "block": block, "kind": DOCS, "hashes": np.array([0 if x is None else x for x in ids], np.int64), "counts": np.array(sizes, np.int64), "lens": np.array([x is None for x in ids], np.uint8), "docs": np.zeros(0, np.uint16)}]
-    inner = np.zeros(n, bool)  # words with one before and one after them: c(w) divides once
-    if n > 1:
-        inner[1:-1] = same[1:] & same[:-1]
-    alone = np.repeat(np.array(sizes) == 1, sizes)
-    for kind, hashes, docs, listed in ((ONE, words, doc, inner), (TWO, mixed(words[:-1] * MULTIPLIER + words[1:])[same], doc[1:][same], None)):
-        if listed is None:
-            distinct, counts, docs = _grouped(hashes, docs)
-            lens = counts
-        else:
-            marked = (docs.astype(np.uint32) << 1) | listed
-            distinct, counts, marked = _grouped(hashes, marked)
-            keep = (marked & 1).astype(bool)
-            lens = np.add.reduceat(keep, np.cumsum(counts) - counts, dtype=np.int64) if len(distinct) else counts
-            docs = (marked[keep] >> 1).astype(np.uint16)
-        often = lens > FREQUENT
-        own = np.repeat(often, lens)
-        if often.any():
-            rows.append({"bucket": block % buckets, "block": block, "kind": OWN_ONE if kind == ONE else OWN_TWO, "hashes": distinct[often], "counts": np.zeros(0, np.uint32), "lens": lens[often].astype(np.uint32), "docs": docs[own]})
-        docs, lens = docs[~own], np.where(often, 0, lens)
-        rows += _dealt(block, kind, distinct, counts, lens, docs, buckets)
-    distinct, lens, docs = _grouped(words[alone], doc[alone])
-    rows += _dealt(block, ALONE, distinct, np.zeros(len(distinct), np.int64), lens, docs, buckets)
-    return rows
-
-
-def _dealt(block: int, kind: int, distinct, counts, lens, docs, buckets: int) -> list[dict]:
-    """One row for each bucket that has any of the hashes."""
-    to = (distinct >> np.uint64(33)).astype(np.int64) % buckets
-    order = np.argsort(to, kind="stable")
-    doc_to = np.argsort(np.repeat(to, lens), kind="stable")
-    distinct, counts, lens, docs, to = distinct[order], counts[order], lens[order], docs[doc_to], to[order]
-    cuts = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1]))) if len(to) else np.zeros(0, np.int64)
-    ends, at = np.append(cuts[1:], len(to))[: len(cuts)], np.concatenate(([0], np.cumsum(lens)))
-    return [{"bucket": int(to[a]), "block": block, "kind": kind, "hashes": distinct[a:b], "counts": counts[a:b].astype(np.uint32), "lens": lens[a:b].astype(np.uint16), "docs": docs[at[a] : at[b]]} for a, b in zip(cuts.tolist(), ends.tolist(), strict=True)]
-
-
-def _batches(rows: list[dict], ddl: str):
-    schema = common.schema_of(ddl)
-    for i in range(0, len(rows), 64):
-        some = rows[i : i + 64]
-        yield pa.RecordBatch.from_pydict({f.name: [r[f.name].tobytes() if isinstance(r[f.name], np.ndarray) else r[f.name] for r in some] for f in schema}, schema=schema)
-
-
-def _bucket(table: pa.Table) -> pa.Table:
-    """Totals of the bucket's n-grams, joined to those of each block."""
-    rows = sorted(table.to_pylist(), key=lambda r: (r["kind"], r["block"], r["hashes"]))
-    totals, out = {}, [{k: r[k] for k in ("block", "kind", "hashes", "counts", "lens", "docs")} for r in rows if r["kind"] in (OWN_ONE, OWN_TWO, DOCS)]
-    rows = [r | {k: np.frombuffer(r[k], d) for k, d in (("hashes", np.uint64), ("counts", np.uint32), ("lens", np.uint16), ("docs", np.uint16))} for r in rows if r["kind"] in SIGN]
-    for kind in (ONE, TWO):
-        mine = [r for r in rows if r["kind"] == kind]
-        if mine:
-            keys, where = np.unique(np.concatenate([r["hashes"] for r in mine]), return_inverse=True)
-            totals[kind] = keys, np.log(np.bincount(where, np.concatenate([r["counts"] for r in mine])))
-    for r in rows:
-        keys, logs = totals[TWO if r["kind"] == TWO else ONE]
-        logs = logs[np.searchsorted(keys, r["hashes"])]
-        if len(r["docs"]):
-            sums = np.bincount(r["docs"], np.repeat(logs, r["lens"])) * SIGN[r["kind"]]
-            docs = np.flatnonzero(np.bincount(r["docs"])).astype(np.uint16)
-            out.append({"block": r["block"], "kind": SUMS, "hashes": sums[docs].tobytes(), "counts": b"", "lens": b"", "docs": docs.tobytes()})
-        often = (r["counts"] > FREQUENT) & (r["lens"] == 0)
-        if r["kind"] != ALONE and often.any():
-            out.append({"block": r["block"], "kind": TOTALS_ONE if r["kind"] == ONE else TOTALS_TWO, "hashes": r["hashes"][often].tobytes(), "counts": logs[often].tobytes(), "lens": b"", "docs": b""})
-    return pa.Table.from_pylist(out, schema=common.schema_of(RETURNED))
-
-
-def _block(table: pa.Table) -> pa.Table:
-    """The sums per document of what the buckets returned, in an order of its own."""
-    rows = sorted(table.to_pylist(), key=lambda r: (r["kind"], r["hashes"], r["docs"]))
-    by = {k: [r for r in rows if r["kind"] == k] for k in range(9)}
-    docs = by[DOCS][0]
-    sizes, none = np.frombuffer(docs["counts"], np.int64), np.frombuffer(docs["lens"], np.uint8).astype(bool)
-    total = np.zeros(len(sizes))
-    for r in by[SUMS]:
-        total[np.frombuffer(r["docs"], np.uint16)] += np.frombuffer(r["hashes"])
-    for own, answers, sign in ((OWN_ONE, TOTALS_ONE, -1.0), (OWN_TWO, TOTALS_TWO, 1.0)):
-        for r in by[own]:
-            keys = np.frombuffer(b"".join(x["hashes"] for x in by[answers]), np.uint64)
-            logs = np.frombuffer(b"".join(x["counts"] for x in by[answers]))
-            order = np.argsort(keys)
-            found = logs[order][np.searchsorted(keys[order], np.frombuffer(r["hashes"], np.uint64))]
-            total += sign * np.bincount(np.frombuffer(r["docs"], np.uint16), np.repeat(found, np.frombuffer(r["lens"], np.uint32)), len(total))
-    return pa.Table.from_arrays([pa.array(np.frombuffer(docs["hashes"], np.int64), mask=none), pa.array(sizes), pa.array(total)], schema=common.schema_of(RESULT))
+#: Words and documents of a block; input bytes per bucket.
+BLOCK_WORDS, BLOCK_DOCS, BUCKET_BYTES = 2_000_000, 60_000, 8 << 20
+BLOCKS = "block long, n_words long, ids array<long>, sizes array<long>, vocabulary binary, words binary"
+SENT = "bucket int, block long, kind int, hashes binary, counts binary"
+ANSWERS = "block long, kind int, bucket int, totals binary"
+RESULT = "doc_id long, n_words long, n_backed_off long, log_score double"
+ONE, TWO = 1, 2
+
+
+def _block_row(block: int, ids: list, sizes: list[int], words: np.ndarray) -> pa.RecordBatch:
+    """The block's distinct words, the most frequent first, and its words as numbers of those: their three bytes apart, as the higher ones are mostly 0."""
+    vocabulary, where, counts = np.unique(words, return_inverse=True, return_counts=True)
+    order = np.argsort(-counts, kind="stable")
+    number = np.empty(len(order), np.uint32)
+    number[order] = np.arange(len(order), dtype=np.uint32)
+    squeeze = zstandard.ZstdCompressor(level=1).compress
+    planes = np.ascontiguousarray(number[where].astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+    row = {"block": [block], "n_words": [len(words)], "ids": [ids], "sizes": [sizes], "vocabulary": [vocabulary[order].tobytes()], "words": [squeeze(planes)]}
+    return pa.RecordBatch.from_pydict(row, schema=common.schema_of(BLOCKS))
+
+
+class Block:
+    """A block's distinct n-grams, in the order of their buckets and hashes, and where each of its words has its own."""
+
+    def __init__(self, row: dict, buckets: int):
+        planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["words"]), np.uint8)
+        words = np.ascontiguousarray(planes.reshape(4, len(planes) // 4).T).view("<u4").ravel()
+        self.sizes = np.array(row["sizes"], np.int64)
+        self.doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        hashes = np.frombuffer(row["vocabulary"], np.uint64)[words]
+        #: Words that have one before them in their document.
+        self.later = np.flatnonzero(self.doc[1:] == self.doc[:-1]) + 1
+        self.grams = {ONE: self._dealt(hashes, buckets), TWO: self._dealt(mixed(hashes[self.later - 1] * MULTIPLIER + hashes[self.later]), buckets)}
+
+    @staticmethod
+    def _dealt(hashes: np.ndarray, buckets: int) -> tuple:
+        """Distinct hashes by bucket, how often each occurs, the bounds of the buckets that have any, and each occurrence's place."""
+        distinct, where, counts = np.unique(hashes, return_inverse=True, return_counts=True)
+        to = (distinct >> np.uint64(33)).astype(np.int64) % buckets
+        order = np.argsort(to, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        some, first = np.unique(to[order], return_index=True)
+        ends = np.append(first[1:], len(order))[: len(first)]
+        return distinct[order], counts[order], list(zip(some.tolist(), first.tolist(), ends.tolist(), strict=True)), place[where]
+
+    def elsewhere(self, kind: int, answers: dict[int, bytes], doc: np.ndarray) -> np.ndarray:
+        """For each occurrence how often other documents have its n-gram."""
+        distinct, _, bounds, where = self.grams[kind]
+        totals = np.concatenate([np.frombuffer(answers[b], np.int64) for b, _, _ in bounds]) if bounds else np.zeros(0, np.int64)
+        _, which, own = np.unique(doc * (len(distinct) + 1) + where, return_inverse=True, return_counts=True)
+        return totals[where] - own[which]
+
+
+def _blocks(batches, block_words: int) -> Iterator[pa.RecordBatch]:
+    task, number = TaskContext.get().partitionId(), 0
+    ids, sizes, words, n = [], [], [], 0
+    for batch in common.slices(batches):
+        hashes, lengths = word_hashes(common.texts_of(batch))
+        ids += batch.column("doc_id").to_pylist()
+        sizes += lengths
+        words.append(hashes)
+        n += len(hashes)
+        if n >= block_words or len(ids) >= BLOCK_DOCS:
+            yield _block_row((task << 20) + number, ids, sizes, np.concatenate(words))
+            ids, sizes, words, n, number = [], [], [], 0, number + 1
+    if ids:
+        yield _block_row((task << 20) + number, ids, sizes, np.concatenate(words))
+
+
+def _sent(batches, buckets: int) -> Iterator[pa.RecordBatch]:
+    """What each block sends the buckets."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            block = Block(row, buckets)
+            for kind, (distinct, counts, bounds, _) in block.grams.items():
+                for i in range(0, len(bounds), 256):
+                    some = bounds[i : i + 256]
+                    yield pa.RecordBatch.from_pydict({
+                        "bucket": [b for b, _, _ in some], "block": [row["block"]] * len(some), "kind": [kind] * len(some),
+                        "hashes": [distinct[x:y].tobytes() for _, x, y in some], "counts": [counts[x:y].astype("<u4").tobytes() for _, x, y in some],
+                    }, schema=common.schema_of(SENT))
+
+
+def _counted(batches) -> Iterator[pa.RecordBatch]:
+    """One bucket: its part of the count tables, joined to the n-grams of each block."""
+    rows: list[dict] = []
+    for batch in batches:
+        rows += batch.to_pylist()
+    while rows:
+        bucket, kind = rows[0]["bucket"], rows[0]["kind"]
+        mine = [r for r in rows if (r["bucket"], r["kind"]) == (bucket, kind)]
+        rows = [r for r in rows if (r["bucket"], r["kind"]) != (bucket, kind)]
+        hashes = np.frombuffer(b"".join(r["hashes"] for r in mine), np.uint64)
+        _, where = np.unique(hashes, return_inverse=True)
+        counts = np.frombuffer(b"".join(r["counts"] for r in mine), "<u4")
+        totals = np.rint(np.bincount(where, counts)).astype(np.int64)[where]
+        ends = np.cumsum([len(r["hashes"]) // 8 for r in mine]).tolist()
+        for i in range(0, len(mine), 256):
+            some = range(i, min(i + 256, len(mine)))
+            yield pa.RecordBatch.from_pydict({
+                "block": [mine[j]["block"] for j in some], "kind": [kind] * len(some), "bucket": [bucket] * len(some),
+                "totals": [totals[ends[j] - len(mine[j]["hashes"]) // 8 : ends[j]].tobytes() for j in some],
+            }, schema=common.schema_of(ANSWERS))
+
+
+def _summed(row: dict, answers: dict[int, dict[int, bytes]], total: int, buckets: int) -> pa.RecordBatch:
+    """The scores of a block's documents."""
+    block = Block(row, buckets)
+    one = block.elsewhere(ONE, answers[ONE], block.doc)
+    two = block.elsewhere(TWO, answers[TWO], block.doc[block.later])
+    rest = np.log(np.maximum(total - block.sizes, 1))
+    score = np.log(np.maximum(one, 1)) - rest[block.doc]
+    known = two > 0
+    score[block.later[~known]] += math.log(BACKOFF)
+    score[block.later[known]] = np.log(two[known]) - np.log(one[block.later[known] - 1])
+    n = len(block.sizes)
+    sums, back = np.bincount(block.doc, score, n), np.bincount(block.doc[block.later[~known]], minlength=n)
+    return pa.RecordBatch.from_arrays([pa.array(row["ids"], pa.int64()), pa.array(block.sizes), pa.array(back, pa.int64()), pa.array(sums)], schema=common.schema_of(RESULT))
 
 
 def score_corpus(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words and log_score of each of docs (doc_id, text) under the counts of docs."""
+    """doc_id, n_words, n_backed_off (words whose bigram no other document has) and log_score of each of docs (doc_id, text) under the counts of all others."""
     common.ship(docs.sparkSession)
-    docs = docs.select("doc_id", "text")
+    docs, words = docs.select("doc_id", "text"), BLOCK_WORDS
     buckets = common.parts_for(docs, BUCKET_BYTES)
-
-    def explode(batches):
-        task, number = TaskContext.get().partitionId(), 0
-        ids, sizes, words, n = [], [], [], 0
-        for batch in common.slices(batches):
-            hashes, lengths = word_hashes(common.texts_of(batch))
-            ids += batch.column("doc_id").to_pylist()
-            sizes += lengths
-            words.append(hashes)
-            n += len(hashes)
-            if n >= BLOCK_WORDS or len(ids) >= BLOCK_DOCS:
-                yield from _batches(_block_rows((task << 20) + number, ids, sizes, np.concatenate(words), buckets), SENT)
-                ids, sizes, words, n, number = [], [], [], 0, number + 1
-        if ids:
-            yield from _batches(_block_rows((task << 20) + number, ids, sizes, np.concatenate(words), buckets), SENT)
-
-    returned = docs.mapInArrow(explode, SENT).groupBy("bucket").applyInArrow(_bucket, RETURNED)
-    parts = common.written(returned.groupBy("block").applyInArrow(_block, RESULT), "scores")
-    total = parts.agg(F.sum("n_words")).first()[0] or 1
-    return parts.select("doc_id", "n_words", F.when(F.col("n_words") > 0, F.col("part") - math.log(total)).otherwise(0.0).alias("log_score"))
+    blocks = common.written(docs.mapInArrow(lambda batches: _blocks(batches, words), BLOCKS), "blocks")
+    total = blocks.agg(F.sum("n_words")).first()[0] or 0
+    sent = blocks.select("block", "sizes", "vocabulary", "words").mapInArrow(lambda batches: _sent(batches, buckets), SENT)
+    answers = sent.repartitionById(buckets, F.col("bucket")).mapInArrow(_counted, ANSWERS)
+
+    def summed(batches):
+        row, got = None, {ONE: {}, TWO: {}}
+        for batch in batches:
+            for r in batch.to_pylist():  # sorted: a block's own row comes before its answers
+                if r["kind"] == 0:
+                    if row is not None:
+                        yield _summed(row, got, total, buckets)
+                    row, got = r, {ONE: {}, TWO: {}}
+                else:
+                    got[r["kind"]][r["bucket"]] = r["totals"]
+        if row is not None:
+            yield _summed(row, got, total, buckets)
+
+    own = blocks.drop("n_words").select("block", F.lit(0).alias("kind"), F.lit(0).alias("bucket"), F.lit(None).cast("binary").alias("totals"), "ids", "sizes", "vocabulary", "words")
+    both = own.unionByName(answers, allowMissingColumns=True)
+    return both.repartition(buckets, "block").sortWithinPartitions("block", "kind").mapInArrow(summed, RESULT)
 
 
 def _words(docs: DataFrame) -> DataFrame:
@@ -188,16 +210,22 @@ def score_against(docs: DataFrame, train: DataFrame) -> DataFrame:
 
 
 def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_corpus(common.table(spark, sf_dir, "documents")).withColumn("log_score", F.round("log_score", 4))
+    scores = score_corpus(common.table(spark, sf_dir, "documents"))
+    each = F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")).otherwise(0.0)
+    return scores.select("doc_id", "n_words", "n_backed_off", F.round(each, 6).alias("score_per_word"), F.round("log_score", 4).alias("log_score"))
 
 
 SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') AS w FROM documents),
-one AS (SELECT x, count(*) AS c FROM (SELECT unnest(w) AS x FROM d) GROUP BY x),
-n AS (SELECT sum(c) AS n FROM one),
+n AS (SELECT sum(len(w)) AS n FROM d),
+ones AS (SELECT doc_id, x, count(*) AS k FROM (SELECT doc_id, unnest(w) AS x FROM d) GROUP BY ALL),
+one AS (SELECT doc_id, x, sum(k) OVER (PARTITION BY x) - k AS c FROM ones),
 pairs AS (SELECT doc_id, w[i] AS a, w[i + 1] AS b FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM d)),
-two AS (SELECT a, b, count(*) AS c2 FROM pairs GROUP BY a, b),
-s AS (SELECT doc_id, sum(ln(c2 / c)) AS s FROM pairs JOIN two USING (a, b) JOIN one ON x = a GROUP BY doc_id)
-SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, round(CASE WHEN len(w) = 0 THEN 0.0 ELSE coalesce(s, 0) + ln(o.c / n) END, 4) AS log_score
-FROM d LEFT JOIN s USING (doc_id) LEFT JOIN one o ON o.x = w[1], n
+twos AS (SELECT doc_id, a, b, count(*) AS k FROM pairs GROUP BY ALL),
+two AS (SELECT doc_id, a, b, k, sum(k) OVER (PARTITION BY a, b) - k AS c FROM twos),
+s AS (SELECT two.doc_id, sum(k * CASE WHEN two.c > 0 THEN ln(two.c / p.c) ELSE ln(0.4) + ln(greatest(q.c, 1) / greatest(n - len(w), 1)) END) AS s, coalesce(sum(k) FILTER (two.c = 0), 0) AS n_back
+      FROM two JOIN one p ON p.doc_id = two.doc_id AND p.x = a JOIN one q ON q.doc_id = two.doc_id AND q.x = b JOIN d ON d.doc_id = two.doc_id, n GROUP BY two.doc_id),
+f AS (SELECT d.doc_id, len(w) AS m, coalesce(n_back, 0) AS n_back, CASE WHEN len(w) = 0 THEN 0.0 ELSE coalesce(s, 0) + ln(greatest(o.c, 1) / greatest(n - len(w), 1)) END AS s
+      FROM d LEFT JOIN s USING (doc_id) LEFT JOIN one o ON o.doc_id = d.doc_id AND o.x = w[1], n)
+SELECT doc_id, CAST(m AS BIGINT) AS n_words, CAST(n_back AS BIGINT) AS n_backed_off, round(CASE WHEN m > 0 THEN s / m ELSE 0.0 END, 6) AS score_per_word, round(s, 4) AS log_score FROM f
 """
