@@ -59,21 +59,58 @@ ENCODINGS = (
 BINS = 1000
 
 
+def bound(value: Column, use) -> Column:
+    """use(value), where value is computed once however often use or a function inside it refers to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def in_blocks(array: Column) -> Column:
+    """array, not empty, as an array of about as many blocks as each has elements."""
+
+    def cut(a: Column) -> Column:
+        step = F.ceil(F.sqrt(F.size(a))).cast("int")
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / step).cast("int")), lambda i: F.slice(a, i * step + 1, step))
+
+    return bound(array, cut)
+
+
+def before(blocks: Column, width, join) -> Column:
+    """For each element of blocks what join makes of 0 and the widths of all elements before it.
+
+    Arrays grow by copies, so elements are run over in blocks, and blocks by their totals: n^1.5 copies for n elements instead of n^2.
+    """
+    start = lambda first: F.struct(first.alias("at"), F.array().cast("array<int>").alias("out"))
+    step = lambda acc, more: F.struct(more.alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+
+    def use(blocks: Column) -> Column:
+        total = lambda first, block: F.aggregate(block, first, lambda acc, x: join(acc, width(x)))
+        firsts = F.aggregate(blocks, start(F.lit(0)), lambda acc, block: step(acc, total(acc["at"], block)), lambda acc: acc["out"])
+        return F.flatten(F.zip_with(blocks, firsts, lambda block, first: F.aggregate(block, start(first), lambda acc, x: step(acc, join(acc["at"], width(x))), lambda acc: acc["out"])))
+
+    return bound(blocks, use)
+
+
 def located(text: Column, pattern: str) -> Column:
     """array<struct<start, end, match>> of the leftmost matches that don't overlap."""
-    regex = F.lit(pattern)
-    matches = F.regexp_extract_all(text, regex, F.lit(0))
-    between = F.split(text, pattern, -1)
+    matches, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     empty = F.array().cast("array<struct<start:int,end:int,match:string>>")
-    start = F.struct(F.lit(0).alias("at"), empty.alias("found"))
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["b"])
-        end = begin + F.length(x["m"])
-        return F.struct(end.alias("at"), F.concat(acc["found"], F.array(F.struct(begin.alias("start"), end.alias("end"), x["m"].alias("match")))).alias("found"))
+    def place(pairs: Column) -> Column:
+        starts = before(in_blocks(pairs), lambda x: x["gap"] + F.length(x["m"]), lambda a, b: a + b)
+        return F.zip_with(pairs, starts, lambda x, at: F.struct((at + x["gap"]).alias("start"), (at + x["gap"] + F.length(x["m"])).alias("end"), x["m"].alias("match")))
+
+    pairs = bound(matches, lambda found: F.zip_with(found, F.slice(between, F.lit(1), F.size(found)), lambda m, b: F.struct(m.alias("m"), F.length(b).alias("gap"))))
+    return F.when(text.rlike(pattern), bound(pairs, place)).otherwise(empty)
 
-    pairs = F.zip_with(matches, F.slice(between, F.lit(1), F.size(matches)), lambda m, b: F.struct(m.alias("m"), b.alias("b")))
-    return F.when(text.rlike(pattern), F.aggregate(pairs, start, step, lambda acc: acc["found"])).otherwise(empty)
+
+#: Steps of a binary search: arrays have fewer elements than twice the first.
+POWERS = [1 << i for i in range(26, -1, -1)]
+
+
+def touches(spans: Column, t: Column) -> Column:
+    """Whether one of spans (ascending, not overlapping) overlaps t."""
+    first = F.aggregate(F.lit(POWERS), F.lit(0), lambda at, p: at + F.when(F.get(spans, at + p - 1)["start"] < t["end"], p).otherwise(0))
+    return F.coalesce(F.get(spans, first - 1)["end"] > t["start"], F.lit(False))
 
 
 def of_kind(found: Column, kind: str, keep) -> Column:
@@ -112,13 +149,21 @@ def with_battery(tokens: Column) -> Column:
         body = F.regexp_replace(x["match"], "=+$", "")
         return F.struct(x["start"].alias("start"), x["end"].alias("end"), body.alias("body"), pick(body, lambda e: e[0]).alias("encoding"), pick(body, lambda e: e[2]).alias("symbols"), pick(body, lambda e: e[3]).alias("excess"))
 
+    # What a function on elements refers to is a field of the step before, so that it is computed once.
     def measure(x: Column) -> Column:
         body, chars = x["body"], F.split(x["body"], "")
+        n = F.length(body).cast("double")
         squares = F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda acc, c: acc + F.pow((F.length(body) - F.length(F.replace(body, c, F.lit("")))).cast("double"), F.lit(2.0)))
         values = F.transform(chars, lambda c: F.instr(x["symbols"], c).cast("double"))
-        n = F.length(body).cast("double")
-        mean = F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v) / n
-        return F.struct(x["start"].alias("start"), x["end"].alias("end"), x["encoding"].alias("encoding"), n.alias("n"), F.length(x["symbols"]).cast("double").alias("k"), x["excess"].alias("excess"), squares.alias("squares"), F.transform(values, lambda v: v - mean).alias("d"))
+        keep = [x[c].alias(c) for c in ("start", "end", "encoding", "excess")]
+        return F.struct(*keep, n.alias("n"), F.length(x["symbols"]).cast("double").alias("k"), squares.alias("squares"), values.alias("values"))
+
+    def centre(x: Column) -> Column:
+        mean = F.aggregate(x["values"], F.lit(0.0), lambda acc, v: acc + v) / x["n"]
+        return F.struct(*[x[c].alias(c) for c in ("start", "end", "encoding", "excess", "n", "k", "squares", "values")], mean.alias("mean"))
+
+    def deviate(x: Column) -> Column:
+        return F.struct(*[x[c].alias(c) for c in ("start", "end", "encoding", "excess", "n", "k", "squares")], F.transform(x["values"], lambda v: v - x["mean"]).alias("d"))
 
     def correlate(x: Column) -> Column:
         d, n = x["d"], x["n"]
@@ -141,7 +186,7 @@ def with_battery(tokens: Column) -> Column:
         spread = pairs * (pairs - 1) / (n - 1)
         runs = F.when(spread > 0, F.abs(x["runs"] - pairs - 1) / F.sqrt(spread)).otherwise(99.0)
         serial = F.abs(x["r"] + 1 / n) * F.sqrt(n)
-        by_chance = (2 * normal_tail(runs) * 2 >= CHANCE) & (2 * normal_tail(serial) * 2 >= CHANCE) & ((too_much <= 0) | (normal_tail(F.greatest(too_much, F.lit(0.0))) >= CHANCE))
+        by_chance = (2 * normal_tail(runs) >= CHANCE) & (2 * normal_tail(serial) >= CHANCE) & ((too_much <= 0) | (normal_tail(F.greatest(too_much, F.lit(0.0))) >= CHANCE))
         return F.struct(
             x["start"].alias("start"), x["end"].alias("end"), F.concat_ws("/", x["encoding"], F.floor(F.log2(n)).cast("string")).alias("stratum"),
             z.alias("z"), by_chance.alias("plausible"),
@@ -151,7 +196,7 @@ def with_battery(tokens: Column) -> Column:
         bin = F.least(F.lit(BINS), F.floor(-10 * log_lower_tail(x["z"]) + 1e-9)).cast("int")
         return F.struct(x["start"].alias("start"), x["end"].alias("end"), x["stratum"].alias("stratum"), bin.alias("bin"), x["plausible"].alias("plausible"))
 
-    for step in (read, measure, correlate, judge, binned):
+    for step in (read, measure, centre, deviate, correlate, judge, binned):
         tokens = F.transform(tokens, step)
     return tokens
 
@@ -160,13 +205,15 @@ def scanned(docs: DataFrame) -> DataFrame:
     """docs with base (spans) and tested (tokens that no base span touches, with the battery's findings)."""
     text = F.coalesce("text", F.lit(""))
     found = docs.withColumn("_assign", located(text, ASSIGN)).withColumn("_access", located(text, ACCESS)).withColumn("_hex", located(text, LONG_HEX)).withColumn("_token", located(text, TESTED))
-    base = F.concat(
-        of_kind(F.col("_assign"), "assign", lambda m: F.length(F.regexp_extract(m, ASSIGN, 2)) >= ASSIGN_CHARS),
-        of_kind(F.col("_access"), "access", lambda m: F.length(m) >= ACCESS_CHARS),
-        of_kind(F.col("_hex"), "hex", lambda m: F.length(m) >= HEX_CHARS),
+    kinds = F.struct(
+        of_kind(F.col("_assign"), "assign", lambda m: F.length(F.regexp_extract(m, ASSIGN, 2)) >= ASSIGN_CHARS).alias("assign"),
+        of_kind(F.col("_access"), "access", lambda m: F.length(m) >= ACCESS_CHARS).alias("access"),
+        of_kind(F.col("_hex"), "hex", lambda m: F.length(m) >= HEX_CHARS).alias("hex"),
     )
-    found = found.withColumn("_base", F.array_sort(base))
-    free = F.filter("_token", lambda t: ~F.exists("_base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
+    found = found.withColumn("_kinds", kinds)
+    base = F.concat("_kinds.assign", "_kinds.access", "_kinds.hex")
+    found = found.withColumn("_base", F.when(F.size(base) > 1, F.array_sort(base)).otherwise(base))
+    free = bound(F.col("_kinds"), lambda k: F.filter("_token", lambda t: ~(touches(k["assign"], t) | touches(k["access"], t) | touches(k["hex"], t))))
     return found.withColumn("_free", free).withColumn("_tested", F.when(F.size("_free") > 0, with_battery(F.col("_free"))))
 
 
@@ -200,15 +247,26 @@ def written_out(spans: Column) -> Column:
 
 
 def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """text with each stretch of overlapping spans replaced by mark."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    """text with each stretch of overlapping spans (ascending, at least one) replaced by mark."""
+
+    def use(x: Column) -> Column:
+        done = before(in_blocks(x["spans"]), lambda s: s["end"], F.greatest)
+        return bound(in_blocks(F.zip_with(x["spans"], done, lambda s, at: F.struct(s["start"].alias("start"), s["end"].alias("end"), at.alias("at")))), lambda blocks: pieces(x["text"], blocks))
+
+    def pieces(text: Column, blocks: Column) -> Column:
+        """A place in a string is found by counting from its start, so each block takes its part of the text first."""
+
+        def of_block(block: Column) -> Column:
+            first = F.get(block, F.lit(0))["at"]
+            return bound(F.substring(text, first + 1, F.greatest(F.element_at(block, -1)["start"] - first, F.lit(0))), lambda part: F.array_join(F.transform(block, lambda s: of_span(part, s, first)), ""))
+
+        def of_span(part: Column, s: Column, first: Column) -> Column:
+            return F.when(s["start"] >= s["at"], F.concat(F.substring(part, s["at"] - first + 1, s["start"] - s["at"]), F.lit(mark))).otherwise("")
 
-    def step(acc: Column, s: Column) -> Column:
-        new = s["start"] >= acc["at"]
-        out = F.when(new, F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
+        end = F.aggregate(F.element_at(blocks, -1), F.lit(0), lambda acc, s: F.greatest(acc, s["at"], s["end"]))
+        return F.concat(F.array_join(F.transform(blocks, of_block), ""), F.substring(text, end + 1, F.length(text)))
 
-    return F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    return bound(F.struct(text.alias("text"), spans.alias("spans")), use)
 
 
 def redact_documents(docs: DataFrame) -> DataFrame:
