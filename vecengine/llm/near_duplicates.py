@@ -18,12 +18,14 @@ Steps, each cut by a table in the shared folder:
 3. A round that only saves work: in each bucket the least text of each component stands for it. Up to HOT of them meet
    pairwise, more of them meet the bucket's hub. Links are added to the components.
 4. The exact rest: in each bucket that still has several components all texts of different components meet, as a head that is unlike
-   says nothing of its component's other texts. Large buckets are dealt
-   into blocks of HOT_DEEP, and each pair of blocks is a task's group of its own, so that nothing is dropped and no task has a whole bucket.
+   says nothing of its component's other texts. The texts of crowded buckets, which a common passage fills, meet over rare words instead:
+   texts that are similar to the threshold have so many words in common that they share one of the rarest of each, as many as the
+   threshold lets go and one. That loses no pair (and doesn't depend on the bucket), and a passage's words are the last to be among the rarest.
+   Should more than CROWDED texts share a rare word, they are dealt into blocks, and each pair of blocks is a task's group of its own.
 5. Components of all links are the classes; a class's id is its least doc_id.
 
 Texts that meet are aligned unless their bags of words, as counts of BAG hashed words, are already too far apart: a bound that
-loses no pair. Buckets are aggregated before they are joined, joins are plain equi-joins whose skewed partitions Spark splits, and no group is
+loses no pair. Buckets are aggregated before they are joined, what they are joined to is a table by then, so that Spark splits skewed partitions, and no group is
 ever gathered in one place. Components come from alternating large and small stars.
 
 Defined results: null text is empty; texts without words equal each other only if they are the same; null doc_id gets
@@ -44,15 +46,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecengine.llm import common
-from vecengine.llm.fingerprints import MULTIPLIER, WORD, mixed, word_hashes
+from vecengine.llm.fingerprints import WORD, word_hashes
+from vecengine.llm.hashing import MULTIPLIER, mixed
 
 THRESHOLD, SEEDS, DEPTH = 0.8, 64, 3
 #: Words up to which texts are found by what is left of them without some words, and up to which by tuples of DEPTH - 1.
 SHORT, MEDIUM = 14, 49
-#: Components in a bucket beyond which they meet its hub before they meet each other; texts of a block of a large bucket; counts of a bag.
-HOT, HOT_DEEP, BAG = 8, 1024, 128
+#: Components in a bucket beyond which they meet its hub before they meet each other; texts of a bucket beyond which it is crowded; counts of a bag.
+HOT, CROWDED, BAG = 8, 1024, 128
 _rng = np.random.default_rng(11)
-XORS, FACTORS, ORDERS = (_rng.integers(0, 1 << 63, (3, SEEDS, 1), dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1))
+XORS, FACTORS = (_rng.integers(0, 1 << 63, (2, SEEDS, 1), dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1))
+TOP = np.uint64((1 << 64) - 1)
 
 
 def labelled(kmers: np.ndarray) -> np.ndarray:
@@ -72,14 +76,15 @@ def labelled(kmers: np.ndarray) -> np.ndarray:
 def order_min_hash(kmers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Per seed the keys of the tuples of DEPTH and of DEPTH - 1 least labelled k-mers, in text order."""
     own, n = labelled(kmers), len(kmers)
-    step = max(1, min(SEEDS, (1 << 21) // n))
-    least, depth = [], min(DEPTH, n)
+    step, depth = max(1, min(SEEDS, (1 << 17) // n)), min(DEPTH, n)
+    least = np.empty((SEEDS, depth), np.int64)
     for i in range(0, SEEDS, step):
-        ranks = ((own ^ XORS[i : i + step]) * FACTORS[i : i + step])
-        ranks = (ranks ^ (ranks >> np.uint64(32))) * ORDERS[i : i + step]
-        some = np.argpartition(ranks, depth - 1, axis=1)[:, :depth]
-        least.append(np.take_along_axis(some, np.argsort(np.take_along_axis(ranks, some, 1), axis=1), 1))
-    least = np.concatenate(least)
+        ranks = own * FACTORS[i : i + step] + XORS[i : i + step]  # k-mers' hashes are random already: a product orders them anew
+        for k in range(depth):
+            if k:
+                ranks[at, found] = TOP
+            at, found = np.arange(len(ranks)), ranks.argmin(axis=1)
+            least[i : i + step, k] = found
     keys = []
     for some in (least, least[:, : DEPTH - 1]):
         key = XORS[:, 0].copy()
@@ -126,33 +131,49 @@ def bag_of(words: np.ndarray) -> bytes:
 
 
 def banded_distance(a: list, b: list, limit: int) -> int | None:
-    """The edit distance of a and b if it is at most limit, from the furthest points of the diagonals within the band."""
+    """The edit distance of a and b if it is at most limit, by bits of the differences between neighbouring cells of the band.
+
+    Column j holds the cells of rows j - limit to j + limit, one bit each, so that a column takes a few operations on integers of
+    2 limit + 1 bits. The lower edge of the band is followed until it meets the last row, and that row to its end.
+    """
+    if len(a) < len(b):
+        a, b = b, a
     n, m = len(a), len(b)
-    if abs(n - m) > limit:
+    if n - m > limit:
         return None
     start = 0
-    while start < n and start < m and a[start] == b[start]:
+    while start < m and a[start] == b[start]:
         start += 1
-    while n > start and m > start and a[n - 1] == b[m - 1]:
+    while m > start and a[n - 1] == b[m - 1]:
         n, m = n - 1, m - 1
     a, b = a[start:n], b[start:m]
     n, m = len(a), len(b)
-    goal, far = m - n, {}
-    for e in range(limit + 1):
-        new = {}
-        # Diagonals from which the goal's can be reached with the edits that are left.
-        for k in range(max(-e, goal - (limit - e)), min(e, goal + (limit - e)) + 1):
-            i = max(far.get(k, -2) + 1, far.get(k - 1, -2), far.get(k + 1, -2) + 1) if e else 0
-            i = min(i, n, m - k)
-            if i < 0 or i + k < 0:
-                continue
-            while i < n and i + k < m and a[i] == b[i + k]:
-                i += 1
-            new[k] = i
-            if k == goal and i >= n:
-                return e
-        far = new
-    return None
+    if not m:
+        return n
+    k = min(limit, n)
+    rows: dict = {}
+    for i, x in enumerate(a):
+        rows.setdefault(x, []).append(i)
+    at = {x: sum(1 << i for i in rows[x]) if len(rows[x]) < 64 else int.from_bytes(np.packbits(np.isin(np.arange(n), rows[x]), bitorder="little").tobytes(), "little") for x in set(b) if x in rows}
+    whole = (1 << (2 * k + 1)) - 1
+    up, down, distance = whole ^ ((1 << k) - 1), 0, k  # cells one more, one less than the cell above; the band's lower edge
+    most = limit + m - (n - k)
+    for j, x in enumerate(b):
+        equal = at.get(x, 0)
+        if equal:
+            equal = (equal >> (j - k) if j >= k else equal << (k - j)) & whole
+        diagonal = ((((equal & up) + up) ^ up) | equal | down) & whole  # cells equal to the one before them in both
+        more, less = down | (whole ^ (diagonal | up)), diagonal & up  # one more, one less than the cell to the left
+        if j < n - k:
+            distance += not diagonal >> (2 * k)
+        else:
+            row = n - 1 - j + k
+            distance += (more >> row & 1) - (less >> row & 1)
+        if distance > most:
+            return None
+        diagonal >>= 1
+        up, down = less | (whole ^ (diagonal | more)), diagonal & more
+    return distance if distance <= limit else None
 
 
 def similar(a: list, b: list, threshold: float = THRESHOLD) -> bool:
@@ -192,7 +213,8 @@ def components(links: DataFrame) -> DataFrame:
             return edges
         before = state
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # A table, so that the rows of a node with very many neighbours can be split over tasks.
+        least = common.written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -277,12 +299,30 @@ def meetings(rows: DataFrame, threshold: float) -> DataFrame:
 
 
 def in_blocks(rows: DataFrame) -> DataFrame:
-    """rows (with n, the size of their bucket) with lo, hi and side, so that all texts of a bucket meet each other: in one group up to HOT_DEEP, else once for each pair of blocks."""
-    blocks = F.ceil(F.col("n") / HOT_DEEP).cast("int")
+    """rows (with n, the size of their bucket) with lo, hi and side, so that all texts of a bucket meet each other: in one group up to CROWDED, else once for each pair of blocks."""
+    blocks = F.ceil(F.col("n") / CROWDED).cast("int")
     dealt = rows.withColumn("side", F.pmod(F.xxhash64("h"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     return dealt.withColumn("lo", F.least("side", "other")).withColumn("hi", F.greatest("side", "other"))
 
 
+def rarest_words(bodies: DataFrame, threshold: float) -> DataFrame:
+    """(h, key): the rarest words of each of bodies (h, z) that others have too, as many as may be missing from a similar text and one.
+
+    Words are labelled by their number among equal ones, and rare by how many of bodies have them; those of one text alone count, but lead nowhere.
+    """
+
+    def run(batch: pa.RecordBatch) -> dict:
+        unpack = zstandard.ZstdDecompressor().decompress
+        words, sizes = word_hashes([unpack(z).decode() for z in batch.column("z").to_pylist()])
+        return {"h": batch.column("h"), "n": sizes, "words": [labelled(w).view(np.int64) for w in np.split(words, np.cumsum(sizes)[:-1])]}
+
+    each = common.map_batches(bodies, run, "h binary, n int, words array<long>").select("h", "n", F.explode("words").alias("w"))
+    shared = common.written(each.groupBy("w").agg(F.count("*").alias("c")).where("c > 1"), "shared-words")
+    mine = each.join(shared, "w").groupBy("h").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("c", "w"))).alias("x"))
+    most = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9).cast("int") + 1 - (F.col("n") - F.size("x"))
+    return mine.where(most > 0).select("h", F.explode(F.slice("x", F.lit(1), most)).alias("y")).select("h", F.col("y.w").alias("key"))
+
+
 def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, class_id (the least doc_id of the class), h (the text's digest) and root (the class's, the least of its texts') of each row of docs (doc_id, text)."""
     docs = docs.select("doc_id", "text")
@@ -314,33 +354,43 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> Dat
     links = checked.where("ok").select("a", "b")
     stars = components(links)
 
-    # The texts in buckets with more than one component, or one text for each component there.
-    def members_of(stars: DataFrame, heads: bool) -> DataFrame:
-        label = F.coalesce("v", "h").alias("label")
-        members = shared.join(stars, shared["h"] == stars["u"], "left").select("key", "h", "n_words", label)
-        if heads:
-            members = members.groupBy("key", "label").agg(F.min(F.struct("h", "n_words")).alias("x")).select("key", "label", "x.*")
-        open_keys = members.groupBy("key").agg(F.count("*").alias("n"), F.min_by("h", F.xxhash64("key", "h")).alias("hub"), F.min("label").alias("l"), F.max("label").alias("m")).where("l < m").drop("l", "m")
-        return common.written(members.join(open_keys, "key").join(texts.select("h", "bag"), "h"), "members")
+    def labelled_by(stars: DataFrame, rows: DataFrame) -> DataFrame:
+        return rows.join(stars, rows["h"] == stars["u"], "left").withColumn("label", F.coalesce("v", "h")).drop("u", "v")
+
+    def opened(members: DataFrame) -> DataFrame:
+        """The members (key, h, n_words, label) of buckets with more than one component, with the size n of the bucket, its hub and their bags."""
+        keys = members.groupBy("key").agg(F.count("*").alias("n"), F.min_by("h", F.xxhash64("key", "h")).alias("hub"), F.min("label").alias("l"), F.max("label").alias("m")).where("l < m").drop("l", "m")
+        return common.written(members.join(common.written(keys, "open"), "key").join(texts.select("h", "bag"), "h"), "members")
 
     def joined(stars: DataFrame, rows: DataFrame, checked: DataFrame) -> tuple[DataFrame, DataFrame]:
         """The components with the links between rows that meet, and the pairs checked so far."""
+        if rows.isEmpty():
+            return stars, checked
         new = common.written(verified(meetings(rows, threshold).join(checked, ["a", "b"], "left_anti"), bodies, threshold), "checked")
         more = new.where("ok").select("a", "b")
+        if more.isEmpty():
+            return stars, checked.unionByName(new)
         return components(stars.select(F.col("v").alias("a"), F.col("u").alias("b")).unionByName(more)), checked.unionByName(new)
 
     checked = checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "ok")
+    bucketed = shared.select("key", "h", "n_words")
+    heads = labelled_by(stars, bucketed).groupBy("key", "label").agg(F.min(F.struct("h", "n_words")).alias("x")).select("key", "label", "x.*")
     side = F.when((F.col("n") > HOT) & (F.col("h") != F.col("hub")), 1).otherwise(0)
-    first = members_of(stars, heads=True).select("*", F.lit(0).alias("lo"), F.when(F.col("n") > HOT, 1).otherwise(0).alias("hi"), side.alias("side"))
-    stars, checked = joined(stars, first, checked)
-    stars, checked = joined(stars, in_blocks(members_of(stars, heads=False)), checked)
+    stars, checked = joined(stars, opened(heads).select("*", F.lit(0).alias("lo"), F.when(F.col("n") > HOT, 1).otherwise(0).alias("hi"), side.alias("side")), checked)
+
+    members = opened(labelled_by(stars, bucketed))
+    crowd = members.where(F.col("n") > CROWDED).select("h", "n_words").distinct()
+    rare = rarest_words(bodies.join(crowd.select("h"), "h", "left_semi"), threshold)
+    rare = opened(labelled_by(stars, common.written(rare.join(crowd, "h"), "rare")))
+    stars, checked = joined(stars, in_blocks(members.where(F.col("n") <= CROWDED).unionByName(rare)), checked)
 
     ids = texts.select("h", "rep_id")
     nodes = stars.select(F.col("u").alias("h"), "v").unionByName(stars.select(F.col("v").alias("h"), "v").distinct()).join(ids, "h")
     least = nodes.groupBy("v").agg(F.min("rep_id").alias("class_id"))
     classes = nodes.join(least, "v").select("h", "class_id", "v")
     classes = ids.join(classes, "h", "left").select("h", F.when(F.col("v").isNotNull(), F.col("class_id")).otherwise(F.col("rep_id")).alias("class_id"), F.coalesce("v", "h").alias("root"))
-    return found.select("doc_id", "h").join(classes, "h", "left").select("doc_id", "class_id", "h", "root")
+    # A table again: then the copies of one text, which may be a third of all rows, can be split over tasks.
+    return found.select("doc_id", "h").join(common.written(classes, "classes"), "h", "left").select("doc_id", "class_id", "h", "root")
 
 
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
