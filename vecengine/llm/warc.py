@@ -33,8 +33,8 @@ from vecengine.llm import common
 
 SALTS = 16
 #: Input bytes of one archive; compressed bytes read at once.
-ARCHIVE_BYTES, READ_BYTES = 32 << 20, 1 << 20
-RECORDS = "record_id string, record_type string, concurrent_to array<string>, target_uri string, date string, refers_to string, payload_digest string, payload_bytes long, page_id long, payload binary"
+ARCHIVE_BYTES, READ_BYTES = 32 << 20, 1 << 16
+RECORDS = "record_id string, record_type string, concurrent_to array<string>, target_uri string, date string, refers_to string, payload_digest string, payload_bytes long, page_id long, file string, offset long, length long, payload binary"
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # fixed value: the name space of URLs in RFC 4122
 #: Fixed date of synthetic captures, so that repeated tasks write the same bytes.
 DATE = "2024-01-01T00:00:00Z"
@@ -129,18 +129,21 @@ def write_archives(pages: DataFrame, folder: str) -> list[str]:
     return [f"{folder.rstrip('/')}/{r['file']}" for r in ready.mapInArrow(write, "file string, rows long").collect()]  # one row per archive
 
 
-def members(stream) -> Iterator[bytes]:
-    """The gzip members of a stream, one at a time."""
-    engine, parts, rest = zlib.decompressobj(31), [], b""
+def members(stream) -> Iterator[tuple[int, int, bytes]]:
+    """The gzip members of a stream, one at a time: first byte, bytes in the file, content."""
+    engine, parts, rest, start, fed = zlib.decompressobj(31), [], b"", 0, 0
     while True:
         data = rest or stream.read(READ_BYTES)
         if not data:
             return
         parts.append(engine.decompress(data))
-        rest = b""
+        rest, fed = b"", fed + len(data)
         if engine.eof:
-            yield b"".join(parts)
-            engine, parts, rest = zlib.decompressobj(31), [], engine.unused_data
+            rest = engine.unused_data
+            fed -= len(rest)
+            yield start, fed - start, b"".join(parts)
+            engine, parts, start = zlib.decompressobj(31), [], fed
+
 
 def parse(member: bytes) -> tuple[list[tuple[str, str]], bytes]:
     """Headers, by lower-cased name, and block of a record."""
@@ -149,12 +152,22 @@ def parse(member: bytes) -> tuple[list[tuple[str, str]], bytes]:
     return headers, rest[: int(dict(headers)["content-length"])]
 
 
+def payload_at(file: str, offset: int, length: int) -> bytes:
+    """The payload of the response at that place, from these bytes of the file alone."""
+    fs, path = common.filesystem(file)
+    with fs.open_input_file(path) as f:
+        return parse(zlib.decompress(f.read_at(length, offset), 31))[1].partition(b"\r\n\r\n")[2]
+
+
 def read_records(spark: SparkSession, files: list[str], with_payload: bool = True) -> DataFrame:
-    """One row per record. Payload length and digest are those of what a response holds, and those that a revisit states."""
+    """One row per record, with its place in the archives. Payload length and digest are those of what a response holds, and those that a revisit states.
+
+    Without payloads a row still has their place: ``payload_at`` reads one by file, offset and length.
+    """
     common.ship(spark)
     names = spark.createDataFrame([(f,) for f in sorted(files)], "file string")
     if files:
-        names = names.repartitionByRange(len(files), "file")
+        names = names.repartitionByRange(min(len(files), common.MOST_PARTS), "file")
 
     def read(batches):
         schema = common.schema_of(RECORDS)
@@ -162,20 +175,20 @@ def read_records(spark: SparkSession, files: list[str], with_payload: bool = Tru
             for file in batch.column("file").to_pylist():
                 fs, path = common.filesystem(file)
                 rows, size = [], 0
-                with fs.open_input_stream(path, compression=None) as stream:
-                    for member in members(stream):
+                with fs.open_input_stream(path, compression=None, buffer_size=1 << 20) as stream:
+                    for offset, length, member in members(stream):
                         headers, block = parse(member)
                         one = dict(headers)
-                        payload, digest, length = None, None, None
+                        payload, digest, size_of = None, None, None
                         if one["warc-type"] == "response":
                             payload = block.partition(b"\r\n\r\n")[2]
-                            digest, length = digest_of(payload), len(payload)
+                            digest, size_of = digest_of(payload), len(payload)
                             if one.get("warc-payload-digest", f"sha1:{digest}") != f"sha1:{digest}":
                                 raise ValueError(f"{one['warc-record-id']}: its payload doesn't have the stated digest")
                         elif one["warc-type"] == "revisit":
-                            digest, length = one["warc-payload-digest"].removeprefix("sha1:"), int(one["x-payload-length"])
+                            digest, size_of = one["warc-payload-digest"].removeprefix("sha1:"), int(one["x-payload-length"])
                         page = one.get("x-page-id")
-                        rows.append((one["warc-record-id"], one["warc-type"], [v for k, v in headers if k == "warc-concurrent-to"], one.get("warc-target-uri"), one.get("warc-date"), one.get("warc-refers-to"), digest, length, int(page) if page else None, payload if with_payload else None))
+                        rows.append((one["warc-record-id"], one["warc-type"], [v for k, v in headers if k == "warc-concurrent-to"], one.get("warc-target-uri"), one.get("warc-date"), one.get("warc-refers-to"), digest, size_of, int(page) if page else None, file, offset, length, payload if with_payload else None))
                         size += len(member)
                         if len(rows) >= 1024 or size > 8 << 20:
                             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
@@ -187,7 +200,7 @@ def read_records(spark: SparkSession, files: list[str], with_payload: bool = Tru
 
 
 def assemble(records: DataFrame) -> DataFrame:
-    """One nested row per capture: response (or revisit), requests and metadata, joined through concurrent-to identifiers."""
+    """One nested row per capture: response (or revisit), with its payload if records have them and its place in the archives anyway, requests and metadata, joined through concurrent-to identifiers."""
     answers = records.where(F.col("record_type").isin("response", "revisit"))
     others = records.where(F.col("record_type").isin("request", "metadata"))
     named = others.select("record_id", F.explode("concurrent_to").alias("to"))
