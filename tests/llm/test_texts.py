@@ -180,7 +180,7 @@ def test_hot_buckets_and_chains(spark, monkeypatch):
         for k in rng.integers(0, 100, 3):
             chain[k] = f"new{i}{k}"
     monkeypatch.setattr(near_duplicates, "HOT", 4)
-    monkeypatch.setattr(near_duplicates, "HOT_DEEP", 6)
+    monkeypatch.setattr(near_duplicates, "CROWDED", 6)
     got = {r.doc_id: r.class_id for r in near_duplicates.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all(got[i] == i for i in range(90)) and {got[i] for i in range(100, 110)} == {100}
 
@@ -199,7 +199,7 @@ def test_near_pairs_in_a_crowded_bucket(spark, monkeypatch):
         rows.append((i, " ".join(passage + own)))
         if i < 16:
             rows.append((i + 1, " ".join(passage + [w if k % 2 else f"x{i}_{k}" for k, w in enumerate(own)])))  # 75 of 90 words, J = 0.48
-    monkeypatch.setattr(near_duplicates, "HOT_DEEP", 16)
+    monkeypatch.setattr(near_duplicates, "CROWDED", 16)
     assert classes_of(spark, rows) == {i: i - i % 2 for i, _ in rows}
 
 
@@ -240,16 +240,50 @@ def test_short_texts_and_spread_edits(spark):
     assert classes_of(spark, rows) == want
 
 
-def lm_brute(rows, train):
+def test_pairs_that_share_a_long_passage(spark, monkeypatch):
+    """100 pairs, similar above the threshold, share one passage of 130 of their 200 words: rare words bring each pair together."""
+    rng = np.random.default_rng(12)
+    vocabulary = [f"w{i}" for i in range(20_000)]
+    passage, rows = list(rng.choice(vocabulary, 130)), []
+    for i in range(0, 200, 2):
+        own = list(rng.choice(vocabulary, 70))
+        rows.append((i, " ".join(own[:35] + passage + own[35:])))
+        own = [f"x{i}_{k}" if k % 2 else w for k, w in enumerate(own)]
+        rows.append((i + 1, " ".join(own[:35] + passage + own[35:])))
+    monkeypatch.setattr(near_duplicates, "CROWDED", 40)
+    assert classes_of(spark, rows) == {i: i - i % 2 for i, _ in rows}
+
+
+@pytest.mark.parametrize("share", [0.05, 0.1, 0.15, 0.19])
+def test_recall_of_the_sketch(share):
+    """Edits spread evenly over 200 words, of three kinds: at least 0.97 of the pairs above the threshold share a tuple."""
+    rng, hits, pairs = np.random.default_rng(int(100 * share)), 0, 300
+    for _ in range(pairs):
+        a = fingerprints.mixed(rng.integers(0, 1 << 63, 200, dtype=np.uint64))
+        at = np.arange(1, 200, 1 / share).astype(int)
+        kind = rng.integers(0, 3)
+        b = a.copy()
+        b[at] = rng.integers(0, 1 << 63, len(at), dtype=np.uint64)
+        b = b if kind == 0 else np.delete(a, at) if kind == 1 else np.insert(a, at, b[at])
+        assert near_duplicates.similar(a.tolist(), b.tolist())
+        hits += bool(np.intersect1d(near_duplicates.keys_of(a), near_duplicates.keys_of(b)).size)
+    assert hits >= 0.97 * pairs
+
+
+def lm_brute(rows, train=None):
+    """Scores by the counts of train; by those of all rows but the own where it is None."""
     one, two = Counter(), Counter()
-    for _, t in train:
+    for _, t in rows if train is None else train:
         w = words(t)
         one.update(w)
         two.update(zip(w, w[1:], strict=False))
-    n, out = sum(one.values()), []
-    alone = lambda w: math.log((one[w] or 1) / n)
+    everything, all_one, all_two, out = sum(one.values()), one, two, []
     for d, t in rows:
         w = words(t)
+        one, two, n = all_one, all_two, everything
+        if train is None:
+            one, two, n = all_one - Counter(w), all_two - Counter(zip(w, w[1:], strict=False)), max(everything - len(w), 1)
+        alone = lambda w, one=one, n=n: math.log((one[w] or 1) / n)
         s = sum(math.log(two[p] / one[p[0]]) if two[p] else math.log(0.4) + alone(p[1]) for p in zip(w, w[1:], strict=False))
         out.append((d, len(w), s + alone(w[0]) if w else 0.0))
     return out
@@ -264,8 +298,13 @@ def close(got, want):
 @pytest.mark.parametrize("block_words", [2_000_000, 50])
 def test_scores_of_a_corpus(spark, odd, odd_rows, nothing, monkeypatch, block_words):
     monkeypatch.setattr(lm_scores, "BLOCK_WORDS", block_words)
-    close(lm_scores.score_corpus(odd).collect(), lm_brute(odd_rows, odd_rows))
+    got = lm_scores.score_corpus(odd).collect()
+    close([(r.doc_id, r.n_words, r.log_score) for r in got], lm_brute(odd_rows))
+    held = Counter(b for _, t in odd_rows for b in {*zip(words(t), words(t)[1:], strict=False)})
+    back = Counter((d, sum(held[b] == 1 for b in zip(words(t), words(t)[1:], strict=False))) for d, t in odd_rows)
+    assert Counter((r.doc_id, r.n_backed_off) for r in got) == back and any(n for _, n in back)
     assert lm_scores.score_corpus(nothing).count() == 0
+    assert lm_scores.score_corpus(odd.where("text IS NULL")).collect()[0].log_score == 0.0
 
 
 def test_scores_back_off(spark, odd, odd_rows, nothing):

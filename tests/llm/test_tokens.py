@@ -7,7 +7,7 @@ import numpy as np
 import public_tokenizers as P
 import tiktoken
 
-from vecengine.llm import byte_bpe, common, token_counts, token_files
+from vecengine.llm import byte_bpe, common, pieces, token_counts, token_files
 from vecengine.llm.pieces import PieceTable
 
 BPE, FILES, PIECES = P.path("byte_bpe_multi_50k.tiktoken"), P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model")
@@ -45,6 +45,16 @@ def test_piece_table_renews_and_joins():
         assert [x.decode("utf-32-le") for x in table.encode(texts)] == texts
 
 
+def test_pieces_with_one_hash_are_told_apart(monkeypatch):
+    """Whatever the hash, a hit counts only if the characters agree; long pieces are encoded as they come."""
+    real, rng = pieces.hashed, random.Random(7)
+    monkeypatch.setattr(pieces, "hashed", lambda codes, starts, lens: real(codes, starts, lens) % np.uint64(5))
+    table = PieceTable(lambda xs: [x.encode("utf-32-le") for x in xs], "<u4", 20)
+    for _ in range(50):
+        texts = ["".join(rng.choice(["ab", "ba", " ", ",", "\n", "é", "1", "y" * 300]) for _ in range(20)) for _ in range(3)]
+        assert [x.decode("utf-32-le") for x in table.encode(texts)] == texts
+
+
 def test_pieces_of_odd_white_space_are_the_tokenizers():
     tokenizer, table, rng = token_files.load_tokenizer(FILES), token_files._encoder(FILES, "<u2"), random.Random(2)
     parts = ["a", "B", " ", "  ", "\n", "\t", "é", "日本", "!", "'s", "12", "%%", "\x1c", "😀", "\u3000", "ab,", "'", ".", "\r\n", "²", "'ll", "\u0301", "\xa0"]
@@ -67,6 +77,9 @@ def test_token_files(spark, odd, odd_rows, nothing, tmp_path):
     got = sorted((tuple(r) for r in token_files.read_token_files(spark, folder, FILES).collect()), key=lambda r: r[1])
     assert got == expected_files(odd_rows)
     assert not list(tmp_path.glob("a/*.tmp"))
+    least = spark.createDataFrame([(-(1 << 63), "a"), (None, "b")], "doc_id long, text string")
+    token_files.write_token_files(least, f"file://{tmp_path}/c", FILES, 2)
+    assert sorted((r.doc_id for r in token_files.read_token_files(spark, f"file://{tmp_path}/c", FILES).collect()), key=str) == [-(1 << 63), None]
     assert token_files.write_token_files(nothing, f"file://{tmp_path}/b", FILES, 2).count() == 0
     assert token_files.read_token_files(spark, f"file://{tmp_path}/b", FILES).count() == 0
 
@@ -82,15 +95,38 @@ def best_segmentations(word, scores, unknown):
 
 
 def test_token_counts(spark, odd, odd_rows, nothing):
-    scores = token_counts.read_scores(PIECES)
-    unknown = min(scores.values()) - 10
-    got = sorted((tuple(r) for r in token_counts.count_tokens(odd, PIECES).collect()), key=str)
+    scores = token_counts.fit_scores(odd, PIECES)
+    unknown = min(scores.values()) - 10 * token_counts.UNIT
+    got = sorted((tuple(r) for r in token_counts.count_tokens(odd, scores).collect()), key=str)
     want = []
     for i, t in odd_rows:
         words = token_counts.PRETOKEN.findall(token_counts.MARK + t.replace(" ", token_counts.MARK)) if t else []
         want.append((i, len(words), sum(n if len(w) > 1000 else best_segmentations(w, scores, unknown) for w in words for n in [long_count(w, scores, unknown) if len(w) > 1000 else 0])))
     assert got == sorted(want, key=str)
-    assert token_counts.count_tokens(nothing, PIECES).count() == 0
+    assert token_counts.count_tokens(nothing, scores).count() == 0
+    assert len(set(token_counts.fit_scores(nothing, PIECES).values())) == 1
+
+
+def test_unigram_scores(spark):
+    """Scores are those of the library's own counts, whatever the partitions; frequent words get fewer tokens; counts are near the library's."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    rows = [(r.doc_id, r.text) for r in docs.where("text IS NOT NULL").collect()]
+    own = {i: model.encode(t) for i, t in rows}
+    counts = Counter(x for ids in own.values() for x in ids)
+    got = {r.piece: r.n for r in token_counts.piece_counts(docs.repartition(5), PIECES).collect()}
+    assert got == dict(counts)
+    scores = token_counts.fit_scores(docs, PIECES)
+    assert abs(sum(np.exp(x / token_counts.UNIT) for x in scores.values()) - 1) < 1e-3 and max(scores.values()) < 0
+    counter = token_counts.TrieCounter(scores)
+    by_word = Counter(w for _, t in rows for w in t.split(" ") if w.isalpha())
+    ordered = [w for w, _ in by_word.most_common()]
+    mean = lambda ws: sum(counter.count_all([" ".join(ws)])[1]) / sum(map(len, ws))
+    assert mean(ordered[:200]) < 0.8 * mean(ordered[-2000:])
+    total = sum(counter.count_all([t for _, t in rows])[1])
+    assert 0.95 < total / sum(map(len, own.values())) < 1.05
 
 
 def long_count(word, scores, unknown):

@@ -10,6 +10,7 @@ import contextlib
 import ctypes
 import gc
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -19,12 +20,13 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark import SparkFiles  # noqa: F401  (workers find shipped archives through it)
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that one step of a batch function sees at once.
-SLICE_ROWS = 512
+#: Rows that one step of a batch function sees at once, and bytes where there is more than one row.
+SLICE_ROWS, SLICE_BYTES = 512, 16 << 20
+#: Partitions and files of one step at most: beyond it they get larger, so that no plan, task list or driver grows with the corpus.
+MOST_PARTS = 1 << 15
 #: Estimates from here on mean that the optimizer doesn't know.
 UNKNOWN_BYTES = 1 << 52
 _shipped: set[str] = set()
@@ -62,17 +64,31 @@ def claim(name: str, forget: Callable[[], None]) -> None:
 
 
 def shared_base(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where all run in one process it may be unset, and is set to one of our own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = f"file://{tempfile.gettempdir()}/vecengine-shared"
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)
     return base if "://" in base or base.startswith("file:") else f"file://{os.path.abspath(base)}"
 
 
+def application_folder(spark: SparkSession) -> str:
+    """The part of the shared folder that holds what this application writes there."""
+    return f"{shared_base(spark).rstrip('/')}/vecengine-{spark.sparkContext.applicationId}"
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_base(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{application_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Remove all that this application has in the shared folder. Results that weren't saved elsewhere can't be computed after this."""
+    fs, path = filesystem(application_folder(spark))
+    if fs.get_file_info(path).type == pafs.FileType.Directory:
+        fs.delete_dir(path)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -108,7 +124,7 @@ def parts_for(df: DataFrame, bytes_each: int) -> int:
     if size >= UNKNOWN_BYTES:  # rows that don't come from files: measure them
         lengths = [F.coalesce(F.octet_length(k), F.lit(0)) for k, kind in df.dtypes if kind in ("string", "binary")]
         size = df.agg(F.sum(sum(lengths, F.lit(16)).cast("long"))).first()[0] or 0
-    return max(least, min(1 << 20, -(-size // bytes_each)))
+    return max(least, min(MOST_PARTS, -(-size // bytes_each)))
 
 
 def id_bounds(df: DataFrame, key: str, n: int) -> list[int]:
@@ -131,9 +147,19 @@ def bucket_of(key: Column, bounds: list[int]) -> Column:
 
 
 def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in stretches of at most so many rows, and of SLICE_BYTES where they have more than one."""
+
+    def halved(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        if part.num_rows > 1 and part.nbytes > SLICE_BYTES:
+            half = part.num_rows // 2
+            yield from halved(part.slice(0, half))
+            yield from halved(part.slice(half))
+        else:
+            yield part
+
     for batch in batches:
         for i in range(0, batch.num_rows, rows):
-            yield batch.slice(i, rows)
+            yield from halved(batch.slice(i, rows))
 
 
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:

@@ -153,13 +153,16 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray]) -> DataFrame:
 
 
 def with_language(docs: DataFrame, prototypes: dict[str, np.ndarray]) -> DataFrame:
-    """The rows of docs whose language can be told, all columns; a null lang becomes the one found."""
+    """The rows of docs whose language can be told, all columns; a null lang becomes the one found. Without prototypes all texts that have a letter stay, as they are."""
     common.ship(docs.sparkSession)
     names, matrix = as_matrix(prototypes)
     at = docs.columns.index("lang")
 
     def run(batches):
         for batch in common.slices(batches, ROWS):
+            if not names:
+                yield batch.filter(pa.array([len(trigrams(t)) > 0 for t in common.texts_of(batch)]))
+                continue
             langs, _ = predict(common.texts_of(batch), names, matrix)
             lang = pa.array([own if own is not None else new for own, new in zip(batch.column("lang").to_pylist(), langs, strict=True)], batch.schema.field(at).type)
             kept = pa.array([x != UNDETERMINED for x in langs])

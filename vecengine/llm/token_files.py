@@ -2,14 +2,13 @@
 
 Layout of a folder: ``part-NNNNN.tokens`` holds the ids of consecutive documents as flat little-endian unsigned
 integers (16 bits where the vocabulary allows, else 32), ``part-NNNNN.index`` holds n + 1 64-bit offsets into it and then n
-64-bit document ids, and the table ``manifest`` has one row per part with its first document and first token: prefix sums
-of the parts' counts. A reader maps both files into memory and adds the part's base to an offset.
+64-bit document ids, and the table ``manifest`` has one row per part with its first document and first token (prefix sums
+of the parts' counts) and how many of its documents, the first ones, have no id. A reader maps both files into memory and adds the part's base to an offset.
 
 Texts move once, to ranges of doc_id. Each attempt of a task writes under a name of its own and moves the whole
 file into place, so lost executors and repeated tasks do no harm.
 
-Defined results: null text is empty (the end id alone); null doc_id comes first, kept as the smallest long in the file
-and null again in the result; rows of one doc_id are in the order of their texts; an empty table makes an
+Defined results: null text is empty (the end id alone); null doc_id comes first, counted in the manifest and null again in the result; rows of one doc_id are in the order of their texts; an empty table makes an
 empty manifest; other columns are ignored.
 """
 
@@ -29,14 +28,14 @@ from vecengine.llm.pieces import PieceTable
 
 #: Input bytes that one token file is made from.
 PART_BYTES = 64 << 20
-#: Documents whose distinct pieces are looked up together; pieces that are encoded in one call.
-SLICE_ROWS, JOINED_PIECES = 2048, 2000
+#: Pieces that are encoded in one call.
+JOINED_PIECES = 2000
 #: Entries of a worker's table of pieces, beyond which it starts anew.
 MEMO_ENTRIES = 2_000_000
 #: How the vocabulary writes a space.
 SPACE = "\u0120"
-NO_ID = -(1 << 63)
-MANIFEST = "part int, n_docs long, n_tokens long, first_doc long, first_token long"
+COUNTS = "part int, n_docs long, n_null long, n_tokens long"
+MANIFEST = f"{COUNTS}, first_doc long, first_token long"
 READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
 _encoders: dict[tuple[str, str], PieceTable] = {}
 
@@ -99,13 +98,14 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
         encoder, end = _encoder(tokenizer_path, dtype), common.packed([end_id], dtype)
         fs, root = common.filesystem(folder)
         fs.create_dir(root, recursive=True)
-        part, ids, offsets = None, [], [0]
+        part, ids, offsets, nulls = None, [], [0], 0
 
         def flow(out):
-            nonlocal part
+            nonlocal part, nulls
             for batch in common.slices(batches):
                 part = batch.column("part")[0].as_py()
-                ids.extend(NO_ID if x is None else x for x in batch.column("doc_id").to_pylist())
+                ids.extend(x or 0 for x in batch.column("doc_id").to_pylist())
+                nulls += batch.column("doc_id").null_count  # they come first
                 for packed in encoder.encode(common.texts_of(batch)):
                     out.write(packed + end)
                     offsets.append(offsets[-1] + len(packed) // len(end) + 1)
@@ -118,12 +118,12 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
             return
         common.write_atomically(fs, f"{root}/part-{part:05d}.index", lambda out: out.write(common.packed(offsets, "<i8") + common.packed(ids, "<i8")))
         fs.move(tmp, f"{root}/part-{part:05d}.tokens")
-        yield pa.RecordBatch.from_pydict({"part": [part], "n_docs": [len(ids)], "n_tokens": [offsets[-1]]}, schema=common.schema_of("part int, n_docs long, n_tokens long"))
+        yield pa.RecordBatch.from_pydict({"part": [part], "n_docs": [len(ids)], "n_null": [nulls], "n_tokens": [offsets[-1]]}, schema=common.schema_of(COUNTS))
 
-    counts = sorted(dealt.mapInArrow(write, "part int, n_docs long, n_tokens long").collect())  # one row per file
+    counts = sorted(dealt.mapInArrow(write, COUNTS).collect())  # one row per file
     rows, doc, token = [], 0, 0
-    for part, n_docs, n_tokens in counts:
-        rows.append((part, n_docs, n_tokens, doc, token))
+    for part, n_docs, n_null, n_tokens in counts:
+        rows.append((part, n_docs, n_null, n_tokens, doc, token))
         doc, token = doc + n_docs, token + n_tokens
     spark.createDataFrame(rows, MANIFEST).coalesce(1).write.mode("overwrite").parquet(f"{folder.rstrip('/')}/manifest")
     return read_manifest(spark, folder)
@@ -158,7 +158,7 @@ def read_token_files(spark: SparkSession, folder: str, tokenizer_path: str) -> D
                 offsets, ids = index[: row["n_docs"] + 1], index[row["n_docs"] + 1 :]
                 tokens = mapped(fs, f"{root}/part-{row['part']:05d}.tokens", dtype)
                 crc = [zlib.crc32(tokens[a:b].astype("<u4").tobytes()) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(ids.copy(), mask=np.asarray(ids == NO_ID)), pa.array(offsets[:-1] + row["first_token"]), pa.array(np.diff(offsets)), pa.array(crc, pa.int64())], schema=common.schema_of(READ))
+                yield pa.RecordBatch.from_arrays([pa.array(ids.copy(), mask=np.arange(len(ids)) < row["n_null"]), pa.array(offsets[:-1] + row["first_token"]), pa.array(np.diff(offsets)), pa.array(crc, pa.int64())], schema=common.schema_of(READ))
 
     return manifest.repartitionByRange(n, "part").mapInArrow(read, READ)
 
