@@ -27,6 +27,45 @@ def test_exact_knn(spark, k):
         assert all([i for _, i in found[s]] == [j for _, j in want[s]] and np.allclose([d for d, _ in found[s]], [d for d, _ in want[s]]) for s in range(90))
 
 
+@pytest.mark.parametrize("d", [2, 5, 10])
+def test_walks_are_exact(spark, d):
+    """By the tree on each worker and by joins, with points that coincide and with a k beyond a leaf."""
+    rng = np.random.default_rng(d)
+    x = np.vstack([rng.standard_normal((160, d)), np.ones((30, d)), rng.standard_normal((10, d)) * 100]).astype(np.float32).astype(float)
+    df = from_numpy(spark, x)
+    want = edges(N.knn(df, 12))
+    assert edges(N.knn_points(df, 12, leaf_size=6)) == want
+    got = edges(N.knn_points(df, 12, leaf_size=6, limit=0))
+    assert {s: [i for _, i in v] for s, v in got.items()} == {s: [i for _, i in v] for s, v in want.items()}
+
+
+def test_leaves_are_cut_at_the_highest_bit():
+    codes = np.array([0, 1, 2, 3, 8, 9, 10, 11, 12, 13, 14, 15, 64, 64, 64, 64, 64, 64, 64, 64, 64, 64])
+    starts = N.leaf_starts(codes, 6)
+    assert starts.tolist() == [0, 4, 8, 12, 18]  # 3 to 6 points each; the last run is all alike and cut at 6
+    assert N.leaf_starts(codes[:4], 6).tolist() == [0]
+    assert N.bit_lengths(np.array([0, 1, 2, (1 << 32) - 1, 1 << 32, (1 << 62) + 1, (1 << 63) - 1])).tolist() == [0, 1, 2, 32, 33, 63, 63]
+
+
+def test_blocks_on_executors_and_many_ties(spark):
+    rng = np.random.default_rng(3)
+    x = np.round(rng.standard_normal((150, 3)), 0)
+    df, queries = from_numpy(spark, x), from_numpy(spark, np.round(rng.standard_normal((20, 3)), 1))
+    for q, b, k, own in ((df, df, 7, True), (queries, df, 5, False)):
+        want = edges(N.top_k(N.candidates(q, b, k, own), k))
+        assert edges(N.top_k(N.candidates(q, b, k, own, limit=0), k)) == want
+    d = np.linalg.norm(x[:, None] - x[None], axis=2)
+    np.fill_diagonal(d, np.inf)
+    assert all([i for _, i in row] == [j for _, j in sorted((v, j) for j, v in enumerate(d[s]) if j != s)[:7]] for s, row in edges(N.knn(df, 7)).items())
+
+
+def test_a_periodic_box_is_refused(spark):
+    df = from_numpy(spark, np.zeros((3, 2)))
+    for f in (N.knn, N.knn_points):
+        with pytest.raises(ValueError):
+            f(df, 1, boxsize=1.0)
+
+
 def test_duplicates_ties_and_few_points(spark):
     x = np.array([[0.0, 0], [0, 0], [1, 0], [-1, 0], [0, 1]])
     df = from_numpy(spark, x)
@@ -59,15 +98,31 @@ def test_tree_counts(spark):
     assert np.allclose(root.centre, x.mean(0)) and np.allclose(root.low, x.min(0)) and np.allclose(root.high, x.max(0))
 
 
-def test_nndescent_recall(spark):
-    x = np.random.default_rng(42).standard_normal((200, 8))
+@pytest.mark.parametrize("kind", [nndescent.NNDescent, nndescent.NNDescentBatched])
+@pytest.mark.parametrize("n,d,k,least", [(200, 8, 10, 0.95), (1000, 50, 15, 0.8)])
+def test_nndescent_recall(spark, kind, n, d, k, least):
+    x = np.random.default_rng(42).standard_normal((n, d))
     df = from_numpy(spark, x)
-    g = nndescent.NNDescent(k=10, seed=1).build(df).collect()
-    exact = {(s, j) for s, row in enumerate(brute(x, 10)) for _, j in row}
-    assert all(r.src != r.dst for r in g) and len({(r.src, r.dst) for r in g} & exact) / len(exact) > 0.9
+    g = kind(k=k, seed=1).build(df).collect()
+    exact = {(s, j) for s, row in enumerate(brute(x, k)) for _, j in row}
+    assert len(g) == n * k and all(r.src != r.dst for r in g) and len({(r.src, r.dst) for r in g} & exact) / len(exact) > least
     assert all(r.dist == pytest.approx(((x[r.src] - x[r.dst]) ** 2).sum()) for r in g)
+    assert [(r.src, r.rank) for r in g] == [(i, j) for i in range(n) for j in range(1, k + 1)]
     with pytest.raises(ValueError):
-        nndescent.NNDescent(k=200).build(df)
+        kind(k=n).build(df)
+
+
+def test_nndescent_by_joins_seeds_and_early_stop(spark):
+    x = np.random.default_rng(4).standard_normal((120, 6))
+    df = from_numpy(spark, x)
+    exact = {(s, j) for s, row in enumerate(brute(x, 6)) for _, j in row}
+    share = lambda g: len({(r.src, r.dst) for r in g} & exact) / len(exact)
+    joined = nndescent.NNDescentBatched(k=6, seed=2, n_iters=4).build(df, limit=0).collect()
+    assert share(joined) > 0.85 and all(r.dist == pytest.approx(((x[r.src] - x[r.dst]) ** 2).sum()) for r in joined)
+    one, two = (nndescent.NNDescent(k=6, seed=2).build(df.repartition(p)).collect() for p in (1, 3))
+    assert one == two
+    assert share(nndescent.NNDescent(k=6, seed=2, n_iters=1).build(df).collect()) < share(one)
+    assert share(nndescent.NNDescent(k=6, seed=2, delta=1.0).build(df).collect()) < share(one)  # it stops after the first round
 
 
 def blobs(n, k, seed=0):
@@ -91,6 +146,14 @@ def test_kmeans_finds_blobs(spark):
         cluster.KMeans(301).fit(df)
 
 
+def test_random_starts_and_more_of_them(spark):
+    _, x = blobs(200, 6, 3)
+    df = from_numpy(spark, x)
+    few, more = (cluster.KMeans(6, n_init=n, init="random", max_iter=20).fit(df) for n in (1, 4))
+    assert more.inertia_ <= few.inertia_ + 1e-9 and few.cluster_centers_.shape == (6, 4)
+    assert all((np.abs(x - c).sum(1) < 20).any() for c in few.cluster_centers_)
+
+
 def test_empty_clusters_take_the_farthest_points(spark):
     x = np.array([[0.0], [0.1], [10.0]])
     m = cluster.KMeans(2, init=np.array([[0.0], [100.0]]), max_iter=5).fit(from_numpy(spark, np.hstack([x, x])).selectExpr("id", "array(features[0]) features"))

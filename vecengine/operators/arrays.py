@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vecengine.operators.sparse import running_total
+from vecengine.plans.ranges import ranged
 
 
 def where_true(df: DataFrame, index_col: str, condition: Column) -> DataFrame:
@@ -22,15 +23,61 @@ def masked_prefix_sum(df: DataFrame, order_col: str, mask: Column, name: str = "
     return exclusive_sum(df.withColumn("_m", mask.cast("long")), order_col, "_m", name).drop("_m")
 
 
+def offset_sum(df: DataFrame, order_col: str, value_col: str, name: str = "before") -> tuple[DataFrame, int]:
+    """exclusive_sum, and the sum of all."""
+    return exclusive_sum(df, order_col, value_col, name), df.agg(F.sum(value_col)).first()[0] or 0
+
+
 def inverse_permutation(df: DataFrame, index_col: str, value_col: str) -> DataFrame:
     return df.select(F.col(value_col).alias(index_col), F.col(index_col).alias(value_col))
 
 
-def inverse_of_splits(splits: DataFrame, rows: DataFrame, start_col: str, segment_col: str, index_col: str) -> DataFrame:
-    """rows (index) with the segment whose start is the last at or before it; segments are few: their starts go out as one array."""
-    starts = sorted((r[0], r[1]) for r in splits.select(start_col, segment_col).collect())
-    at = F.size(F.filter(F.lit([s for s, _ in starts]), lambda s: s <= F.col(index_col)))
-    return rows.withColumn(segment_col, F.when(at > 0, F.element_at(F.lit([g for _, g in starts]), F.greatest(at, F.lit(1)))))
+def masked_inverse(df: DataFrame, index_col: str, value_col: str, mask: Column) -> DataFrame:
+    """(index, value): the index whose value this index is, of rows that mask holds for; the number of rows where none is. Indices are those of df."""
+    n = df.count()
+    found = df.where(mask).groupBy(F.col(value_col).alias(index_col)).agg(F.max(index_col).alias("_at"))
+    return df.select(index_col).join(found, index_col, "left").select(index_col, F.coalesce("_at", F.lit(n)).alias(value_col))
+
+
+def masked_to_dense(df: DataFrame, order_col: str, value_col: str, mask: Column, fill=0) -> DataFrame:
+    """(at, value): the values that mask holds for, in order, at 0, 1, ...; fill from there to the number of rows."""
+    n = df.count()
+    kept = masked_prefix_sum(df.select(order_col, value_col, mask.alias("_k")), order_col, F.col("_k")).where("_k").select("at", value_col)
+    every = df.sparkSession.range(n).select(F.col("id").alias("at"))
+    return every.join(kept.withColumn("_some", F.lit(True)), "at", "left").select("at", F.when(F.col("_some"), F.col(value_col)).otherwise(F.lit(fill)).alias(value_col))
+
+
+def set_range(base: DataFrame, values: DataFrame, start: int, end: int, index_col: str, value_col: str) -> DataFrame:
+    """base with the values (index from 0) at start .. end; others stay."""
+    moved = values.withColumn(index_col, F.col(index_col) + start).where(F.col(index_col) < end)
+    return masked_scatter(base, moved, index_col, value_col)
+
+
+#: Segments' starts that go out as one array.
+FEW_SPLITS = 10_000
+
+
+def inverse_of_splits(splits: DataFrame, rows: DataFrame, start_col: str, segment_col: str, index_col: str, few: int = FEW_SPLITS) -> DataFrame:
+    """rows (index) with the segment whose start is the last at or before it, the last one of equal starts; null before the first.
+
+    Up to few starts go out as one array; more of them are sorted in among the rows, and each row takes the last start before it within
+    its range of indices, or that of the ranges before.
+    """
+    if splits.limit(few + 1).count() <= few:
+        starts = sorted((r[0], r[1]) for r in splits.select(start_col, segment_col).collect())
+        at = F.size(F.filter(F.lit([s for s, _ in starts]), lambda s: s <= F.col(index_col)))
+        return rows.withColumn(segment_col, F.when(at > 0, F.element_at(F.lit([g for _, g in starts]), F.greatest(at, F.lit(1)))))
+    both = rows.withColumn("_s", F.lit(None).cast(splits.schema[segment_col].dataType)).withColumn("_k", F.lit(1))
+    both = both.unionByName(splits.select(F.col(start_col).alias(index_col), F.col(segment_col).alias("_s"), F.lit(0).alias("_k")), allowMissingColumns=True)
+    part, bounds = ranged(both, index_col)
+    last = {r["_part"]: r["s"]["_s"] for r in part.where("_k = 0").groupBy("_part").agg(F.max(F.struct(index_col, "_s")).alias("s")).collect()}  # one row a range
+    before, held = [], None
+    for p in range(len(bounds) + 1):
+        before.append(held)
+        held = last.get(p, held)
+    own = F.last("_s", ignorenulls=True).over(Window.partitionBy("_part").orderBy(index_col, "_k", "_s").rowsBetween(Window.unboundedPreceding, 0))
+    carried = F.element_at(F.array(*[F.lit(x) for x in before]), F.col("_part") + 1)
+    return part.withColumn("_o", F.coalesce(own, carried)).where("_k = 1").drop("_s", "_k", "_part").withColumnRenamed("_o", segment_col)
 
 
 def search_sorted(keys: list, value: Column, side: str = "left") -> Column:

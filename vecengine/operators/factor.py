@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,8 +21,24 @@ def _merge_moments(a: tuple, b: tuple) -> tuple:
     return n, a[1] + delta * (b[0] / n), a[2] + b[2] + np.outer(delta, delta) * (a[0] * b[0] / n)
 
 
-def _reduced(df: DataFrame, columns: list[str], first: Callable, merge: Callable, fan: int = 64):
-    """Reduce per-partition arrays: once per partition, then over groups of partitions on executors, then on the driver."""
+#: Partitions' states that the driver merges itself; states of one task of each level beyond that.
+FEW, TASKS = 64, (256, 8)
+#: Input bytes that surely make no more than FEW partitions.
+SMALL_BYTES = 1 << 30
+
+
+def _merged(states: Iterable[tuple], merge: Callable):
+    state = None
+    for new in states:
+        state = new if state is None else merge(state, new)
+    return state
+
+
+def _reduced(df: DataFrame, columns: list[str], first: Callable, merge: Callable):
+    """Reduce per-partition arrays: once per partition, then over two levels of partition numbers on executors, a state at a time, then on the driver.
+
+    A table that is small by the optimizer's estimate has few partitions, whose states go to the driver at once.
+    """
 
     def partial(batches):
         state = None
@@ -30,30 +47,30 @@ def _reduced(df: DataFrame, columns: list[str], first: Callable, merge: Callable
                 new = first(*[batch.column(i) for i in range(len(columns))])
                 state = new if state is None else merge(state, new)
         if state is not None:
-            yield _packed(state)
+            yield _packed(TaskContext.get().partitionId(), state)
 
-    def again(table: pa.Table) -> pa.Table:
-        state = None
-        for row in sorted(table.column("state").to_pylist()):
-            new = _unpacked(row)
-            state = new if state is None else merge(state, new)
-        return pa.Table.from_batches([_packed(state)])
-
-    parts = df.select(*columns).mapInArrow(partial, "state binary")
-    wide = df.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    if int(wide) > fan:
-        parts = parts.withColumn("g", F.pmod(F.xxhash64("state"), F.lit(fan))).groupBy("g").applyInArrow(lambda t: again(t), "state binary")
-    state = None
-    for row in sorted(bytes(r["state"]) for r in parts.collect()):
-        new = _unpacked(row)
-        state = new if state is None else merge(state, new)
-    return state
+    def again(batches):
+        number, state = None, None
+        for batch in batches:
+            for i, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                number, new = i if number is None else number, _unpacked(data.as_py())
+                state = new if state is None else merge(state, new)
+        if state is not None:
+            yield _packed(number, state)
 
+    spark = df.sparkSession
+    parts = df.select(*columns).mapInArrow(partial, "part int, state binary")
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size > SMALL_BYTES or int(spark.conf.get("spark.sql.shuffle.partitions")) > FEW:
+        for n in TASKS:
+            parts = parts.repartitionById(n, F.pmod("part", F.lit(n))).sortWithinPartitions("part").mapInArrow(again, "part int, state binary")
+    return _merged((_unpacked(bytes(r["state"])) for r in sorted(parts.collect(), key=lambda r: r["part"])), merge)
 
-def _packed(state: tuple) -> pa.RecordBatch:
+
+def _packed(part: int, state: tuple) -> pa.RecordBatch:
     import pickle
 
-    return pa.RecordBatch.from_pydict({"state": [pickle.dumps(tuple(np.asarray(x) for x in state), 5)]}, schema=pa.schema([("state", pa.binary())]))
+    return pa.RecordBatch.from_pydict({"part": [part], "state": [pickle.dumps(tuple(np.asarray(x) for x in state), 5)]}, schema=pa.schema([("part", pa.int32()), ("state", pa.binary())]))
 
 
 def _unpacked(data: bytes) -> tuple:
@@ -78,6 +95,32 @@ def moments(df: DataFrame, features_col: str, centred: bool = True) -> tuple[int
     return int(state[0]), state[1], state[2]
 
 
+def moments_by(df: DataFrame, by: str, features_col: str, finish: Callable, ddl: str, centred: bool = True) -> DataFrame:
+    """(by, columns of ddl): finish(n, mean, products), a dict, for each group: groups are summed up in each partition, so no task holds a group's rows."""
+
+    def partial(batches):
+        states: dict = {}
+        for batch in batches:
+            keys = batch.column(0).dictionary_encode()
+            codes, x = keys.indices.to_numpy(zero_copy_only=False), blocks.vectors(batch.column(1))
+            for i, key in enumerate(keys.dictionary.to_pylist()):
+                y = x[codes == i]
+                mean = y.mean(axis=0) if centred else np.zeros(y.shape[1])
+                new = len(y), mean, (y - mean).T @ (y - mean)
+                states[key] = merge(states[key], new) if key in states else new
+        if states:
+            yield pa.RecordBatch.from_arrays([pa.array(list(states), batch.schema.field(0).type), pa.array([_packed(0, s).column(1)[0].as_py() for s in states.values()], pa.binary())], names=[by, "state"])
+
+    def whole(table: pa.Table) -> pa.Table:
+        n, mean, products = _merged(map(_unpacked, sorted(table.column("state").to_pylist())), merge)
+        return pa.table({by: table.column(by)[:1], **finish(int(n), mean, products)})
+
+    merge = _merge_moments if centred else (lambda a, b: (a[0] + b[0], a[1], a[2] + b[2]))
+    kind = df.schema[by].dataType.simpleString()
+    parts = df.where(F.col(by).isNotNull()).select(by, features_col).mapInArrow(partial, f"{by} {kind}, state binary")
+    return parts.groupBy(by).applyInArrow(lambda t: whole(t), f"{by} {kind}, {ddl}")
+
+
 def summed(df: DataFrame, columns: list[str], first: Callable) -> tuple:
     """Sums of the arrays that first makes of each block."""
     return _reduced(df, columns, first, lambda a, b: tuple(x + y for x, y in zip(a, b, strict=True)))

@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecengine.functions import blocks
-from vecengine.operators import factor
+from vecengine.operators import factor, pairs
+from vecengine.operators.pairs import gathered
 from vecengine.plans import strategy
 
 CUTOFF, FLOOR = 1e-10, 1e-20  # fixed values: share of the largest eigenvalue below which one is dropped; least divisor
@@ -31,49 +31,33 @@ def kernel_block(x: np.ndarray, y: np.ndarray, name: str, gamma: float | None, d
     raise ValueError(f"unknown kernel {name!r}")
 
 
-def gathered(df: DataFrame, id_col: str, features_col: str, limit: int = strategy.BROADCAST_BYTES) -> tuple[list, np.ndarray]:
-    """Ids and vectors of a side that is small by a check of its size, in id order."""
-    n, d = strategy.shape(df, features_col)
-    if not strategy.fits(n, d, limit):
-        raise ValueError(f"{n} vectors of {d} elements don't fit {limit} bytes")
-    rows = sorted(((r[0], r[1]) for r in df.select(id_col, features_col).collect()), key=lambda r: r[0])
-    return [r[0] for r in rows], np.array([r[1] for r in rows], float).reshape(n, d)
-
-
 def pairwise_kernel(x: DataFrame, y: DataFrame | None = None, *, kernel: str = "rbf", gamma: float | None = None, degree: float = 3, coef0: float = 1.0, id_col: str = "id", features_col: str = "features") -> DataFrame:
-    """(i, j, k) for all pairs. y goes whole to the workers where it fits; else in blocks of bounded size, each met with all of x."""
+    """(i, j, k) for all pairs. y goes whole to the workers where it fits; else both sides meet in blocks on the executors."""
     y = x if y is None else y
     if kernel not in ("linear", "rbf", "poly", "sigmoid"):
         raise ValueError(f"unknown kernel {kernel!r}")
     i_kind, j_kind = x.schema[id_col].dataType.simpleString(), y.schema[id_col].dataType.simpleString()
-    n, d = strategy.shape(y, features_col)
-    parts = max(1, -(-n * d * 8 // strategy.BROADCAST_BYTES))
-    out = None
-    for p in range(parts):
-        block = y.where(F.pmod(F.xxhash64(id_col), F.lit(parts)) == p) if parts > 1 else y
-        ids, vectors = gathered(block, id_col, features_col, 2 * strategy.BROADCAST_BYTES)
-        sent = x.sparkSession.sparkContext.broadcast((ids, vectors))
-
-        def run(batches, sent=sent):
-            ids, vectors = sent.value
-            step = strategy.batch_rows(len(ids))
-            for batch in batches:
-                for at in range(0, batch.num_rows, step):
-                    some = batch.slice(at, step)
-                    k = kernel_block(blocks.vectors(some.column(1)), vectors, kernel, gamma, degree, coef0)
-                    yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(np.repeat(np.arange(len(k)), len(ids)))), pa.array(np.tile(np.array(ids, object), len(k)).tolist()), pa.array(k.reshape(-1))], names=["i", "j", "k"])
-
-        part = x.select(id_col, features_col).mapInArrow(run, f"i {i_kind}, j {j_kind}, k double")
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-def centred(k: DataFrame) -> DataFrame:
-    """(i, j, k) doubly centred: less its row's and its column's mean, plus the mean of all."""
-    rows = k.groupBy("i").agg(F.avg("k").alias("ri"))
-    columns = k.groupBy("j").agg(F.avg("k").alias("cj"))
-    mean = k.agg(F.avg("k")).first()[0]
-    return k.join(rows, "i").join(columns, "j").select("i", "j", (F.col("k") - F.col("ri") - F.col("cj") + F.lit(mean)).alias("k"))
+
+    def block(own: pa.Array, xs: np.ndarray, ids: list, ys: np.ndarray) -> pa.RecordBatch:
+        k = kernel_block(xs, ys, kernel, gamma, degree, coef0)
+        i = own.take(pa.array(np.repeat(np.arange(len(k)), len(ids))))
+        j = pa.array(ids).take(pa.array(np.tile(np.arange(len(ids)), len(k))))
+        return pa.RecordBatch.from_arrays([i, j, pa.array(k.reshape(-1))], names=["i", "j", "k"])
+
+    return pairs.met(x, y, block, f"i {i_kind}, j {j_kind}, k double", id_col, features_col)
+
+
+def centred(k: DataFrame, symmetric: bool = False) -> DataFrame:
+    """(i, j, k) doubly centred: less its row's and its column's mean, plus the mean of all.
+
+    The kernel is written once and read for the means, which are few (one for each row and column) beside its entries. The columns' means of
+    a symmetric kernel are those of its rows.
+    """
+    k = strategy.cut(k)
+    rows = strategy.cut(k.groupBy("i").agg(F.avg("k").alias("ri"), F.sum("k").alias("s"), F.count("k").alias("n")))
+    total = rows.agg(F.sum("s") / F.sum("n")).first()[0]
+    columns = rows.select(F.col("i").alias("j"), F.col("ri").alias("cj")) if symmetric else k.groupBy("j").agg(F.avg("k").alias("cj"))
+    return k.join(rows.select("i", "ri"), "i").join(columns, "j").select("i", "j", (F.col("k") - F.col("ri") - F.col("cj") + F.lit(total)).alias("k"))
 
 
 def _eigen(k: np.ndarray, drop: bool = True) -> tuple[np.ndarray, np.ndarray]:

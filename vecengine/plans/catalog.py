@@ -98,6 +98,19 @@ def knn_lowdim(spark, d):
     return neighbors.knn_points(part_points(spark, d), 5).select("src", F.col("rank").cast("long").alias("rank"), "dst", near("dist", 6).alias("dist"))
 
 
+@query(ORACLE_SQL["knn_lowdim"])
+def knn_walk(spark, d):
+    """The same by joins, as for points that no worker can hold."""
+    return neighbors.knn_points(part_points(spark, d), 5, limit=0).select("src", F.col("rank").cast("long").alias("rank"), "dst", near("dist", 6).alias("dist"))
+
+
+@query(ORACLE_SQL["knn_exact"])
+def knn_blocks(spark, d):
+    """The same with both sides in blocks on the executors, as for a base that no worker can hold."""
+    e = embeddings(spark, d)
+    return neighbors.top_k(neighbors.candidates(e, e, 8, itself=True, limit=0), 8).select("src", F.col("rank").cast("long").alias("rank"), "dst", near("dist", 6).alias("dist"))
+
+
 @query(f"""WITH {SQL_P} SELECT a.id AS src, b.id AS dst, round((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y), 4) AS d2 FROM p a JOIN p b
 ON (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) < 2.25""")
 def radius_join(spark, d):
@@ -150,7 +163,8 @@ def box_pair_dist(spark, d):
     return neighbors.box_pairs(b, b).select("a", "b", near("d2").alias("d2"))
 
 
-@query()
+@query(f"""WITH {SQL_L}, top AS (SELECT max(leaf) AS m FROM l) SELECT CAST(v AS INTEGER) AS level, CAST(leaf // CAST(8 ** v AS BIGINT) AS BIGINT) AS node, count(*) AS npart, round(avg(x), 4) AS cx, round(avg(y), 4) AS cy
+FROM l, top, unnest(range(0, 12)) t(v) WHERE v = 0 OR m // CAST(8 ** (v - 1) AS BIGINT) > 0 GROUP BY ALL""")
 def spatial_tree(spark, d):
     t = neighbors.tree(part_leaves(spark, d))
     return t.select("level", "node", "npart", near(F.col("centre")[0]).alias("cx"), near(F.col("centre")[1]).alias("cy"))
@@ -184,7 +198,7 @@ SELECT i, j, round(k - avg(k) OVER (PARTITION BY i) - avg(k) OVER (PARTITION BY
 
 @query(CENTRED)
 def kernel_centered(spark, d):
-    return kernels.centred(kernels.pairwise_kernel(embeddings(spark, d), kernel="linear")).select("i", "j", near("k", 6).alias("k"))
+    return kernels.centred(kernels.pairwise_kernel(embeddings(spark, d), kernel="linear"), symmetric=True).select("i", "j", near("k", 6).alias("k"))
 
 
 @query(f"WITH {SQL_E} SELECT a.id, round(sum(exp(-1.0 * (list_distance(a.v, b.v) ** 2))), 4) AS s FROM e a JOIN e b ON true GROUP BY a.id")
@@ -376,10 +390,35 @@ def randomized_svd_top(spark, d):
     return spark.createDataFrame([(i, float(x), float(np.linalg.norm(r))) for i, (x, r) in enumerate(zip(s, v, strict=True))], "i long, s double, norm double").select("i", near("s", 2).alias("s"), near("norm").alias("norm"))
 
 
-@query()
+def _batches(spark, d):
+    return tables.table(spark, d, "embeddings").select(F.col("label").alias("batch_id"), F.col("vec_id").alias("row_id"), F.col("embedding").alias("features"))
+
+
+@query(f"WITH {SQL_E}, x AS (SELECT label, v[j] AS x FROM (SELECT label, v, unnest(range(1, len(v) + 1)) AS j FROM e)) SELECT label AS batch_id, round(sum(x * x), 4) AS energy FROM x GROUP BY label")
 def batched_svd(spark, d):
-    e = tables.table(spark, d, "embeddings").select(F.col("label").alias("batch_id"), F.col("vec_id").alias("row_id"), F.col("embedding").alias("features"))
-    return decomposition.batched_svd(e, 4).select("batch_id", F.posexplode("s").alias("j", "s")).select("batch_id", F.col("j").cast("long").alias("j"), near("s").alias("s"))
+    """All singular values of each label's matrix: their squares add up to its elements'."""
+    s = decomposition.batched_svd(_batches(spark, d), 1 << 20)
+    return s.select("batch_id", near(expr.squared_norm(F.col("s"))).alias("energy"))
+
+
+@query()
+def batched_svd_sketch(spark, d):
+    return decomposition.batched_svd(_batches(spark, d), 4, solver="sketch").select("batch_id", F.posexplode("s").alias("j", "s")).select("batch_id", F.col("j").cast("long").alias("j"), near("s").alias("s"))
+
+
+@query(f"""WITH {SQL_E}, x AS (SELECT label, j, v[j] AS x FROM (SELECT label, v, unnest(range(1, len(v) + 1)) AS j FROM e)), s AS (SELECT label, j, var_samp(x) AS v, avg(x) AS m, count(*) AS n FROM x GROUP BY label, j)
+SELECT label AS batch_id, any_value(n) AS n, round(sum(v), 6) AS total, round(sum(m), 6) + 0.0 AS mean, 1.0 AS ratio FROM s GROUP BY label""")
+def batched_pca(spark, d):
+    m = decomposition.batched_pca(_batches(spark, d), 1 << 20)
+    return m.select("batch_id", "n", near(expr.total(F.col("explained_variance")), 6).alias("total"), near(expr.total(F.col("mean")), 6).alias("mean"), near(expr.total(F.col("explained_variance_ratio")), 6).alias("ratio"))
+
+
+@query(f"WITH {SQL_J} SELECT id AS row_id, j, round(x, 4) + 0.0 AS x FROM x")
+def batched_pca_roundtrip(spark, d):
+    rows = _batches(spark, d)
+    models = decomposition.batched_pca(rows, 1 << 20)
+    z = decomposition.batched_transform(rows, models, whiten=True).select("batch_id", "row_id", "z")
+    return long(decomposition.batched_transform(z, models, features_col="z", output_col="features", whiten=True, inverse=True), "row_id", "features")
 
 
 # Projections
@@ -435,6 +474,15 @@ def ensemble_long(spark, d):
     return z.select(F.col("member").cast("long").alias("member"), "id", F.posexplode("z").alias("j", "x")).select("member", "id", F.col("j").cast("long").alias("j"), near("x").alias("x"))
 
 
+@query(f"""WITH {SQL_J}, m AS (SELECT j, avg(x) AS m FROM x GROUP BY j) SELECT CAST(0 AS BIGINT) AS member, id, round(sum((x - m) * (x - m)), 4) AS s FROM x JOIN m USING (j) GROUP BY id
+UNION ALL SELECT member + 1, id, round(sum(x * x), 4) FROM ({_projected([_gaussian(DIM, 43)])}) GROUP BY member, id""")
+def ensemble_with_pca(spark, d):
+    """A member of all principal components keeps each row's distance from the mean; with it a Gaussian one."""
+    e = embeddings(spark, d)
+    z = projection.EnsembleRandomProjection(DIM, n_pca=1, n_sparse=0, n_gaussian=1).fit(e).transform(e)
+    return z.select(F.col("member").cast("long").alias("member"), "id", near(expr.squared_norm(F.col("z"))).alias("s"))
+
+
 @query(f"SELECT id, round(sum(x) / 4 + (SELECT avg(label) FROM embeddings), 4) AS prediction FROM ({_projected(MEMBERS)}) GROUP BY id")
 def ensemble_mean(spark, d):
     e = embeddings(spark, d).join(tables.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("double").alias("y")), "id")
@@ -558,3 +606,49 @@ def expand_pairs(spark, d):
 @query("SELECT c_custkey FROM customer WHERE c_acctbal > 0")
 def where_true(spark, d):
     return arrays.where_true(tables.table(spark, d, "customer"), "c_custkey", F.col("c_acctbal") > 0)
+
+
+@query("SELECT c_custkey, CAST(sum(c_nationkey) OVER (ORDER BY c_custkey) - c_nationkey AS BIGINT) AS before, CAST(sum(c_nationkey) OVER () AS BIGINT) AS total FROM customer")
+def offset_sum(spark, d):
+    rows, total = arrays.offset_sum(tables.table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").cast("long").alias("n")), "c_custkey", "n")
+    return rows.select("c_custkey", F.col("before").cast("long").alias("before"), F.lit(total).cast("long").alias("total"))
+
+
+SQL_Z = "z AS (SELECT row_number() OVER (ORDER BY p_retailprice, p_partkey) - 1 AS at, row_number() OVER (ORDER BY p_partkey) - 1 AS i, p_size FROM part)"
+
+
+def _permuted(spark, d):
+    """A permutation of parts: their place by price (at) and by key (i)."""
+    order = ranked(tables.table(spark, d, "part").select("p_partkey", "p_retailprice", "p_size"), "p_retailprice", "p_partkey", name="at")
+    return ranked(order, "p_partkey", name="i")
+
+
+@query(f"WITH {SQL_Z}, n AS (SELECT count(*) AS n FROM part) SELECT a.at, CAST(coalesce(b.at, n) AS BIGINT) AS i FROM z a LEFT JOIN z b ON b.i = a.at AND b.p_size > 25, n")
+def masked_inverse(spark, d):
+    return arrays.masked_inverse(_permuted(spark, d).select("at", "i", "p_size"), "at", "i", F.col("p_size") > 25).select("at", F.col("i").cast("long").alias("i"))
+
+
+@query("""WITH k AS (SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS i, c_custkey FROM customer WHERE c_acctbal > 0), n AS (SELECT row_number() OVER () - 1 AS i FROM customer)
+SELECT n.i AS at, coalesce(CAST(c_custkey AS BIGINT), -1) AS value FROM n LEFT JOIN k ON n.i = k.i""")
+def masked_to_dense(spark, d):
+    rows = tables.table(spark, d, "customer").select("c_custkey", F.col("c_custkey").cast("long").alias("value"), "c_acctbal")
+    return arrays.masked_to_dense(rows, "c_custkey", "value", F.col("c_acctbal") > 0, -1)
+
+
+@query("SELECT n_nationkey, CASE WHEN n_nationkey >= 3 AND n_nationkey < 7 THEN 100 + n_nationkey - 3 ELSE CAST(n_regionkey AS BIGINT) END AS value FROM nation")
+def set_range(spark, d):
+    base = tables.table(spark, d, "nation").select("n_nationkey", F.col("n_regionkey").cast("long").alias("value"))
+    return arrays.set_range(base, spark.range(6).select(F.col("id").alias("n_nationkey"), (F.col("id") + 100).alias("value")), 3, 7, "n_nationkey", "value")
+
+
+@query("SELECT l_orderkey, l_linenumber, CAST((l_orderkey + 6) // 7 AS BIGINT) AS blocks FROM lineitem")
+def div_ceil(spark, d):
+    return tables.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", expr.div_ceil(F.col("l_orderkey"), F.lit(7)).cast("long").alias("blocks"))
+
+
+@query("SELECT e.o_orderkey, CAST(max(s.o_orderkey) AS BIGINT) AS segment FROM orders e ASOF LEFT JOIN (SELECT o_orderkey FROM orders WHERE o_orderkey % 3 = 0) s ON e.o_orderkey >= s.o_orderkey GROUP BY e.o_orderkey")
+def inverse_of_many_splits(spark, d):
+    """As many segments as a third of the orders: beyond the bound they are sorted in among the rows."""
+    o = tables.table(spark, d, "orders").select("o_orderkey")
+    splits = o.where("o_orderkey % 3 = 0").select(F.col("o_orderkey").cast("long").alias("start"), F.col("o_orderkey").cast("long").alias("segment"))
+    return arrays.inverse_of_splits(splits, o, "start", "segment", "o_orderkey", few=0)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,3 +30,21 @@ def fits(rows: int, features: int, limit: int = BROADCAST_BYTES) -> bool:
 def batch_rows(columns: int) -> int:
     """Rows of a block whose scores against so many columns stay within SCORE_ELEMENTS."""
     return max(1, SCORE_ELEMENTS // max(1, columns))
+
+
+def width(df: DataFrame, features_col: str) -> int:
+    """Elements of the first row's vector; 0 without rows. Block maps hold all others against it."""
+    row = df.select(F.size(features_col)).first()
+    return max(0, row[0]) if row else 0
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """A checkpoint in spark.checkpoint.dir. Where all run in one process it may be unset, and is set to a folder of our own."""
+    spark = df.sparkSession
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = f"file://{tempfile.gettempdir()}/vecengine-shared"
+        spark.conf.set("spark.checkpoint.dir", folder)
+        spark.sparkContext.setCheckpointDir(folder)
+    return df.checkpoint()
