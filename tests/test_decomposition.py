@@ -36,6 +36,66 @@ def test_batched_svd(spark):
     assert all(np.allclose(got[b], np.linalg.svd(x)[1][:3]) for b, x in enumerate(xs))
 
 
+@pytest.mark.parametrize("solver", ["gram", "sketch"])
+def test_batched_svd_by_either_way(spark, solver):
+    xs = [low_rank(n, 10, 6, s) for n, s in ((40, 1), (25, 2), (7, 3))]
+    df = spark.createDataFrame([(f"b{b}", i, r.tolist()) for b, x in enumerate(xs) for i, r in enumerate(x)], "batch_id string, row_id int, features array<double>").repartition(3)
+    for r in D.batched_svd(df, 4, solver=solver).collect():
+        u, s, vt = np.linalg.svd(xs[int(r.batch_id[1])], full_matrices=False)
+        vt = vt[:4] * np.sign(vt[np.arange(4), np.abs(vt[:4]).argmax(1)])[:, None]
+        assert np.allclose(r.s, s[:4]) and np.allclose(r.vt, vt, atol=1e-6)
+
+
+def test_batched_pca_is_that_of_each_batch(spark):
+    xs = [np.random.default_rng(s).standard_normal((n, 6)) * np.arange(1, 7) + s for n, s in ((50, 1), (9, 2))]
+    rows = [(b, i, r.tolist()) for b, x in enumerate(xs) for i, r in enumerate(x)]
+    df = spark.createDataFrame([*rows, (7, 0, None), (None, 0, xs[0][0].tolist())], "batch_id int, row_id int, features array<double>").repartition(3)
+    models = D.batched_pca(df.where("features IS NOT NULL"), 3)
+    got = {r.batch_id: r for r in models.collect()}
+    assert set(got) == {0, 1}
+    for b, x in enumerate(xs):
+        one = D.PCA(3).fit(from_numpy(spark, x))
+        for name in ("mean", "components", "singular_values", "explained_variance", "explained_variance_ratio"):
+            assert np.allclose(getattr(got[b], name), getattr(one, name + "_")), name
+        assert got[b].n == len(x)
+        z = D.batched_transform(df, models).where(f"batch_id = {b}").orderBy("row_id").collect()
+        assert np.allclose([r.z for r in z], (x - one.mean_) @ one.components_.T)
+    assert [r.z for r in D.batched_transform(df, models).where("batch_id = 7 OR batch_id IS NULL").collect()] == [None, None]
+
+
+@pytest.mark.parametrize("n,d,k", [(60, 20, 5), (300, 64, 10), (50, 120, 8)])
+def test_svd_and_pca_at_other_shapes(spark, n, d, k):
+    """Against the full decomposition, taller and wider than long; one pass and the sketch agree."""
+    x = low_rank(n, d, 15, n)
+    df = from_numpy(spark, x)
+    exact = np.linalg.svd(x, full_matrices=False)
+    s, v, _, rows = D.randomized_svd(df, k)
+    assert rows == n and np.allclose(s, exact[1][:k], rtol=1e-6) and np.allclose(np.abs((v * exact[2][:k]).sum(1)), 1, atol=1e-5)
+    centred = np.linalg.svd(x - x.mean(0), compute_uv=False)
+    for solver in ("gram", "sketch"):
+        m = D.PCA(k, solver=solver).fit(df)
+        assert np.allclose(m.singular_values_, centred[:k], rtol=1e-3) and m.explained_variance_ratio_.sum() <= 1 + 1e-9
+        assert np.allclose(m.explained_variance_ratio_, centred[:k] ** 2 / (centred**2).sum(), rtol=1e-3)
+
+
+def test_reduction_over_two_levels(spark, monkeypatch):
+    """The same sums whether the driver merges the partitions' states or tasks do first."""
+    from vecengine.operators import factor
+
+    df = from_numpy(spark, np.random.default_rng(5).standard_normal((300, 6))).repartition(9)
+    one = factor.moments(df, "features")
+    monkeypatch.setattr(factor, "SMALL_BYTES", 0)
+    two = factor.moments(df, "features")
+    assert one[0] == two[0] == 300 and np.allclose(one[1], two[1]) and np.allclose(one[2], two[2])
+
+
+def test_dimensions_by_rule(spark):
+    df = from_numpy(spark, np.random.default_rng(6).standard_normal((30, 5)))
+    k = P.johnson_lindenstrauss_min_dim(30, 0.5)
+    assert P.GaussianRandomProjection("auto", eps=0.5).fit(df).components_.shape == (k, 5)
+    assert P.SparseRandomProjection("auto", eps=0.5).fit(df).components_.shape == (k, 5)
+
+
 def test_pca_round_trip_and_whitening(spark):
     x = np.random.default_rng(3).standard_normal((200, 8)) + 5
     df = from_numpy(spark, x)

@@ -117,7 +117,7 @@ def test_nndescent_by_joins_seeds_and_early_stop(spark):
     df = from_numpy(spark, x)
     exact = {(s, j) for s, row in enumerate(brute(x, 6)) for _, j in row}
     share = lambda g: len({(r.src, r.dst) for r in g} & exact) / len(exact)
-    joined = nndescent.NNDescentBatched(k=6, seed=2, n_iters=4).build(df, limit=0).collect()
+    joined = nndescent.NNDescent(k=6, seed=2, max_candidates=12, n_iters=6).build(df, limit=0).collect()
     assert share(joined) > 0.85 and all(r.dist == pytest.approx(((x[r.src] - x[r.dst]) ** 2).sum()) for r in joined)
     one, two = (nndescent.NNDescent(k=6, seed=2).build(df.repartition(p)).collect() for p in (1, 3))
     assert one == two
