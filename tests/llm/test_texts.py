@@ -180,6 +180,7 @@ def test_hot_buckets_and_chains(spark, monkeypatch):
         for k in rng.integers(0, 100, 3):
             chain[k] = f"new{i}{k}"
     monkeypatch.setattr(near_duplicates, "HOT", 4)
+    monkeypatch.setattr(near_duplicates, "BLOCK", 5)
     monkeypatch.setattr(near_duplicates, "CROWDED", 6)
     got = {r.doc_id: r.class_id for r in near_duplicates.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all(got[i] == i for i in range(90)) and {got[i] for i in range(100, 110)} == {100}
@@ -200,6 +201,7 @@ def test_near_pairs_in_a_crowded_bucket(spark, monkeypatch):
         if i < 16:
             rows.append((i + 1, " ".join(passage + [w if k % 2 else f"x{i}_{k}" for k, w in enumerate(own)])))  # 75 of 90 words, J = 0.48
     monkeypatch.setattr(near_duplicates, "CROWDED", 16)
+    monkeypatch.setattr(near_duplicates, "BLOCK", 7)
     assert classes_of(spark, rows) == {i: i - i % 2 for i, _ in rows}
 
 

@@ -16,12 +16,12 @@ Steps, each cut by a table in the shared folder:
 2. Each tuple's bucket has a hub, its least text. Every text is aligned with the least of its hubs; verified pairs
    are links, and links become components. A large family of near copies is one component after this, by one alignment a text.
 3. A round that only saves work: in each bucket the least text of each component stands for it. Up to HOT of them meet
-   pairwise, more of them meet the bucket's hub. Links are added to the components.
+   pairwise, up to CROWDED meet the bucket's hub. Links are added to the components.
 4. The exact rest: in each bucket that still has several components all texts of different components meet, as a head that is unlike
-   says nothing of its component's other texts. The texts of crowded buckets, which a common passage fills, meet over rare words instead:
+   says nothing of its component's other texts. The texts of buckets of more than CROWDED texts, which a common passage fills, meet over rare words instead:
    texts that are similar to the threshold have so many words in common that they share one of the rarest of each, as many as the
    threshold lets go and one. That loses no pair (and doesn't depend on the bucket), and a passage's words are the last to be among the rarest.
-   Should more than CROWDED texts share a rare word, they are dealt into blocks, and each pair of blocks is a task's group of its own.
+   Should more than BLOCK texts share a rare word, they are dealt into blocks, and each pair of blocks is a task's group of its own.
 5. Components of all links are the classes; a class's id is its least doc_id.
 
 Texts that meet are aligned unless their bags of words, as counts of BAG hashed words, are already too far apart: a bound that
@@ -52,8 +52,10 @@ from vecengine.llm.hashing import MULTIPLIER, mixed
 THRESHOLD, SEEDS, DEPTH = 0.8, 64, 3
 #: Words up to which texts are found by what is left of them without some words, and up to which by tuples of DEPTH - 1.
 SHORT, MEDIUM = 14, 49
-#: Components in a bucket beyond which they meet its hub before they meet each other; texts of a bucket beyond which it is crowded; counts of a bag.
-HOT, CROWDED, BAG = 8, 1024, 128
+#: Components in a bucket beyond which they meet its hub before they meet each other; texts of a bucket beyond which it is crowded; texts of a block; counts of a bag.
+HOT, CROWDED, BLOCK, BAG = 8, 64, 1024, 128
+#: Words that are ordered by how many texts have them, at most: they are the most frequent ones, and all workers hold them.
+FREQUENT_WORDS = 100_000
 _rng = np.random.default_rng(11)
 XORS, FACTORS = (_rng.integers(0, 1 << 63, (2, SEEDS, 1), dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1))
 TOP = np.uint64((1 << 64) - 1)
@@ -206,12 +208,12 @@ def sketches(docs: DataFrame, threshold: float) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """u and v (the least of its component) for each node of links (a, b) but the least ones themselves."""
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct()
-    edges, before = common.written(edges, "links"), None
+    edges = common.written(edges, "links")
     while True:
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before or not state[0]:
+        # Done when all edges lead to nodes that have no lesser neighbour, one from each node: then a component is a star.
+        nodes = edges.select(F.col("u").alias("node"), F.lit(1).alias("n"), F.lit(0).alias("of")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("n"), F.lit(1).alias("of")))
+        if not nodes.groupBy("node").agg(F.sum("n").alias("n"), F.max("of").alias("of")).where("n > 1 OR (n > 0 AND of > 0)").count():
             return edges
-        before = state
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # A table, so that the rows of a node with very many neighbours can be split over tasks.
         least = common.written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
@@ -299,28 +301,48 @@ def meetings(rows: DataFrame, threshold: float) -> DataFrame:
 
 
 def in_blocks(rows: DataFrame) -> DataFrame:
-    """rows (with n, the size of their bucket) with lo, hi and side, so that all texts of a bucket meet each other: in one group up to CROWDED, else once for each pair of blocks."""
-    blocks = F.ceil(F.col("n") / CROWDED).cast("int")
+    """rows (with n, the size of their bucket) with lo, hi and side, so that all texts of a bucket meet each other: in one group up to BLOCK, else once for each pair of blocks."""
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     dealt = rows.withColumn("side", F.pmod(F.xxhash64("h"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     return dealt.withColumn("lo", F.least("side", "other")).withColumn("hi", F.greatest("side", "other"))
 
 
 def rarest_words(bodies: DataFrame, threshold: float) -> DataFrame:
-    """(h, key): the rarest words of each of bodies (h, z) that others have too, as many as may be missing from a similar text and one.
+    """(h, key): the rarest words of each of bodies (h, z), as many as may be missing from a similar text and one.
 
-    Words are labelled by their number among equal ones, and rare by how many of bodies have them; those of one text alone count, but lead nowhere.
+    Words are labelled by their number among equal ones. Any order that is the same for all texts loses no pair: here words that many
+    of bodies have come last, the most frequent at the end, and others are in the order of their hashes. Those many are at most FREQUENT_WORDS, as each
+    has more than that share of all labelled words.
     """
 
-    def run(batch: pa.RecordBatch) -> dict:
+    def words_of(batch: pa.RecordBatch) -> list[np.ndarray]:
         unpack = zstandard.ZstdDecompressor().decompress
         words, sizes = word_hashes([unpack(z).decode() for z in batch.column("z").to_pylist()])
-        return {"h": batch.column("h"), "n": sizes, "words": [labelled(w).view(np.int64) for w in np.split(words, np.cumsum(sizes)[:-1])]}
+        return [labelled(w) for w in np.split(words, np.cumsum(sizes)[:-1])]
+
+    def each(batch: pa.RecordBatch) -> dict:
+        return {"w": np.concatenate(words_of(batch)).view(np.int64)}
+
+    counts = common.map_batches(bodies.select("z"), each, "w long").groupBy("w").agg(F.count("*").alias("c"))
+    counts = common.written(counts.where("c > 1"), "words")
+    total = counts.agg(F.sum("c")).first()[0] or 0
+    often = counts.where(F.col("c") > total / FREQUENT_WORDS).toArrow()
+    order = np.argsort(often.column("w").to_numpy())
+    sent = bodies.sparkSession.sparkContext.broadcast((often.column("w").to_numpy()[order], often.column("c").to_numpy()[order]))
 
-    each = common.map_batches(bodies, run, "h binary, n int, words array<long>").select("h", "n", F.explode("words").alias("w"))
-    shared = common.written(each.groupBy("w").agg(F.count("*").alias("c")).where("c > 1"), "shared-words")
-    mine = each.join(shared, "w").groupBy("h").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("c", "w"))).alias("x"))
-    most = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9).cast("int") + 1 - (F.col("n") - F.size("x"))
-    return mine.where(most > 0).select("h", F.explode(F.slice("x", F.lit(1), most)).alias("y")).select("h", F.col("y.w").alias("key"))
+    def rarest(batch: pa.RecordBatch) -> dict:
+        names, numbers = sent.value
+        hs, keys = [], []
+        for h, w in zip(batch.column("h").to_pylist(), words_of(batch), strict=True):
+            w = w.view(np.int64)
+            at = np.minimum(np.searchsorted(names, w), max(0, len(names) - 1))
+            rank = np.where(names[at] == w, numbers[at], 0) if len(names) else np.zeros(len(w), np.int64)
+            some = w[np.lexsort((w, rank))[: len(w) - int(np.ceil(threshold * len(w) - 1e-9)) + 1]]
+            hs += [h] * len(some)
+            keys.append(some)
+        return {"h": hs, "key": np.concatenate(keys)}
+
+    return common.map_batches(bodies, rarest, "h binary, key long")
 
 
 def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -331,8 +353,10 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> Dat
     texts = common.written(texts, "texts")
 
     rows = texts.select("h", "n_words", F.explode("keys").alias("key"))
-    shared = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("h").alias("hub")).where("n > 1").select("key", "hub")
-    shared = common.written(rows.join(shared, "key"), "buckets")
+    # Of buckets with the same texts (by their number, the least and two sums of hashes) one stands for all.
+    members = [F.count("*").alias("n"), F.min("h").alias("hub"), F.bit_xor(F.xxhash64("h")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "h")).alias("y")]
+    shared = rows.groupBy("key").agg(*members).where("n > 1").groupBy("n", "hub", "x", "y").agg(F.min("key").alias("key")).select("key", "hub")
+    shared = common.written(rows.join(common.written(shared, "keys"), "key"), "buckets")
 
     # The least hub of each text whose length allows it, and the packed texts of all that share a bucket.
     sizes = texts.select(F.col("h").alias("hub"), F.col("n_words").alias("hub_words"))
@@ -357,18 +381,22 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> Dat
     def labelled_by(stars: DataFrame, rows: DataFrame) -> DataFrame:
         return rows.join(stars, rows["h"] == stars["u"], "left").withColumn("label", F.coalesce("v", "h")).drop("u", "v")
 
-    def opened(members: DataFrame) -> DataFrame:
-        """The members (key, h, n_words, label) of buckets with more than one component, with the size n of the bucket, its hub and their bags."""
+    def opened(members: DataFrame, most: int | None = None) -> tuple[DataFrame, DataFrame]:
+        """The members (key, h, n_words, label) of buckets with more than one component and up to most rows, with the size n of the bucket, its hub and
+        their bags; and the texts of larger buckets."""
         keys = members.groupBy("key").agg(F.count("*").alias("n"), F.min_by("h", F.xxhash64("key", "h")).alias("hub"), F.min("label").alias("l"), F.max("label").alias("m")).where("l < m").drop("l", "m")
-        return common.written(members.join(common.written(keys, "open"), "key").join(texts.select("h", "bag"), "h"), "members")
+        keys = common.written(keys, "open")
+        few = keys if most is None else keys.where(F.col("n") <= most)
+        crowd = None if most is None else members.join(keys.where(F.col("n") > most).select("key"), "key").select("h", "n_words").distinct()
+        return common.written(members.join(few, "key").join(texts.select("h", "bag"), "h"), "members"), crowd
 
     def joined(stars: DataFrame, rows: DataFrame, checked: DataFrame) -> tuple[DataFrame, DataFrame]:
         """The components with the links between rows that meet, and the pairs checked so far."""
-        if rows.isEmpty():
+        if not rows.count():
             return stars, checked
         new = common.written(verified(meetings(rows, threshold).join(checked, ["a", "b"], "left_anti"), bodies, threshold), "checked")
         more = new.where("ok").select("a", "b")
-        if more.isEmpty():
+        if not more.count():
             return stars, checked.unionByName(new)
         return components(stars.select(F.col("v").alias("a"), F.col("u").alias("b")).unionByName(more)), checked.unionByName(new)
 
@@ -376,13 +404,15 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> Dat
     bucketed = shared.select("key", "h", "n_words")
     heads = labelled_by(stars, bucketed).groupBy("key", "label").agg(F.min(F.struct("h", "n_words")).alias("x")).select("key", "label", "x.*")
     side = F.when((F.col("n") > HOT) & (F.col("h") != F.col("hub")), 1).otherwise(0)
-    stars, checked = joined(stars, opened(heads).select("*", F.lit(0).alias("lo"), F.when(F.col("n") > HOT, 1).otherwise(0).alias("hi"), side.alias("side")), checked)
-
-    members = opened(labelled_by(stars, bucketed))
-    crowd = members.where(F.col("n") > CROWDED).select("h", "n_words").distinct()
-    rare = rarest_words(bodies.join(crowd.select("h"), "h", "left_semi"), threshold)
-    rare = opened(labelled_by(stars, common.written(rare.join(crowd, "h"), "rare")))
-    stars, checked = joined(stars, in_blocks(members.where(F.col("n") <= CROWDED).unionByName(rare)), checked)
+    heads, _ = opened(heads, CROWDED)
+    stars, checked = joined(stars, heads.select("*", F.lit(0).alias("lo"), F.when(F.col("n") > HOT, 1).otherwise(0).alias("hi"), side.alias("side")), checked)
+
+    members, crowd = opened(labelled_by(stars, bucketed), CROWDED)
+    crowd = common.written(crowd, "crowd")
+    if crowd.count():
+        rare = rarest_words(bodies.join(crowd.select("h"), "h", "left_semi"), threshold).join(crowd, "h")
+        members = members.unionByName(opened(labelled_by(stars, common.written(rare, "rare")))[0])
+    stars, checked = joined(stars, in_blocks(members), checked)
 
     ids = texts.select("h", "rep_id")
     nodes = stars.select(F.col("u").alias("h"), "v").unionByName(stars.select(F.col("v").alias("h"), "v").distinct()).join(ids, "h")
