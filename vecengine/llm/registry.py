@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vecengine.llm import decontamination, lm_scores
+from vecengine.llm import decontamination, lm_scores, warc
 from vecengine.llm.byte_bpe import op5_byte_bpe
 from vecengine.llm.decontamination import op4_decontamination
 from vecengine.llm.fingerprints import op7_fingerprints
@@ -27,6 +27,7 @@ QUERIES = {
     "op10_token_counts": op10_token_counts,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op3_warc": warc.SQL,
     "op4_decontamination": decontamination.SQL,
     "op8_lm_scores": lm_scores.SQL,
 }

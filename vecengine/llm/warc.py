@@ -233,3 +233,13 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     salted = targets.select(F.col("record_id").alias("to"), F.col("page_id").alias("refers_to"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     met = flat.withColumn("salt", F.pmod(F.xxhash64("record_id"), F.lit(SALTS)).cast("int")).join(salted, ["to", "salt"], "left")
     return met.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "n_concurrent")
+
+
+#: SHA-1 in base 32: five hexadecimal digits are four of its digits.
+SQL = """
+WITH d AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+t AS (SELECT page_id, payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+      CAST((CAST('0x' || substr(h, CAST(5 * (i // 4) + 1 AS INTEGER), 5) AS BIGINT) // CAST(32 ** (3 - i % 4) AS BIGINT)) % 32 + 1 AS INTEGER), 1)), '') AS payload_digest FROM d),
+f AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS first FROM t)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to, CAST(2 AS INTEGER) AS n_concurrent FROM f
+"""
