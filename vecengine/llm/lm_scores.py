@@ -60,35 +60,36 @@ def _block_row(block: int, ids: list, sizes: list[int], words: np.ndarray) -> pa
 
 
 class Block:
-    """A block's distinct n-grams, in the order of their buckets and hashes, and where each of its words has its own."""
+    """A block's words and their documents; its distinct n-grams are made when they are asked for, one kind at a time."""
 
     def __init__(self, row: dict, buckets: int):
         planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["words"]), np.uint8)
         words = np.ascontiguousarray(planes.reshape(4, len(planes) // 4).T).view("<u4").ravel()
-        self.sizes = np.array(row["sizes"], np.int64)
-        self.doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
-        hashes = np.frombuffer(row["vocabulary"], np.uint64)[words]
+        self.buckets, self.sizes = buckets, np.array(row["sizes"], np.int64)
+        self.doc = np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes)
+        self.hashes = np.frombuffer(row["vocabulary"], np.uint64)[words]
         #: Words that have one before them in their document.
-        self.later = np.flatnonzero(self.doc[1:] == self.doc[:-1]) + 1
-        self.grams = {ONE: self._dealt(hashes, buckets), TWO: self._dealt(mixed(hashes[self.later - 1] * MULTIPLIER + hashes[self.later]), buckets)}
+        self.later = np.flatnonzero(self.doc[1:] == self.doc[:-1]).astype(np.int32) + 1
 
-    @staticmethod
-    def _dealt(hashes: np.ndarray, buckets: int) -> tuple:
+    def grams(self, kind: int) -> tuple:
         """Distinct hashes by bucket, how often each occurs, the bounds of the buckets that have any, and each occurrence's place."""
+        hashes = self.hashes if kind == ONE else mixed(self.hashes[self.later - 1] * MULTIPLIER + self.hashes[self.later])
         distinct, where, counts = np.unique(hashes, return_inverse=True, return_counts=True)
-        to = (distinct >> np.uint64(33)).astype(np.int64) % buckets
+        to = (distinct >> np.uint64(33)).astype(np.int64) % self.buckets
         order = np.argsort(to, kind="stable")
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)
         some, first = np.unique(to[order], return_index=True)
         ends = np.append(first[1:], len(order))[: len(first)]
         return distinct[order], counts[order], list(zip(some.tolist(), first.tolist(), ends.tolist(), strict=True)), place[where]
 
-    def elsewhere(self, kind: int, answers: dict[int, bytes], doc: np.ndarray) -> np.ndarray:
+    def elsewhere(self, kind: int, answers: dict[int, bytes]) -> np.ndarray:
         """For each occurrence how often other documents have its n-gram."""
-        distinct, _, bounds, where = self.grams[kind]
+        distinct, _, bounds, where = self.grams(kind)
         totals = np.concatenate([np.frombuffer(answers[b], np.int64) for b, _, _ in bounds]) if bounds else np.zeros(0, np.int64)
-        _, which, own = np.unique(doc * (len(distinct) + 1) + where, return_inverse=True, return_counts=True)
+        doc, n = self.doc if kind == ONE else self.doc[self.later], len(distinct) + 1
+        del distinct
+        _, which, own = np.unique(doc.astype(np.int64) * n + where, return_inverse=True, return_counts=True)
         return totals[where] - own[which]
 
 
@@ -113,7 +114,8 @@ def _sent(batches, buckets: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
             block = Block(row, buckets)
-            for kind, (distinct, counts, bounds, _) in block.grams.items():
+            for kind in (ONE, TWO):
+                distinct, counts, bounds, _ = block.grams(kind)
                 for i in range(0, len(bounds), 256):
                     some = bounds[i : i + 256]
                     yield pa.RecordBatch.from_pydict({
@@ -147,8 +149,7 @@ def _counted(batches) -> Iterator[pa.RecordBatch]:
 def _summed(row: dict, answers: dict[int, dict[int, bytes]], total: int, buckets: int) -> pa.RecordBatch:
     """The scores of a block's documents."""
     block = Block(row, buckets)
-    one = block.elsewhere(ONE, answers[ONE], block.doc)
-    two = block.elsewhere(TWO, answers[TWO], block.doc[block.later])
+    one, two = block.elsewhere(ONE, answers[ONE]), block.elsewhere(TWO, answers[TWO])
     rest = np.log(np.maximum(total - block.sizes, 1))
     score = np.log(np.maximum(one, 1)) - rest[block.doc]
     known = two > 0
@@ -165,7 +166,7 @@ def score_corpus(docs: DataFrame) -> DataFrame:
     docs, words = docs.select("doc_id", "text"), BLOCK_WORDS
     buckets = common.parts_for(docs, BUCKET_BYTES)
     blocks = common.written(docs.mapInArrow(lambda batches: _blocks(batches, words), BLOCKS), "blocks")
-    total = blocks.agg(F.sum("n_words")).first()[0] or 0
+    total, tasks = (x or 0 for x in blocks.agg(F.sum("n_words"), F.max(F.shiftright("block", 20)) + 1).first())
     sent = blocks.select("block", "sizes", "vocabulary", "words").mapInArrow(lambda batches: _sent(batches, buckets), SENT)
     answers = sent.repartitionById(buckets, F.col("bucket")).mapInArrow(_counted, ANSWERS)
 
@@ -184,7 +185,9 @@ def score_corpus(docs: DataFrame) -> DataFrame:
 
     own = blocks.drop("n_words").select("block", F.lit(0).alias("kind"), F.lit(0).alias("bucket"), F.lit(None).cast("binary").alias("totals"), "ids", "sizes", "vocabulary", "words")
     both = own.unionByName(answers, allowMissingColumns=True)
-    return both.repartition(buckets, "block").sortWithinPartitions("block", "kind").mapInArrow(summed, RESULT)
+    # Blocks are dealt out one after another: the first of each task that made them, then the second.
+    number = F.col("block").bitwiseAND(F.lit((1 << 20) - 1)) * tasks + F.shiftright("block", 20)
+    return both.repartitionById(buckets, F.pmod(number, F.lit(buckets)).cast("int")).sortWithinPartitions("block", "kind").mapInArrow(summed, RESULT)
 
 
 def _words(docs: DataFrame) -> DataFrame:
