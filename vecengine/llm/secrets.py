@@ -103,13 +103,13 @@ def located(text: Column, pattern: str) -> Column:
     return F.when(text.rlike(pattern), bound(pairs, place)).otherwise(empty)
 
 
-#: Steps of a binary search: arrays have fewer elements than twice the first.
-POWERS = [1 << i for i in range(26, -1, -1)]
+#: Steps of a binary search, as SQL: arrays have fewer elements than twice the first.
+POWERS = f"array({', '.join(str(1 << i) for i in range(26, -1, -1))})"
 
 
 def touches(spans: Column, t: Column) -> Column:
     """Whether one of spans (ascending, not overlapping) overlaps t."""
-    first = F.aggregate(F.lit(POWERS), F.lit(0), lambda at, p: at + F.when(F.get(spans, at + p - 1)["start"] < t["end"], p).otherwise(0))
+    first = F.aggregate(F.expr(POWERS), F.lit(0), lambda at, p: at + F.when(F.get(spans, at + p - 1)["start"] < t["end"], p).otherwise(0))
     return F.coalesce(F.get(spans, first - 1)["end"] > t["start"], F.lit(False))
 
 
@@ -139,15 +139,19 @@ def with_battery(tokens: Column) -> Column:
     """For array<struct<start, end, match>> the same with stratum, bin and plausible: encoding and octave of length, minus ten
     times the decimal logarithm of the p-value against "ordinary", and whether chance explains runs, correlation and X2."""
 
-    def pick(body: Column, what) -> Column:
-        out = F.lit(what(ENCODINGS[-1]))
-        for e in reversed(ENCODINGS[:-1]):
-            out = F.when(body.rlike(f"^{e[1]}$"), F.lit(what(e))).otherwise(out)
-        return out
+    def listed(i: int, number: Column) -> Column:
+        """What the encoding of that number has at i, from one array of SQL."""
+        values = ", ".join(repr(e[i]) if isinstance(e[i], str) else f"{e[i]!r}D" for e in ENCODINGS)
+        return F.element_at(F.expr(f"array({values})"), number)
 
     def read(x: Column) -> Column:
-        body = F.regexp_replace(x["match"], "=+$", "")
-        return F.struct(x["start"].alias("start"), x["end"].alias("end"), body.alias("body"), pick(body, lambda e: e[0]).alias("encoding"), pick(body, lambda e: e[2]).alias("symbols"), pick(body, lambda e: e[3]).alias("excess"))
+        body, number = F.regexp_replace(x["match"], "=+$", ""), F.lit(len(ENCODINGS))
+        for i, e in reversed(list(enumerate(ENCODINGS[:-1], 1))):
+            number = F.when(body.rlike(f"^{e[1]}$"), i).otherwise(number)
+        return F.struct(x["start"].alias("start"), x["end"].alias("end"), body.alias("body"), number.alias("number"))
+
+    def named(x: Column) -> Column:
+        return F.struct(x["start"].alias("start"), x["end"].alias("end"), x["body"].alias("body"), listed(0, x["number"]).alias("encoding"), listed(2, x["number"]).alias("symbols"), listed(3, x["number"]).alias("excess"))
 
     # What a function on elements refers to is a field of the step before, so that it is computed once.
     def measure(x: Column) -> Column:
@@ -196,7 +200,7 @@ def with_battery(tokens: Column) -> Column:
         bin = F.least(F.lit(BINS), F.floor(-10 * log_lower_tail(x["z"]) + 1e-9)).cast("int")
         return F.struct(x["start"].alias("start"), x["end"].alias("end"), x["stratum"].alias("stratum"), bin.alias("bin"), x["plausible"].alias("plausible"))
 
-    for step in (read, measure, centre, deviate, correlate, judge, binned):
+    for step in (read, named, measure, centre, deviate, correlate, judge, binned):
         tokens = F.transform(tokens, step)
     return tokens
 
@@ -219,9 +223,13 @@ def scanned(docs: DataFrame) -> DataFrame:
 
 def cuts(docs: DataFrame, fdr: float = FDR) -> dict[str, int]:
     """For each stratum the least bin whose tokens count as random. One row per encoding and octave."""
+    return _cuts(scanned(docs.select("text")), fdr)
+
+
+def _cuts(found: DataFrame, fdr: float) -> dict[str, int]:
     from pyspark.sql import Window
 
-    counts = scanned(docs.select("text")).select(F.explode("_tested").alias("t")).groupBy("t.stratum", "t.bin").agg(F.count("*").alias("n"))
+    counts = found.select(F.explode("_tested").alias("t")).groupBy("t.stratum", "t.bin").agg(F.count("*").alias("n"))
     whole = Window.partitionBy("stratum")
     ranked = counts.select("stratum", "bin", F.sum("n").over(whole).alias("m"), F.sum("n").over(whole.orderBy(F.desc("bin"))).alias("rank"))
     passed = ranked.where(F.col("m") * F.pow(F.lit(10.0), -F.col("bin") / 10) <= fdr * F.col("rank"))
@@ -230,8 +238,8 @@ def cuts(docs: DataFrame, fdr: float = FDR) -> dict[str, int]:
 
 def find_secrets(docs: DataFrame, fdr: float = FDR) -> DataFrame:
     """row (all columns of docs), spans (array<struct<start, kind, end>> of all kinds in order; kind by its place in KINDS) and base (those of the base kinds)."""
-    least = cuts(docs, fdr)
     found = scanned(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text"))
+    least = _cuts(found, fdr)
     spans = F.col("_base")
     if least:
         table = F.create_map(*[x for k, v in sorted(least.items()) for x in (F.lit(k), F.lit(v))])
