@@ -6,7 +6,12 @@ Each stage takes what the one before kept, as a table, and applies its decisions
 3. decontamination: documents that contain a benchmark item go;
 4. secrets: spans with secrets are replaced in the text, and n_chars follows;
 5. byte_bpe: texts become token ids (binary, little-endian unsigned 32-bit), with digests of ids and of the decoded bytes.
-All but the last return the columns of documents. Empty tables pass through as empty tables.
+All but the last return the columns of documents.
+
+Defined results: empty tables pass through as empty tables; a null text goes in stage 1, so later stages see texts alone; a null doc_id is a
+document like others, and of a class all of whose ids are null one row stays; of repeated rows, and of rows that tie for the least doc_id, one stays (that of the
+least text digest); columns beyond those of documents are kept whatever their names, until the last stage; texts of any length are
+handled whole. Where no language can be learned (no labelled rows) stage 1 keeps each text that has a letter.
 """
 
 from __future__ import annotations
