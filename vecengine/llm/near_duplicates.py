@@ -205,8 +205,11 @@ def sketches(docs: DataFrame, threshold: float) -> DataFrame:
     return common.map_batches(docs.select("doc_id", "text", text_key(F.col("text")).alias("h")), run, ddl)
 
 
-def components(links: DataFrame) -> DataFrame:
-    """u and v (the least of its component) for each node of links (a, b) but the least ones themselves."""
+def components(links: DataFrame, rounds: int | None = None) -> DataFrame:
+    """u and v (the least of its component) for each node of links (a, b) but the least ones themselves.
+
+    After so many rounds what there is comes back: nodes of one v are of one component then, but a component may have several.
+    """
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct()
     edges = common.written(edges, "links")
     while True:
@@ -214,6 +217,9 @@ def components(links: DataFrame) -> DataFrame:
         nodes = edges.select(F.col("u").alias("node"), F.lit(1).alias("n"), F.lit(0).alias("of")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("n"), F.lit(1).alias("of")))
         if not nodes.groupBy("node").agg(F.sum("n").alias("n"), F.max("of").alias("of")).where("n > 1 OR (n > 0 AND of > 0)").count():
             return edges
+        if rounds == 0:
+            return common.written(edges.groupBy("u").agg(F.min("v").alias("v")), "labels")
+        rounds = rounds and rounds - 1
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # A table, so that the rows of a node with very many neighbours can be split over tasks.
         least = common.written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
@@ -223,6 +229,15 @@ def components(links: DataFrame) -> DataFrame:
         edges = common.written(small.unionByName(least.withColumnRenamed("m", "v")).distinct(), "stars")
 
 
+def merged(stars: DataFrame, links: DataFrame, rounds: int | None = None) -> DataFrame:
+    """stars (u, v as of ``components``) with links (a, b) besides: components of the components, which are few."""
+    ends = links.join(stars.select(F.col("u").alias("a"), F.col("v").alias("va")), "a", "left").join(stars.select(F.col("u").alias("b"), F.col("v").alias("vb")), "b", "left")
+    more = components(ends.select(F.coalesce("va", "a").alias("a"), F.coalesce("vb", "b").alias("b")).where("a != b"), rounds)
+    above = more.select(F.col("u").alias("w"), F.col("v").alias("x"))
+    moved = stars.join(above, stars["v"] == above["w"], "left").select("u", F.coalesce("x", "v").alias("v"))
+    return common.written(moved.unionByName(more.select("u", "v")), "merged")
+
+
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """pairs (a, b) with ok: whether their texts (h, z) are similar to the threshold or more."""
 
@@ -353,10 +368,11 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> Dat
     texts = common.written(texts, "texts")
 
     rows = texts.select("h", "n_words", F.explode("keys").alias("key"))
-    # Of buckets with the same texts (by their number, the least and two sums of hashes) one stands for all.
-    members = [F.count("*").alias("n"), F.min("h").alias("hub"), F.bit_xor(F.xxhash64("h")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "h")).alias("y")]
-    shared = rows.groupBy("key").agg(*members).where("n > 1").groupBy("n", "hub", "x", "y").agg(F.min("key").alias("key")).select("key", "hub")
+    shared = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("h").alias("hub")).where("n > 1").select("key", "hub")
     shared = common.written(rows.join(common.written(shared, "keys"), "key"), "buckets")
+    # Of buckets with the same texts (by their number, the least and two sums of hashes) one stands for all.
+    of = shared.groupBy("key").agg(F.count("*").alias("n"), F.min("hub").alias("hub"), F.bit_xor(F.xxhash64("h")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "h")).alias("y"))
+    shared = common.written(shared.join(common.written(of.groupBy("n", "hub", "x", "y").agg(F.min("key").alias("key")).select("key"), "keys"), "key"), "buckets")
 
     # The least hub of each text whose length allows it, and the packed texts of all that share a bucket.
     sizes = texts.select(F.col("h").alias("hub"), F.col("n_words").alias("hub_words"))
@@ -371,7 +387,8 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> Dat
     # A text is taken from the row with its class's least id, so copies of one text don't meet in one task.
     no_id = F.lit(-(1 << 63))
     packed = common.map_batches(docs.select(text_key(F.col("text")).alias("h"), F.coalesce("doc_id", no_id).alias("rid"), "text"), pack, "h binary, rid long, z binary")
-    bodies = packed.join(needed.select("h", F.coalesce("rep_id", no_id).alias("rid")), ["h", "rid"]).select("h", "z").dropDuplicates(["h"])
+    # A merge join at every size, so that small tables show what large ones need.
+    bodies = packed.join(needed.select("h", F.coalesce("rep_id", no_id).alias("rid")).hint("merge"), ["h", "rid"]).select("h", "z").dropDuplicates(["h"])
     bodies = common.written(bodies, "bodies")
 
     checked = common.written(verified(first, bodies, threshold), "checked")
@@ -390,29 +407,31 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> Dat
         crowd = None if most is None else members.join(keys.where(F.col("n") > most).select("key"), "key").select("h", "n_words").distinct()
         return common.written(members.join(few, "key").join(texts.select("h", "bag"), "h"), "members"), crowd
 
-    def joined(stars: DataFrame, rows: DataFrame, checked: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """The components with the links between rows that meet, and the pairs checked so far."""
+    def checked_with(rows: DataFrame, checked: DataFrame) -> tuple[DataFrame, bool]:
+        """The pairs checked so far and those of rows that meet; and whether there are new links."""
         if not rows.count():
-            return stars, checked
+            return checked, False
         new = common.written(verified(meetings(rows, threshold).join(checked, ["a", "b"], "left_anti"), bodies, threshold), "checked")
-        more = new.where("ok").select("a", "b")
-        if not more.count():
-            return stars, checked.unionByName(new)
-        return components(stars.select(F.col("v").alias("a"), F.col("u").alias("b")).unionByName(more)), checked.unionByName(new)
+        return checked.unionByName(new), new.where("ok").count() > 0
 
     checked = checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "ok")
     bucketed = shared.select("key", "h", "n_words")
     heads = labelled_by(stars, bucketed).groupBy("key", "label").agg(F.min(F.struct("h", "n_words")).alias("x")).select("key", "label", "x.*")
     side = F.when((F.col("n") > HOT) & (F.col("h") != F.col("hub")), 1).otherwise(0)
     heads, _ = opened(heads, CROWDED)
-    stars, checked = joined(stars, heads.select("*", F.lit(0).alias("lo"), F.when(F.col("n") > HOT, 1).otherwise(0).alias("hi"), side.alias("side")), checked)
+    labels = stars
+    checked, found_some = checked_with(heads.select("*", F.lit(0).alias("lo"), F.when(F.col("n") > HOT, 1).otherwise(0).alias("hi"), side.alias("side")), checked)
+    if found_some:
+        labels = merged(stars, checked.where("ok").select("a", "b"), rounds=1)  # they only save alignments, so they needn't be final
 
-    members, crowd = opened(labelled_by(stars, bucketed), CROWDED)
+    members, crowd = opened(labelled_by(labels, bucketed), CROWDED)
     crowd = common.written(crowd, "crowd")
     if crowd.count():
         rare = rarest_words(bodies.join(crowd.select("h"), "h", "left_semi"), threshold).join(crowd, "h")
-        members = members.unionByName(opened(labelled_by(stars, common.written(rare, "rare")))[0])
-    stars, checked = joined(stars, in_blocks(members), checked)
+        members = members.unionByName(opened(labelled_by(labels, common.written(rare, "rare")))[0])
+    checked, more = checked_with(in_blocks(members), checked)
+    if found_some or more:
+        stars = merged(stars, checked.where("ok").select("a", "b"))
 
     ids = texts.select("h", "rep_id")
     nodes = stars.select(F.col("u").alias("h"), "v").unionByName(stars.select(F.col("v").alias("h"), "v").distinct()).join(ids, "h")
