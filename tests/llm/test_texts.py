@@ -61,10 +61,34 @@ def test_language(spark, odd, nothing):
     kept = language.with_language(odd, prototypes)
     assert kept.columns == odd.columns and kept.where("lang IS NULL").count() == 0
     assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in odd.collect()} - {5, 6, 7, 9, 10}
+    unlabelled = language.with_language(odd.withColumn("lang", F.lit(None).cast("string")), {})  # nothing to learn from: texts with letters stay
+    assert {r.doc_id for r in unlabelled.collect()} == {r.doc_id for r in kept.collect()} and unlabelled.where("lang IS NOT NULL").count() == 0
     assert language.learn(nothing) == {} and language.identify(odd, {}).where("lang_pred <> 'und'").count() == 0
     assert language.identify(nothing, prototypes).count() == 0
 
 
+def test_prediction_by_brute_force_and_ties():
+    """Bundles of bound and rotated letter vectors, a trigram at a time; of equal cosines the first name wins."""
+    vectors, classes = language.letter_vectors().astype(float), language.letter_classes()
+
+    def profile(t):
+        cut = re.sub(r"[^a-zäöüß]+", " ", t.lower())
+        codes = [classes[ord(c)] if c != " " else 0 for c in f" {cut.strip()} "]
+        return sum(np.roll(vectors[a], 2) * np.roll(vectors[b], 1) * vectors[c] for a, b, c in zip(codes, codes[1:], codes[2:], strict=False))
+
+    known = {"de": "die straße führt über den fluss", "en": "the road leads over the river", "fr": "la route passe sur le fleuve"}
+    prototypes = {k: profile(t) / np.linalg.norm(profile(t)) for k, t in known.items()}
+    names, matrix = language.as_matrix(prototypes)
+    texts = ["Über die Straße!", "over the road, 42 leads", "sur la route", "x", "the the the the", "fluss river fleuve"]
+    langs, scores = language.predict(texts, names, matrix)
+    for t, lang, score in zip(texts, langs, scores, strict=True):
+        p = profile(t)
+        cosines = {k: float(v @ p / np.linalg.norm(p)) for k, v in prototypes.items()}
+        assert lang == max(cosines, key=cosines.get) and abs(score - max(0.0, cosines[lang])) < 1e-5
+    tied = language.as_matrix({"b": prototypes["en"], "c": prototypes["en"]})
+    assert language.predict(["the road"], *tied)[0] == ["b"] and language.predict(["", "42 !", "the"], [], matrix[:0])[0] == ["und"] * 3
+
+
 def test_learning_is_an_integer_sum(spark):
     docs = spark.read.parquet(f"{DIR}/documents.parquet").limit(60)
     a, b = language.learn(docs.repartition(1)), language.learn(docs.repartition(5))
