@@ -36,6 +36,29 @@ def test_fingerprints_estimate(odd_rows):
     assert (fingerprints.bottom_k(np.repeat(x, 50)) == fx).all()
 
 
+def test_likeness_is_that_of_the_shingles():
+    """Exact for texts of up to 128 shingles together, else near, against sets of the words themselves."""
+    rng = np.random.default_rng(14)
+
+    def shingles(t):
+        w = words(t)
+        n = min(5, len(w))
+        return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if n else set()
+
+    for n, slack in ((3, 1e-12), (6, 1e-12), (40, 1e-12), (64, 1e-12), (3000, 0.15)):
+        for _ in range(20):
+            a = [f"W{x}" for x in rng.integers(0, 4 * n, n)]
+            b = list(a)
+            for at in rng.integers(0, n, rng.integers(0, max(2, n // 20) + 1)):
+                b[at] = "other"
+            texts = [" ".join(a), ", ".join(b).lower()]
+            x, y = map(shingles, texts)
+            fa, fb = fingerprints.fingerprints(texts)
+            assert abs(fingerprints.resemblance(fa, fb) - len(x & y) / len(x | y)) <= slack
+            assert abs(fingerprints.distinct_count(fa) / len(x) - 1) <= 2 * slack
+            assert abs(fingerprints.containment(fa, fb) - len(x & y) / len(x)) <= 2 * slack
+
+
 def test_fingerprints_of_edits(spark, odd, odd_rows, nothing):
     rows = sorted(odd_rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
     want = Counter()
