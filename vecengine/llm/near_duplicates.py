@@ -205,11 +205,8 @@ def sketches(docs: DataFrame, threshold: float) -> DataFrame:
     return common.map_batches(docs.select("doc_id", "text", text_key(F.col("text")).alias("h")), run, ddl)
 
 
-def components(links: DataFrame, rounds: int | None = None) -> DataFrame:
-    """u and v (the least of its component) for each node of links (a, b) but the least ones themselves.
-
-    After so many rounds what there is comes back: nodes of one v are of one component then, but a component may have several.
-    """
+def components(links: DataFrame) -> DataFrame:
+    """u and v (the least of its component) for each node of links (a, b) but the least ones themselves."""
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct()
     edges = common.written(edges, "links")
     while True:
@@ -217,9 +214,6 @@ def components(links: DataFrame, rounds: int | None = None) -> DataFrame:
         nodes = edges.select(F.col("u").alias("node"), F.lit(1).alias("n"), F.lit(0).alias("of")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("n"), F.lit(1).alias("of")))
         if not nodes.groupBy("node").agg(F.sum("n").alias("n"), F.max("of").alias("of")).where("n > 1 OR (n > 0 AND of > 0)").count():
             return edges
-        if rounds == 0:
-            return common.written(edges.groupBy("u").agg(F.min("v").alias("v")), "labels")
-        rounds = rounds and rounds - 1
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # A table, so that the rows of a node with very many neighbours can be split over tasks.
         least = common.written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
@@ -229,10 +223,10 @@ def components(links: DataFrame, rounds: int | None = None) -> DataFrame:
         edges = common.written(small.unionByName(least.withColumnRenamed("m", "v")).distinct(), "stars")
 
 
-def merged(stars: DataFrame, links: DataFrame, rounds: int | None = None) -> DataFrame:
+def merged(stars: DataFrame, links: DataFrame) -> DataFrame:
     """stars (u, v as of ``components``) with links (a, b) besides: components of the components, which are few."""
     ends = links.join(stars.select(F.col("u").alias("a"), F.col("v").alias("va")), "a", "left").join(stars.select(F.col("u").alias("b"), F.col("v").alias("vb")), "b", "left")
-    more = components(ends.select(F.coalesce("va", "a").alias("a"), F.coalesce("vb", "b").alias("b")).where("a != b"), rounds)
+    more = components(ends.select(F.coalesce("va", "a").alias("a"), F.coalesce("vb", "b").alias("b")).where("a != b"))
     above = more.select(F.col("u").alias("w"), F.col("v").alias("x"))
     moved = stars.join(above, stars["v"] == above["w"], "left").select("u", F.coalesce("x", "v").alias("v"))
     return common.written(moved.unionByName(more.select("u", "v")), "merged")
@@ -422,7 +416,7 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> Dat
     labels = stars
     checked, found_some = checked_with(heads.select("*", F.lit(0).alias("lo"), F.when(F.col("n") > HOT, 1).otherwise(0).alias("hi"), side.alias("side")), checked)
     if found_some:
-        labels = merged(stars, checked.where("ok").select("a", "b"), rounds=1)  # they only save alignments, so they needn't be final
+        labels = merged(stars, checked.where("ok").select("a", "b"))
 
     members, crowd = opened(labelled_by(labels, bucketed), CROWDED)
     crowd = common.written(crowd, "crowd")
@@ -430,8 +424,7 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> Dat
         rare = rarest_words(bodies.join(crowd.select("h"), "h", "left_semi"), threshold).join(crowd, "h")
         members = members.unionByName(opened(labelled_by(labels, common.written(rare, "rare")))[0])
     checked, more = checked_with(in_blocks(members), checked)
-    if found_some or more:
-        stars = merged(stars, checked.where("ok").select("a", "b"))
+    stars = merged(labels, checked.where("ok").select("a", "b")) if more else labels
 
     ids = texts.select("h", "rep_id")
     nodes = stars.select(F.col("u").alias("h"), "v").unionByName(stars.select(F.col("v").alias("h"), "v").distinct()).join(ids, "h")
