@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from vecengine.llm import decontamination, fingerprints, language, lm_scores, near_duplicates
@@ -303,6 +304,46 @@ def test_pairs_that_share_a_long_passage(spark, monkeypatch):
     assert classes_of(spark, rows) == {i: i - i % 2 for i, _ in rows}
 
 
+def test_texts_with_a_passage_alone_go_before_rare_words(spark):
+    """Of texts that share a passage those stay that are similar to one of another label, whatever the edits, and others go."""
+    rng = np.random.default_rng(14)
+    vocabulary, rows, pairs = [f"w{i}" for i in range(50_000)], [], set()
+    passage = list(rng.choice(vocabulary, 40))
+    add = lambda t, label: rows.append((len(rows).to_bytes(16, "big"), len(t), label.to_bytes(16, "big"), zstandard.compress(" ".join(t).encode())))
+    for i in range(40):
+        add(passage + list(rng.choice(vocabulary, 60)), i)
+    for i, at in enumerate([range(2, 100, 5), range(0, 100, 5), range(0, 20), range(80, 100)]):
+        t = list(rng.choice(vocabulary, 100))
+        for edited in ([f"x{i}_{k}" if k in at else w for k, w in enumerate(t)], [w for k, w in enumerate(t) if k not in at], [x for k, w in enumerate(t) for x in ([w, f"y{i}_{k}"] if k in at else [w])]):
+            pairs |= {len(rows), len(rows) + 1}
+            assert near_duplicates.similar(t, edited)
+            add(t, 100 + len(rows))
+            add(edited, 100 + len(rows))
+    for _ in range(5):  # copies under one label only
+        add(["a", *rows[0][1] * ["b"]], 99)
+    df = spark.createDataFrame(rows, "h binary, n_words int, label binary, z binary").repartition(3)
+    assert {int.from_bytes(r.h, "big") for r in near_duplicates.without_lone(df, 0.8).collect()} == pairs
+    assert near_duplicates.without_lone(df.limit(0), 0.8).count() == 0
+
+
+def test_the_closest_pair_of_two_components(spark):
+    """Of two components that meet in several groups the closest pair alone is a candidate of the first round; texts that are components of their own don't meet in the last."""
+    rng = np.random.default_rng(15)
+    base, rows = [int(x) for x in rng.integers(0, 1 << 62, 100)], []
+    for i in range(24):
+        words = np.array(base[: 100 - i % 8] + [int(x) for x in rng.integers(0, 1 << 62, i % 8)], np.uint64)
+        label = i // 8 if i < 16 else i
+        rows += [(key, 0, 0, 0, i.to_bytes(16, "big"), label.to_bytes(16, "big"), 100, near_duplicates.bag_of(words), i < 16) for key in (1, 2, 3)]
+    df = spark.createDataFrame(rows, "key long, lo int, hi int, side int, h binary, label binary, n_words int, bag binary, many boolean").repartition(3)
+    pairs = lambda *x: {(int.from_bytes(r.a, "big"), int.from_bytes(r.b, "big")) for r in near_duplicates.meetings(*x).collect()}
+    labels = [i // 8 if i < 16 else i for i in range(24)]
+    every = {(i, j) for j in range(24) for i in range(j) if labels[i] != labels[j]}
+    assert pairs(df.drop("many"), 0.8) == every
+    first = pairs(df.drop("many"), 0.8, True)
+    assert (0, 8) in first and Counter((labels[i], labels[j]) for i, j in first) == Counter({(labels[i], labels[j]) for i, j in every})
+    assert pairs(df, 0.8) == {(i, j) for i, j in every if i < 16}
+
+
 @pytest.mark.parametrize("share", [0.05, 0.1, 0.15, 0.19])
 def test_recall_of_the_sketch(share):
     """Edits spread evenly over 200 words, of three kinds: at least 0.97 of the pairs above the threshold share a tuple."""

@@ -21,7 +21,10 @@ Steps, each cut by a table in the shared folder:
    says nothing of its component's other texts. The texts of buckets of more than CROWDED texts, which a common passage fills, meet over rare words instead:
    texts that are similar to the threshold have so many words in common that they share one of the rarest of each, as many as the
    threshold lets go and one. That loses no pair (and doesn't depend on the bucket), and a passage's words are the last to be among the rarest.
+   Before that those go that are similar to none of them: a text similar to another has at least 1 - 2 (1 - threshold) of its
+   pairs of words in common with it, and so in common with texts of other components, which a passage alone doesn't reach in a longer text.
    Should more than BLOCK texts share a rare word, they are dealt into blocks, and each pair of blocks is a task's group of its own.
+   Of each two components the pair with the closest bags is aligned first, and all other pairs only if that leaves the two apart.
 5. Components of all links are the classes; a class's id is its least doc_id.
 
 Texts that meet are aligned unless their bags of words, as counts of BAG hashed words, are already too far apart: a bound that
@@ -38,6 +41,7 @@ from __future__ import annotations
 from collections import Counter
 from functools import lru_cache
 from itertools import chain, combinations
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -56,6 +60,8 @@ SHORT, MEDIUM = 14, 49
 HOT, CROWDED, BLOCK, BAG = 8, 64, 1024, 128
 #: Words that are ordered by how many texts have them, at most: they are the most frequent ones, and all workers hold them.
 FREQUENT_WORDS = 100_000
+#: Places that pairs of words are hashed to, so that the driver and workers hold SLOTS / 8 bytes at any size; places of a range; rounds of the test.
+SLOTS, RANGE, ROUNDS = 1 << 25, 1 << 19, 2
 _rng = np.random.default_rng(11)
 XORS, FACTORS = (_rng.integers(0, 1 << 63, (2, SEEDS, 1), dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1))
 TOP = np.uint64((1 << 64) - 1)
@@ -245,36 +251,53 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return common.map_batches(both.select("a", "b", "za", "zb"), run, "a binary, b binary, ok boolean", rows=64)
 
 
+def packed_rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    """The first columns of rows, as many as schema has."""
+    columns = list(zip(*rows, strict=True)) or [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=False)], schema=schema)
+
+
 def lengths_allow(a: str, b: str, threshold: float) -> Column:
     return F.least(a, b) >= F.greatest(a, b) * threshold - 1e-9
 
 
-def meetings(rows: DataFrame, threshold: float) -> DataFrame:
-    """Distinct pairs (a < b) of texts of one group (key, lo, hi) that have unlike labels and may be similar by their lengths and bags.
+def meetings(rows: DataFrame, threshold: float, closest: bool = False) -> DataFrame:
+    """Distinct pairs (a < b) of texts of one group (key, lo, hi) that have unlike labels and may be similar by their lengths and bags; with closest, of each two labels the pair alone whose bags are closest.
 
-    rows have key, lo, hi, side, h, label, n_words and bag. Where lo = hi all texts of the group meet, else those of side lo meet those of side hi.
+    rows have key, lo, hi, side, h, label, n_words and bag; with a column many, texts without it don't meet each other. Where lo = hi all texts of the group meet, else those of side lo meet those of side hi.
     """
     common.ship(rows.sparkSession)
-    ddl = "a binary, b binary"
+    ddl = "a binary, b binary, la binary, lb binary, apart long" if closest else "a binary, b binary"
 
     def pairs_of(group: list[np.ndarray]):
-        """Numbers of the pairs of a group."""
-        side, labels, n, bags = group
+        """Numbers of the pairs of a group, and how far apart their bags are."""
+        side, labels, n, bags, many = group
         across = side[0] != side[-1]  # sorted by side
         cut = int(np.searchsorted(side, side[-1])) if across else 0
         for i in range(cut if across else len(n) - 1):
             rest = slice(cut if across else i + 1, None)
             longer = np.maximum(n[rest], n[i])
             limit = np.floor((1 - threshold) * longer + 1e-9)
-            open_ = np.flatnonzero((labels[rest] != labels[i]).any(axis=1) & (np.abs(n[rest] - n[i]) <= limit))
+            open_ = np.flatnonzero((many[rest] | many[i]) & (labels[rest] != labels[i]).any(axis=1) & (np.abs(n[rest] - n[i]) <= limit))
             if len(open_):
                 # An edit changes the counts by 2 at most where it replaces a word, and by 1 where the lengths differ.
                 apart = np.abs(bags[rest][open_] - bags[i]).sum(axis=1, dtype=np.int64)
-                near = open_[apart + np.abs(n[rest][open_] - n[i]) <= 2 * limit[open_]]
-                yield i, near + rest.start
+                near = apart + np.abs(n[rest][open_] - n[i]) <= 2 * limit[open_]
+                yield i, open_[near] + rest.start, apart[near]
+
+    def closest_of(group: list[np.ndarray]):
+        """Of the pairs of a group the closest of each two labels."""
+        found = [(np.full(len(near), x), near, apart) for x, near, apart in pairs_of(group) if len(near)]
+        if found:
+            x, y, apart = (np.concatenate(c) for c in zip(*found, strict=True))
+            codes = np.unique(group[1], axis=0, return_inverse=True)[1].reshape(-1)
+            two = np.minimum(codes[x], codes[y]) * len(codes) + np.maximum(codes[x], codes[y])
+            order = np.lexsort((apart, two))
+            for k in order[np.flatnonzero(np.concatenate(([True], two[order][1:] != two[order][:-1])))].tolist():
+                yield int(x[k]), y[k : k + 1], apart[k : k + 1]
 
     def run(batches):
-        schema, held = common.schema_of(ddl), None
+        schema, held, told = common.schema_of(ddl), None, set()
         for batch in chain(batches, [None]):
             if batch is not None and batch.num_rows:
                 table = pa.Table.from_batches([batch])
@@ -289,69 +312,138 @@ def meetings(rows: DataFrame, threshold: float) -> DataFrame:
             held = held.slice(int(edges[-1]))
             if whole.num_rows:
                 hs = whole["h"].to_pylist()
+                many = whole["many"].to_numpy()
                 side, n = whole["side"].to_numpy(), whole["n_words"].to_numpy().astype(np.int64)
                 labels = np.frombuffer(b"".join(whole["label"].to_pylist()), np.uint64).reshape(-1, 2)
                 bags = np.frombuffer(b"".join(whole["bag"].to_pylist()), np.uint8).reshape(-1, BAG).astype(np.int16)
-                a, b = [], []
+                own, out = whole["label"].to_pylist(), {}
                 for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                     if j - i > 1:
-                        for x, near in pairs_of([side[i:j], labels[i:j], n[i:j], bags[i:j]]):
-                            for y in near.tolist():
-                                u, v = hs[i + x], hs[i + y]
-                                a.append(min(u, v))
-                                b.append(max(u, v))
-                    if len(a) > 50_000:
-                        yield pa.RecordBatch.from_pydict({"a": a, "b": b}, schema=schema)
-                        a, b = [], []
-                yield pa.RecordBatch.from_pydict({"a": a, "b": b}, schema=schema)
-
-    rows = rows.select("key", "lo", "hi", "side", "h", "label", "n_words", "bag")
-    return rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "side").mapInArrow(run, ddl).distinct()
+                        for x, near, apart in (closest_of if closest else pairs_of)([side[i:j], labels[i:j], n[i:j], bags[i:j], many[i:j]]):
+                            for y, d in zip(near.tolist(), apart.tolist(), strict=True):
+                                u, v = sorted(((hs[i + x], own[i + x]), (hs[i + y], own[i + y])), key=itemgetter(1 if closest else 0))
+                                two = (u[1], v[1]) if closest else (u[0], v[0])
+                                if two not in told and (two not in out or d < out[two][4]):
+                                    out[two] = (u[0], v[0], u[1], v[1], d)
+                    if len(out) > 50_000:
+                        yield packed_rows([*out.values()], schema)
+                        told, out = (set() if closest else set(out)), {}
+                yield packed_rows([*out.values()], schema)
+
+    rows = rows.select("key", "lo", "hi", "side", "h", "label", "n_words", "bag", "many" if "many" in rows.columns else F.lit(True).alias("many"))
+    rows = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "side").mapInArrow(run, ddl)
+    if closest:
+        rows = rows.groupBy("la", "lb").agg(F.min(F.struct("apart", "a", "b")).alias("x")).select(F.least("x.a", "x.b").alias("a"), F.greatest("x.a", "x.b").alias("b"))
+    return rows.distinct()
 
 
 def in_blocks(rows: DataFrame) -> DataFrame:
     """rows (with n, the size of their bucket) with lo, hi and side, so that all texts of a bucket meet each other: in one group up to BLOCK, else once for each pair of blocks."""
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = rows.withColumn("side", F.pmod(F.xxhash64("h"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    return dealt.withColumn("lo", F.least("side", "other")).withColumn("hi", F.greatest("side", "other"))
+    whole = rows.where(F.col("n") <= BLOCK).select("*", *[F.lit(0).alias(c) for c in ("lo", "hi", "side")])
+    dealt = rows.where(F.col("n") > BLOCK).withColumn("side", F.pmod(F.xxhash64("h"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    return whole.unionByName(dealt.withColumn("lo", F.least("side", "other")).withColumn("hi", F.greatest("side", "other")).drop("other"))
+
+
+def split_words(batch: pa.RecordBatch) -> list[np.ndarray]:
+    """The words (hashes) of the packed texts z."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    words, sizes = word_hashes([unpack(z).decode() for z in batch.column("z").to_pylist()])
+    return np.split(words, np.cumsum(sizes)[:-1])
+
+
+def slots_of(words: np.ndarray) -> np.ndarray:
+    """The places of a text's labelled pairs of neighbouring words."""
+    return (labelled(mixed(words[:-1] * MULTIPLIER + words[1:])) % np.uint64(SLOTS)).astype(np.int64)
 
 
-def rarest_words(bodies: DataFrame, threshold: float) -> DataFrame:
-    """(h, key): the rarest words of each of bodies (h, z), as many as may be missing from a similar text and one.
+def without_lone(crowd: DataFrame, threshold: float) -> DataFrame:
+    """crowd (h, n_words, label, z) without texts that can be similar to none of another label.
+
+    Of two similar texts each has at most 2 (1 - threshold) of its words' number in pairs of neighbouring words that the other lacks: a word that
+    is replaced or left out takes two, and one that is added takes one, but makes the other text longer. So a text goes if more of
+    its pairs occur under its own label alone. Pairs that share a place count as one pair, which can only keep a text.
+    """
+
+    def places(batch: pa.RecordBatch) -> dict:
+        """For each range the places in it and the labels there, as one row."""
+        slots = [np.unique(slots_of(w)) for w in split_words(batch)]
+        labels = np.frombuffer(b"".join(batch.column("label").to_pylist()), np.uint64).reshape(-1, 2)
+        labels, slots = np.repeat(labels, [len(x) for x in slots], axis=0), np.concatenate(slots)
+        order = np.argsort(slots, kind="stable")
+        cuts = np.searchsorted(slots[order], np.arange(0, SLOTS + 1, RANGE))
+        parts = [order[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+        return {"range": np.arange(len(parts)), "slots": [slots[x].tobytes() for x in parts], "labels": [labels[x].tobytes() for x in parts]}
+
+    def several(batches):
+        """The bits of the places of each range that have more than one label: two arrays a range, however many rows it has."""
+        schema, at, found, label = common.schema_of("range long, bits binary"), None, None, None
+        for batch in chain(batches, [None]):
+            rows = zip(*(batch.column(c).to_pylist() for c in ("range", "slots", "labels")), strict=True) if batch is not None else [(None, b"", b"")]
+            for number, slots, labels in rows:
+                if number != at:
+                    if at is not None:
+                        yield pa.RecordBatch.from_pydict({"range": [at], "bits": [np.packbits(found > 1, bitorder="little").tobytes()]}, schema=schema)
+                    at, found, label = number, np.zeros(RANGE, np.int8), np.zeros((RANGE, 2), np.uint64)
+                if number is None:
+                    continue
+                place, own = np.frombuffer(slots, np.int64) % RANGE, np.frombuffer(labels, np.uint64).reshape(-1, 2)
+                new = found[place] == 0
+                label[place[new]] = own[new]
+                found[place[new]] = 1
+                found[place[(label[place] != own).any(axis=1)]] = 2
+
+    rows = common.map_batches(crowd.select("label", "z"), places, "range long, slots binary, labels binary")
+    held = np.zeros((SLOTS // RANGE, RANGE // 8), np.uint8)
+    for row in rows.repartition("range").sortWithinPartitions("range").mapInArrow(several, "range long, bits binary").collect():
+        held[row["range"]] = np.frombuffer(row["bits"], np.uint8)
+    sent = crowd.sparkSession.sparkContext.broadcast(held.reshape(-1))
+
+    def kept(batch: pa.RecordBatch) -> dict:
+        bits, keep = sent.value, []
+        for words in split_words(batch):
+            slots = slots_of(words)
+            alone = len(slots) - int((bits[slots >> 3] >> (slots & 7) & 1).sum())
+            keep.append(alone <= 2 * (1 - threshold) * len(words) + 1e-6)
+        some = batch.filter(pa.array(keep, pa.bool_()))
+        return {c: some.column(c) for c in ("h", "n_words", "label", "z")}
+
+    return common.map_batches(crowd.select("h", "n_words", "label", "z"), kept, "h binary, n_words int, label binary, z binary")
+
+
+def rarest_words(crowd: DataFrame, threshold: float) -> DataFrame:
+    """(h, key, n_words, label, bag): the rarest words of each of crowd (h, n_words, label, z), as many as may be missing from a similar text and one.
 
     Words are labelled by their number among equal ones. Any order that is the same for all texts loses no pair: here words that many
-    of bodies have come last, the most frequent at the end, and others are in the order of their hashes. Those many are at most FREQUENT_WORDS, as each
+    of crowd have come last, the most frequent at the end, and others are in the order of their hashes. Those many are at most FREQUENT_WORDS, as each
     has more than that share of all labelled words.
     """
 
-    def words_of(batch: pa.RecordBatch) -> list[np.ndarray]:
-        unpack = zstandard.ZstdDecompressor().decompress
-        words, sizes = word_hashes([unpack(z).decode() for z in batch.column("z").to_pylist()])
-        return [labelled(w) for w in np.split(words, np.cumsum(sizes)[:-1])]
-
     def each(batch: pa.RecordBatch) -> dict:
-        return {"w": np.concatenate(words_of(batch)).view(np.int64)}
+        w, c = np.unique(np.concatenate([labelled(w) for w in split_words(batch)]).view(np.int64), return_counts=True)
+        return {"w": w, "c": c}
 
-    counts = common.map_batches(bodies.select("z"), each, "w long").groupBy("w").agg(F.count("*").alias("c"))
+    counts = common.map_batches(crowd.select("z"), each, "w long, c long").groupBy("w").agg(F.sum("c").alias("c"))
     counts = common.written(counts.where("c > 1"), "words")
     total = counts.agg(F.sum("c")).first()[0] or 0
     often = counts.where(F.col("c") > total / FREQUENT_WORDS).toArrow()
     order = np.argsort(often.column("w").to_numpy())
-    sent = bodies.sparkSession.sparkContext.broadcast((often.column("w").to_numpy()[order], often.column("c").to_numpy()[order]))
+    sent = crowd.sparkSession.sparkContext.broadcast((often.column("w").to_numpy()[order], often.column("c").to_numpy()[order]))
 
     def rarest(batch: pa.RecordBatch) -> dict:
         names, numbers = sent.value
-        hs, keys = [], []
-        for h, w in zip(batch.column("h").to_pylist(), words_of(batch), strict=True):
-            w = w.view(np.int64)
+        keys, bags = [], []
+        for words in split_words(batch):
+            w = labelled(words).view(np.int64)
             at = np.minimum(np.searchsorted(names, w), max(0, len(names) - 1))
             rank = np.where(names[at] == w, numbers[at], 0) if len(names) else np.zeros(len(w), np.int64)
-            some = w[np.lexsort((w, rank))[: len(w) - int(np.ceil(threshold * len(w) - 1e-9)) + 1]]
-            hs += [h] * len(some)
-            keys.append(some)
-        return {"h": hs, "key": np.concatenate(keys)}
+            keys.append(w[np.lexsort((w, rank))[: len(w) - int(np.ceil(threshold * len(w) - 1e-9)) + 1]])
+            bags.append(bag_of(words))
+        at = pa.array(np.repeat(np.arange(batch.num_rows), [len(x) for x in keys]))
+        own = {c: batch.column(c).take(at) for c in ("h", "n_words", "label")}
+        return own | {"key": np.concatenate(keys), "bag": pa.array(bags, pa.binary()).take(at)}
 
-    return common.map_batches(bodies, rarest, "h binary, key long")
+    return common.map_batches(crowd, rarest, "h binary, key long, n_words int, label binary, bag binary")
 
 
 def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -395,17 +487,18 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> Dat
     def opened(members: DataFrame, most: int | None = None) -> tuple[DataFrame, DataFrame]:
         """The members (key, h, n_words, label) of buckets with more than one component and up to most rows, with the size n of the bucket, its hub and
         their bags; and the texts of larger buckets."""
-        keys = members.groupBy("key").agg(F.count("*").alias("n"), F.min_by("h", F.xxhash64("key", "h")).alias("hub"), F.min("label").alias("l"), F.max("label").alias("m")).where("l < m").drop("l", "m")
-        keys = common.written(keys, "open")
+        keys = members.groupBy("key").agg(F.count("*").alias("n"), F.min_by("h", F.xxhash64("key", "h")).alias("hub"), F.min("label").alias("l"), F.max("label").alias("m"), F.max("many").alias("many") if "many" in members.columns else F.lit(True).alias("many"))
+        keys = common.written(keys.where("l < m AND many").drop("l", "m", "many"), "open")
         few = keys if most is None else keys.where(F.col("n") <= most)
         crowd = None if most is None else members.join(keys.where(F.col("n") > most).select("key"), "key").select("h", "n_words").distinct()
-        return common.written(members.join(few, "key").join(texts.select("h", "bag"), "h"), "members"), crowd
+        some = members.join(few, "key")
+        return common.written(some if "bag" in some.columns else some.join(texts.select("h", "bag"), "h"), "members"), crowd
 
-    def checked_with(rows: DataFrame, checked: DataFrame) -> tuple[DataFrame, bool]:
+    def checked_with(rows: DataFrame, checked: DataFrame, closest: bool = False) -> tuple[DataFrame, bool]:
         """The pairs checked so far and those of rows that meet; and whether there are new links."""
         if not rows.count():
             return checked, False
-        new = common.written(verified(meetings(rows, threshold).join(checked, ["a", "b"], "left_anti"), bodies, threshold), "checked")
+        new = common.written(verified(meetings(rows, threshold, closest).join(checked, ["a", "b"], "left_anti"), bodies, threshold), "checked")
         return checked.unionByName(new), new.where("ok").count() > 0
 
     checked = checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "ok")
@@ -419,10 +512,18 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> Dat
         labels = merged(stars, checked.where("ok").select("a", "b"))
 
     members, crowd = opened(labelled_by(labels, bucketed), CROWDED)
-    crowd = common.written(crowd, "crowd")
+    crowd = common.written(labelled_by(labels, crowd).join(bodies, "h"), "crowd")
     if crowd.count():
-        rare = rarest_words(bodies.join(crowd.select("h"), "h", "left_semi"), threshold).join(crowd, "h")
-        members = members.unionByName(opened(labelled_by(labels, common.written(rare, "rare")))[0])
+        for _ in range(ROUNDS):
+            crowd = common.written(without_lone(crowd, threshold), "crowd")
+        members = members.unionByName(opened(common.written(rarest_words(crowd, threshold), "rare"))[0])
+    # First the closest pair of each two components: what it links has no need of the others, which are quadratic in the sizes of both.
+    checked, more = checked_with(in_blocks(members), checked, closest=True)
+    if more:
+        labels = merged(labels, checked.where("ok").select("a", "b"))
+    # Two texts that are components of their own have been checked then.
+    linked = labels.unionByName(labels.select(F.col("v").alias("u"), "v").distinct()).withColumn("many", F.lit(True))
+    members, _ = opened(labelled_by(linked, members.drop("label", "n", "hub")).withColumn("many", F.coalesce("many", F.lit(False))))
     checked, more = checked_with(in_blocks(members), checked)
     stars = merged(labels, checked.where("ok").select("a", "b")) if more else labels
 
