@@ -170,3 +170,12 @@ def test_bad_input_raises(spark, rows):
     df = spark.createDataFrame(rows, "id long, features array<double>")
     with pytest.raises(ValueError):
         D.PCA(1).fit(df)
+
+
+@pytest.mark.parametrize("parts", [1, 2])
+@pytest.mark.parametrize("fit", [lambda df: D.PCA(1).fit(df), lambda df: D.TruncatedSVD(1).fit(df), lambda df: D.batched_pca(df.withColumn("batch_id", F.lit(1)), 1).collect()])
+def test_ragged_vectors_raise_wherever_they_lie(spark, fit, parts):
+    """A vector of one element isn't stretched to the others' length, in one partition or two."""
+    df = spark.createDataFrame([(0, [1.0]), (1, [1.0, 2.0])], "id long, features array<double>").repartitionByRange(parts, "id")
+    with pytest.raises(Exception, match="elements|one length"):
+        fit(df)
