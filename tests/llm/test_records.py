@@ -190,6 +190,16 @@ def test_assembly_in_either_direction_and_over_one_between(spark):
     assert [r.record_id for r in got["r2"].requests] == ["q2"] and got["r2"].metadata == []
 
 
+def test_assembly_deals_links_out_once(spark):
+    """Links named twice count once, without exchanges of their own."""
+    rows = [("r1", "response", ["q1", "q1"]), ("q1", "request", ["r1", "r1"]), ("m1", "metadata", ["q1", "r1"])]
+    got = warc.assemble(spark.createDataFrame([(i, k, c, *[None] * 10) for i, k, c in rows], warc.RECORDS))
+    (c,) = got.collect()
+    assert [r.record_id for r in c.requests] == ["q1"] and [r.record_id for r in c.metadata] == ["m1"]
+    plan = got._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[0]
+    assert "hashpartitioning(record_id#" in plan and not re.search(r"Exchange hashpartitioning\(record_id#\d+, (to|capture)#", got._jdf.queryExecution().executedPlan().toString())
+
+
 def test_no_pages(spark, tmp_path):
     spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     assert warc.op3_warc(spark, str(tmp_path)).count() == 0

@@ -205,12 +205,12 @@ def assemble(records: DataFrame) -> DataFrame:
     others = records.where(F.col("record_type").isin("request", "metadata"))
     named = others.select("record_id", F.explode("concurrent_to").alias("to"))
     by_answer = answers.select(F.explode("concurrent_to").alias("record_id"), F.col("record_id").alias("to"))
-    links = named.unionByName(by_answer).distinct()
+    links = named.unionByName(by_answer)  # repeated ones go below
     ids = answers.select(F.col("record_id").alias("to"), F.col("record_id").alias("capture"))
     direct = links.join(ids, "to").select("record_id", "capture")
     # A record may name another of its capture instead of the response.
     between = links.join(ids, "to", "left_anti").join(direct.select(F.col("record_id").alias("to"), "capture"), "to").select("record_id", "capture")
-    of = direct.unionByName(between).distinct()
+    of = direct.unionByName(between).repartition("record_id").distinct()  # dealt out once, for this and the join
     part = F.struct(*[c for c in records.columns if c != "payload"])
     joined = others.join(of, "record_id").select("capture", "record_type", part.alias("part"))
     grouped = joined.groupBy("capture").agg(
