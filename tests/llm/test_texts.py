@@ -2,6 +2,7 @@ import hashlib
 import math
 import re
 from collections import Counter, defaultdict
+from operator import itemgetter
 
 import numpy as np
 import pytest
@@ -344,6 +345,45 @@ def test_the_closest_pair_of_two_components(spark):
     assert pairs(df, 0.8) == {(i, j) for i, j in every if i < 16}
 
 
+@pytest.mark.parametrize("later", [3, 200])
+def test_texts_that_share_rare_words_meet_over_one(spark, monkeypatch, later):
+    """Two texts meet in one group of those that they share, or in a few where the list of others is cut, and each two in one at least."""
+    monkeypatch.setattr(near_duplicates, "LATER", later)
+    rng = np.random.default_rng(16)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    passage = list(rng.choice(vocabulary, 150))
+    texts = [" ".join(w if rng.random() < 0.9 else str(rng.choice(vocabulary)) for w in passage) for _ in range(24)]
+    crowd = spark.createDataFrame([(i.to_bytes(16, "big"), 150, i.to_bytes(16, "big"), zstandard.compress(t.encode())) for i, t in enumerate(texts)], "h binary, n_words int, label binary, z binary")
+    rare = near_duplicates.rarest_words(crowd, 0.8).localCheckpoint()
+    profiles = near_duplicates.profiles_of(rare.select("h", F.lit(b"").alias("bag")), rare)
+    rows = [r.asDict() for r in near_duplicates.with_others(near_duplicates.words_apart(rare), profiles).collect()]
+    groups, shared, met = {}, Counter(), Counter()
+    for r in rows:
+        groups.setdefault(r["key"], []).append((int.from_bytes(r["h"], "big"), set(np.frombuffer(r["others"], np.int32).tolist())))
+    for group in groups.values():
+        two = [((a, b), x.isdisjoint(y)) for a, x in group for b, y in group if a < b]
+        shared.update(p for p, _ in two)
+        met.update(p for p, apart in two if apart)
+    assert set(met) == set(shared) and sum(met.values()) < 0.7 * sum(shared.values())
+    assert later < 150 or set(met.values()) == {1}
+    # Of the rows of one group those alone meet that don't meet elsewhere.
+    key = max(groups, key=lambda k: sum(not x.isdisjoint(y) for a, x in groups[k] for b, y in groups[k] if a < b))
+    bag = bytes(near_duplicates.BAG)
+    df = spark.createDataFrame([(key, 0, 0, 0, r["h"], r["label"], 150, bag, r["others"]) for r in rows if r["key"] == key], "key long, lo int, hi int, side int, h binary, label binary, n_words int, bag binary, others binary")
+    got = {(int.from_bytes(r.a, "big"), int.from_bytes(r.b, "big")) for r in near_duplicates.meetings(df, 0.8).collect()}
+    own = sorted(groups[key], key=itemgetter(0))
+    assert got == {(a, b) for a, x in own for b, y in own if a < b and x.isdisjoint(y)} and len(got) < len(own) * (len(own) - 1) / 2
+
+
+def test_bags_tell_unlike_texts_apart(spark):
+    """Texts whose words agree modulo 128 alone aren't candidates, and edited ones are."""
+    words = np.random.default_rng(17).integers(0, 1 << 40, 200).astype(np.uint64) * np.uint64(512)
+    texts = [words, words + np.uint64(128), np.concatenate((words[:170], words[:30] + np.uint64(256)))]
+    rows = [(1, 0, 0, 0, i.to_bytes(16, "big"), i.to_bytes(16, "big"), 200, near_duplicates.bag_of(w)) for i, w in enumerate(texts)]
+    df = spark.createDataFrame(rows, "key long, lo int, hi int, side int, h binary, label binary, n_words int, bag binary")
+    assert [(int.from_bytes(r.a, "big"), int.from_bytes(r.b, "big")) for r in near_duplicates.meetings(df, 0.8).collect()] == [(0, 2)]
+
+
 @pytest.mark.parametrize("share", [0.05, 0.1, 0.15, 0.19])
 def test_recall_of_the_sketch(share):
     """Edits spread evenly over 200 words, of three kinds: at least 0.97 of the pairs above the threshold share a tuple."""

@@ -21,6 +21,7 @@ Steps, each cut by a table in the shared folder:
    says nothing of its component's other texts. The texts of buckets of more than CROWDED texts, which a common passage fills, meet over rare words instead:
    texts that are similar to the threshold have so many words in common that they share one of the rarest of each, as many as the
    threshold lets go and one. That loses no pair (and doesn't depend on the bucket), and a passage's words are the last to be among the rarest.
+   Two texts meet over the last of the words that they share: each row names words after its own, and texts that have one of these in common leave the pair to that word's group.
    Before that those go that are similar to none of them: a text similar to another has at least 1 - 2 (1 - threshold) of its
    pairs of words in common with it, and so in common with texts of other components, which a passage alone doesn't reach in a longer text.
    Should more than BLOCK texts share a rare word, they are dealt into blocks, and each pair of blocks is a task's group of its own.
@@ -57,7 +58,11 @@ THRESHOLD, SEEDS, DEPTH = 0.8, 64, 3
 #: Words up to which texts are found by what is left of them without some words, and up to which by tuples of DEPTH - 1.
 SHORT, MEDIUM = 14, 49
 #: Components in a bucket beyond which they meet its hub before they meet each other; texts of a bucket beyond which it is crowded; texts of a block; counts of a bag.
-HOT, CROWDED, BLOCK, BAG = 8, 64, 1024, 128
+HOT, CROWDED, BLOCK, BAG = 8, 64, 1024, 512
+#: Words by which a text's meetings over its rarer words are told to be repeated ones, at most: they go with each of these.
+LATER = 128
+#: Pairs that a task aligns.
+PAIRS = 512
 #: Words that are ordered by how many texts have them, at most: they are the most frequent ones, and all workers hold them.
 FREQUENT_WORDS = 100_000
 #: Places that pairs of words are hashed to, so that the driver and workers hold SLOTS / 8 bytes at any size; places of a range; rounds of the test.
@@ -265,13 +270,15 @@ def meetings(rows: DataFrame, threshold: float, closest: bool = False) -> DataFr
     """Distinct pairs (a < b) of texts of one group (key, lo, hi) that have unlike labels and may be similar by their lengths and bags; with closest, of each two labels the pair alone whose bags are closest.
 
     rows have key, lo, hi, side, h, label, n_words and bag; with a column many, texts without it don't meet each other. Where lo = hi all texts of the group meet, else those of side lo meet those of side hi.
+    With a column others (some keys of other groups of the text, in an order that all texts share), two texts that have one of these in common don't meet here, as they do there.
     """
     common.ship(rows.sparkSession)
     ddl = "a binary, b binary, la binary, lb binary, apart long" if closest else "a binary, b binary"
 
     def pairs_of(group: list[np.ndarray]):
         """Numbers of the pairs of a group, and how far apart their bags are."""
-        side, labels, n, bags, many = group
+        side, labels, n, bags, many, others = group
+        keys = lru_cache(None)(lambda i: frozenset(np.frombuffer(others[i], np.int32).tolist()))
         across = side[0] != side[-1]  # sorted by side
         cut = int(np.searchsorted(side, side[-1])) if across else 0
         for i in range(cut if across else len(n) - 1):
@@ -283,6 +290,8 @@ def meetings(rows: DataFrame, threshold: float, closest: bool = False) -> DataFr
                 # An edit changes the counts by 2 at most where it replaces a word, and by 1 where the lengths differ.
                 apart = np.abs(bags[rest][open_] - bags[i]).sum(axis=1, dtype=np.int64)
                 near = apart + np.abs(n[rest][open_] - n[i]) <= 2 * limit[open_]
+                if others[i]:
+                    near[near] = [keys(i).isdisjoint(keys(y)) for y in (open_[near] + rest.start).tolist()]
                 yield i, open_[near] + rest.start, apart[near]
 
     def closest_of(group: list[np.ndarray]):
@@ -316,10 +325,11 @@ def meetings(rows: DataFrame, threshold: float, closest: bool = False) -> DataFr
                 side, n = whole["side"].to_numpy(), whole["n_words"].to_numpy().astype(np.int64)
                 labels = np.frombuffer(b"".join(whole["label"].to_pylist()), np.uint64).reshape(-1, 2)
                 bags = np.frombuffer(b"".join(whole["bag"].to_pylist()), np.uint8).reshape(-1, BAG).astype(np.int16)
+                others = whole["others"].to_pylist()
                 own, out = whole["label"].to_pylist(), {}
                 for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                     if j - i > 1:
-                        for x, near, apart in (closest_of if closest else pairs_of)([side[i:j], labels[i:j], n[i:j], bags[i:j], many[i:j]]):
+                        for x, near, apart in (closest_of if closest else pairs_of)([side[i:j], labels[i:j], n[i:j], bags[i:j], many[i:j], others[i:j]]):
                             for y, d in zip(near.tolist(), apart.tolist(), strict=True):
                                 u, v = sorted(((hs[i + x], own[i + x]), (hs[i + y], own[i + y])), key=itemgetter(1 if closest else 0))
                                 two = (u[1], v[1]) if closest else (u[0], v[0])
@@ -330,7 +340,7 @@ def meetings(rows: DataFrame, threshold: float, closest: bool = False) -> DataFr
                         told, out = (set() if closest else set(out)), {}
                 yield packed_rows([*out.values()], schema)
 
-    rows = rows.select("key", "lo", "hi", "side", "h", "label", "n_words", "bag", "many" if "many" in rows.columns else F.lit(True).alias("many"))
+    rows = rows.select("key", "lo", "hi", "side", "h", "label", "n_words", "bag", "many" if "many" in rows.columns else F.lit(True).alias("many"), "others" if "others" in rows.columns else F.lit(b"").alias("others"))
     rows = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "side").mapInArrow(run, ddl)
     if closest:
         rows = rows.groupBy("la", "lb").agg(F.min(F.struct("apart", "a", "b")).alias("x")).select(F.least("x.a", "x.b").alias("a"), F.greatest("x.a", "x.b").alias("b"))
@@ -412,7 +422,7 @@ def without_lone(crowd: DataFrame, threshold: float) -> DataFrame:
 
 
 def rarest_words(crowd: DataFrame, threshold: float) -> DataFrame:
-    """(h, key, n_words, label, bag): the rarest words of each of crowd (h, n_words, label, z), as many as may be missing from a similar text and one.
+    """crowd (h, n_words, label, z) with words instead of z: the rarest words of each text in order (32 bits of their hashes), as many as may be missing from a similar text and one.
 
     Words are labelled by their number among equal ones. Any order that is the same for all texts loses no pair: here words that many
     of crowd have come last, the most frequent at the end, and others are in the order of their hashes. Those many are at most FREQUENT_WORDS, as each
@@ -432,18 +442,40 @@ def rarest_words(crowd: DataFrame, threshold: float) -> DataFrame:
 
     def rarest(batch: pa.RecordBatch) -> dict:
         names, numbers = sent.value
-        keys, bags = [], []
+        keys = []
         for words in split_words(batch):
             w = labelled(words).view(np.int64)
             at = np.minimum(np.searchsorted(names, w), max(0, len(names) - 1))
             rank = np.where(names[at] == w, numbers[at], 0) if len(names) else np.zeros(len(w), np.int64)
-            keys.append(w[np.lexsort((w, rank))[: len(w) - int(np.ceil(threshold * len(w) - 1e-9)) + 1]])
-            bags.append(bag_of(words))
-        at = pa.array(np.repeat(np.arange(batch.num_rows), [len(x) for x in keys]))
+            least = w[np.lexsort((w, rank))[: len(w) - int(np.ceil(threshold * len(w) - 1e-9)) + 1]]
+            keys.append((least >> 32).astype(np.int32).tobytes())  # words that are equal in these share a group, which loses no pair
+        return {c: batch.column(c) for c in ("h", "n_words", "label")} | {"words": keys}
+
+    return common.map_batches(crowd, rarest, "h binary, n_words int, label binary, words binary")
+
+
+def words_apart(rare: DataFrame) -> DataFrame:
+    """(h, key, n_words, label, later) for each word of each row of rare; later is the number of words after it."""
+
+    def each(batch: pa.RecordBatch) -> dict:
+        words = [np.frombuffer(w, np.int32) for w in batch.column("words").to_pylist()]
+        at = pa.array(np.repeat(np.arange(batch.num_rows), [len(w) for w in words]))
         own = {c: batch.column(c).take(at) for c in ("h", "n_words", "label")}
-        return own | {"key": np.concatenate(keys), "bag": pa.array(bags, pa.binary()).take(at)}
+        return own | {"key": np.concatenate(words).astype(np.int64), "later": np.concatenate([np.arange(len(w))[::-1] for w in words])}
+
+    return common.map_batches(rare, each, "h binary, key long, n_words int, label binary, later int")
+
+
+def profiles_of(bags: DataFrame, rare: DataFrame) -> DataFrame:
+    """bags (h, bag) with tail: the last LATER of the words of rare, where the text is in it."""
+    return bags.join(rare.select("h", F.substring("words", -4 * LATER, 4 * LATER).alias("tail")), "h", "left")
+
 
-    return common.map_batches(crowd, rarest, "h binary, key long, n_words int, label binary, bag binary")
+def with_others(rows: DataFrame, profiles: DataFrame) -> DataFrame:
+    """rows (with h and later, null where the key is no word) with bag and others: those words of the text's tail that come after the row's own, so that two texts meet over the most frequent word that they share, and seldom over more."""
+    start = F.octet_length("tail") - 4 * F.least("later", F.lit(LATER)) + 1
+    others = F.when(F.col("later") > 0, F.substring("tail", start, F.lit(4 * LATER))).otherwise(F.lit(b""))
+    return rows.join(profiles, "h", "left").withColumn("others", others).drop("tail")
 
 
 def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -465,6 +497,7 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> Dat
     hubs = shared.where("h != hub").select("h", "n_words", "hub").distinct().join(sizes, "hub").where(lengths_allow("n_words", "hub_words", threshold))
     first = common.written(hubs.groupBy(F.col("h").alias("b")).agg(F.min("hub").alias("a")), "hubs")
     needed = shared.select("h").distinct().join(texts.select("h", "rep_id"), "h")
+    bags = common.written(shared.select("h").distinct().join(texts.select("h", "bag"), "h"), "bags")
 
     def pack(batch: pa.RecordBatch) -> dict:
         squeeze = zstandard.ZstdCompressor(level=1).compress
@@ -485,20 +518,23 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> Dat
         return rows.join(stars, rows["h"] == stars["u"], "left").withColumn("label", F.coalesce("v", "h")).drop("u", "v")
 
     def opened(members: DataFrame, most: int | None = None) -> tuple[DataFrame, DataFrame]:
-        """The members (key, h, n_words, label) of buckets with more than one component and up to most rows, with the size n of the bucket, its hub and
-        their bags; and the texts of larger buckets."""
+        """The members (key, h, n_words, label) of buckets with more than one component and up to most rows, with the size n of the bucket and its hub; and the
+        texts of larger buckets."""
         keys = members.groupBy("key").agg(F.count("*").alias("n"), F.min_by("h", F.xxhash64("key", "h")).alias("hub"), F.min("label").alias("l"), F.max("label").alias("m"), F.max("many").alias("many") if "many" in members.columns else F.lit(True).alias("many"))
         keys = common.written(keys.where("l < m AND many").drop("l", "m", "many"), "open")
         few = keys if most is None else keys.where(F.col("n") <= most)
         crowd = None if most is None else members.join(keys.where(F.col("n") > most).select("key"), "key").select("h", "n_words").distinct()
-        some = members.join(few, "key")
-        return common.written(some if "bag" in some.columns else some.join(texts.select("h", "bag"), "h"), "members"), crowd
+        return common.written(members.join(few, "key"), "members"), crowd
 
     def checked_with(rows: DataFrame, checked: DataFrame, closest: bool = False) -> tuple[DataFrame, bool]:
         """The pairs checked so far and those of rows that meet; and whether there are new links."""
         if not rows.count():
             return checked, False
-        new = common.written(verified(meetings(rows, threshold, closest).join(checked, ["a", "b"], "left_anti"), bodies, threshold), "checked")
+        # What is compared joins the rows last, as it is much more than they are.
+        wide = with_others(rows, profiles) if "later" in rows.columns else rows.join(bags, "h")
+        pairs = common.written(meetings(wide, threshold, closest).join(checked, ["a", "b"], "left_anti"), "pairs")
+        parts = max(1, min(common.MOST_PARTS, -(-pairs.count() // PAIRS)))  # pairs are few bytes and much work
+        new = common.written(verified(pairs.repartition(parts, "a", "b"), bodies, threshold), "checked")
         return checked.unionByName(new), new.where("ok").count() > 0
 
     checked = checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "ok")
@@ -516,7 +552,9 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> Dat
     if crowd.count():
         for _ in range(ROUNDS):
             crowd = common.written(without_lone(crowd, threshold), "crowd")
-        members = members.unionByName(opened(common.written(rarest_words(crowd, threshold), "rare"))[0])
+        rare = common.written(rarest_words(crowd, threshold), "rare")
+        profiles = common.written(profiles_of(bags, rare), "profiles")
+        members = members.withColumn("later", F.lit(None).cast("int")).unionByName(opened(common.written(words_apart(rare), "words"))[0])
     # First the closest pair of each two components: what it links has no need of the others, which are quadratic in the sizes of both.
     checked, more = checked_with(in_blocks(members), checked, closest=True)
     if more:
