@@ -172,3 +172,22 @@ def test_sparse_products(spark):
     assert np.allclose([r.c for r in c], a @ b)
     ptr = sparse.row_pointers(coo, rows, "id").orderBy("i").collect()
     assert [r.stop for r in ptr] == np.cumsum((a != 0).sum(1)).tolist()
+
+
+def test_blocks_give_k_rows_for_each_query(spark):
+    """However many blocks of the base there are: what is shuffled doesn't grow with their number."""
+    df = from_numpy(spark, np.random.default_rng(8).standard_normal((150, 4))).repartition(5)
+    assert N.candidates(df, df, 3, True, limit=0).count() == 450
+
+
+@pytest.mark.parametrize("shift,scale", [(0.0, 1.0), (1e6, 1.0), (0.0, 1e25)])
+def test_nearest_over_blocks_is_exact(shift, scale):
+    """Near and far from the origin, with ties, and where single precision has no room."""
+    x = np.round(np.random.default_rng(9).standard_normal((300, 3)), 1) * scale + shift
+    ids, k = np.random.default_rng(1).permutation(300), 6
+    found = N.Nearest(x[:40], ids[:40], k, False)
+    for i in range(0, 300, 70):
+        found.see(ids[i : i + 70], x[i : i + 70])
+    d = ((x[:40, None] - x[None]) ** 2).sum(2)
+    d[np.arange(40), np.arange(40)] = np.inf
+    assert [r.tolist() for r in found.dst] == [ids[np.lexsort((ids, row))[:k]].tolist() for row in d]
