@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from vecengine.operators import cluster, nndescent, sparse
@@ -191,3 +192,14 @@ def test_nearest_over_blocks_is_exact(shift, scale):
     d = ((x[:40, None] - x[None]) ** 2).sum(2)
     d[np.arange(40), np.arange(40)] = np.inf
     assert [r.tolist() for r in found.dst] == [ids[np.lexsort((ids, row))[:k]].tolist() for row in d]
+
+
+@pytest.mark.parametrize("limit", [0, 1 << 27])
+def test_blocks_are_bounded(spark, limit):
+    """A block's scores don't grow with the table."""
+    from vecengine.operators import pairs
+
+    df = from_numpy(spark, np.random.default_rng(8).standard_normal((2300, 1))).coalesce(1)
+    size = lambda own, x, ids, y: pa.RecordBatch.from_pydict({"n": [len(own) * len(ids)]})
+    sizes = [r.n for r in pairs.met(df, df, size, "n long", "id", "features", limit).collect()]
+    assert sum(sizes) == 2300**2 and max(sizes) <= pairs.TILE * pairs.OTHERS
