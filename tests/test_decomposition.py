@@ -179,3 +179,37 @@ def test_ragged_vectors_raise_wherever_they_lie(spark, fit, parts):
     df = spark.createDataFrame([(0, [1.0]), (1, [1.0, 2.0])], "id long, features array<double>").repartitionByRange(parts, "id")
     with pytest.raises(Exception, match="elements|one length"):
         fit(df)
+
+
+@pytest.mark.parametrize("limit", [0, 1 << 27])
+@pytest.mark.parametrize("name", ["linear", "rbf", "poly", "sigmoid"])
+def test_centred_kernel_and_sums_of_rows(spark, name, limit):
+    x = np.random.default_rng(2).standard_normal((70, 4)) + 0.5
+    df, k = from_numpy(spark, x).repartition(3), K.kernel_block(x, x, name, 0.2)
+    c = k - k.mean(0) - k.mean(1)[:, None] + k.mean()
+    got = np.full((70, 70), np.nan)
+    for r in K.centred_kernel(df, kernel=name, gamma=0.2, limit=limit).collect():
+        got[r.i, r.j] = r.k
+    assert np.allclose(got, c)
+    if name != "sigmoid":  # which can have negative eigenvalues, that the features leave out
+        assert np.allclose(back(K.Nystroem(None, name, 0.2).row_sums(df, limit=limit), "s"), k.sum(1))
+        assert np.allclose(back(K.KernelPCA(None, name, 0.2).squared_norms(df, limit=limit), "s"), np.diag(c))
+    for some in (K.Nystroem(20, name, 0.2), K.KernelPCA(5, name, 0.2)):
+        z = back(some.fit_transform(df))
+        sums = back(some.row_sums(df) if isinstance(some, K.Nystroem) else some.squared_norms(df), "s")
+        assert np.allclose(sums, z @ z.sum(0) if isinstance(some, K.Nystroem) else (z * z).sum(1))
+
+
+def test_full_rank_at_more_rows_than_a_driver_decomposes(spark):
+    """5,000 rows: beyond what fit takes."""
+    x = np.random.default_rng(3).standard_normal((5000, 2))
+    df, k = from_numpy(spark, x), K.kernel_block(x, x, "rbf", 1.0)
+    assert np.allclose(back(K.KernelPCA(None, gamma=1.0).squared_norms(df), "s"), np.diag(k) - 2 * k.mean(0) + k.mean())
+    assert np.allclose(back(K.Nystroem(None, gamma=1.0).row_sums(df), "s"), k.sum(0))
+
+
+def test_rounding_is_half_away_from_zero():
+    from vecengine.operators import pairs
+
+    got = pairs.rounded(np.array([0.25, -0.25, 0.24999, -1e-9, 3.0, np.inf]), 1)
+    assert got.tolist() == [0.3, -0.3, 0.2, 0.0, 3.0, np.inf] and not np.signbit(got[3])
