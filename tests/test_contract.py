@@ -51,3 +51,9 @@ def test_stream_equals_table(spark, tmp_path):
     assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)
     with pytest.raises(ValueError):
         transform_stream(tables.checked(e), m.transform, "x", "y")
+
+
+def test_neighbours_are_found_once(spark):
+    """The three nearest are the first of the eight: one search for both."""
+    df = catalog.QUERIES["anti_join_neighbors"](spark, DIR)
+    assert df._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
