@@ -203,3 +203,29 @@ def test_blocks_are_bounded(spark, limit):
     size = lambda own, x, ids, y: pa.RecordBatch.from_pydict({"n": [len(own) * len(ids)]})
     sizes = [r.n for r in pairs.met(df, df, size, "n long", "id", "features", limit).collect()]
     assert sum(sizes) == 2300**2 and max(sizes) <= pairs.TILE * pairs.OTHERS
+
+
+def test_box_pairs_are_measured_in_blocks(spark):
+    """A row for each pair, without a join whose side is sent to all."""
+    low = np.random.default_rng(4).standard_normal((30, 3))
+    high = low + np.random.default_rng(5).random((30, 3))
+    b = spark.createDataFrame([(i, x.tolist(), y.tolist()) for i, (x, y) in enumerate(zip(low, high, strict=True))], "leaf long, low array<double>, high array<double>")
+    pairs = N.box_pairs(b, b)
+    gap = np.maximum(np.maximum(low[None] - high[:, None], low[:, None] - high[None]), 0)
+    got = {(r.a, r.b): r.d2 for r in pairs.collect()}
+    assert len(got) == 900 and all(np.isclose(got[i, j], (gap[i, j] ** 2).sum()) for i, j in got)
+    assert "Join" not in pairs._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("d,many", [(2, 1), (3, 700)])
+def test_radius_join_in_runs_equals_brute_force(spark, d, many):
+    """Sparse cells, and cells of more points than a run holds; nothing is sent to all, and a point with a NULL has no partners."""
+    x = np.vstack([np.random.default_rng(6).uniform(-4, 4, (200, d)), np.full((many, d), 0.2)])
+    df = from_numpy(spark, x)
+    nulls = spark.createDataFrame([(5000, [None] * d), (5001, None)], df.schema)
+    near = N.radius_join(df.unionByName(nulls), 0.9, include_self=False)
+    assert "BroadcastHashJoin" not in near._jdf.queryExecution().executedPlan().toString()
+    d2 = ((x[:, None] - x[None]) ** 2).sum(2)
+    want = {(i, j): d2[i, j] for i, j in zip(*map(np.ndarray.tolist, np.nonzero(d2 < 0.81)), strict=True) if i != j}
+    got = {(r.src, r.dst): r.d2 for r in near.collect()}
+    assert got.keys() == want.keys() and all(np.isclose(got[p], want[p]) for p in got)
