@@ -229,3 +229,13 @@ def test_radius_join_in_runs_equals_brute_force(spark, d, many):
     want = {(i, j): d2[i, j] for i, j in zip(*map(np.ndarray.tolist, np.nonzero(d2 < 0.81)), strict=True) if i != j}
     got = {(r.src, r.dst): r.d2 for r in near.collect()}
     assert got.keys() == want.keys() and all(np.isclose(got[p], want[p]) for p in got)
+
+
+def test_a_walk_shuffles_leaves_and_not_pairs(spark):
+    """Exact whether the boxes go to the workers or the walk is joins; no window over pairs of points."""
+    x = np.random.default_rng(12).uniform(0, 9, (400, 2)).round(1)
+    df = from_numpy(spark, x)
+    want = edges(N.knn(df, 4))
+    found = N.knn_points(df, 4, leaf_size=10, limit=0)
+    assert edges(found) == want and "Window" not in found._jdf.queryExecution().executedPlan().toString()
+    assert edges(N._walked(df.select("id", df.features.alias("f")), 4, 10, 3, 2, limit=0)) == want
