@@ -239,3 +239,20 @@ def test_a_walk_shuffles_leaves_and_not_pairs(spark):
     found = N.knn_points(df, 4, leaf_size=10, limit=0)
     assert edges(found) == want and "Window" not in found._jdf.queryExecution().executedPlan().toString()
     assert edges(N._walked(df.select("id", df.features.alias("f")), 4, 10, 3, 2, limit=0)) == want
+
+
+def test_nndescent_sends_4_bytes_and_a_bit_for_each_edge(spark, monkeypatch):
+    """What a round sends to the driver has no distances, and the graph isn't sent back from there."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    sent, collect = [], DataFrame.collect
+
+    def watched(self):
+        rows = collect(self)
+        sent.append(sum(len(v) for r in rows for v in r if isinstance(v, (bytes, bytearray))))
+        return rows
+
+    monkeypatch.setattr(DataFrame, "collect", watched)
+    g = nndescent.NNDescent(k=8, seed=1).build(from_numpy(spark, np.random.default_rng(2).standard_normal((256, 4))))
+    assert 0 < max(sent) <= 256 * 8 * 4 + 256 * 8 // 8 + 64
+    assert "MapInArrow" in g._jdf.queryExecution().executedPlan().toString()
