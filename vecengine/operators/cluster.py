@@ -39,7 +39,7 @@ def step(df: DataFrame, features_col: str, centres: np.ndarray) -> tuple[np.ndar
         order = np.lexsort((*x.T[::-1], -least))[:k]
         return sums, np.bincount(labels, minlength=k).astype(float), np.array(least.sum()), x[order], least[order]
 
-    sums, counts, inertia, far, _ = factor._reduced(df, [features_col], first, _merge)
+    sums, counts, inertia, far, _ = factor._reduced(df, [features_col], first, _merge, alike=False)  # few rows give fewer farthest points; first checks the length of vectors
     return sums, counts, float(inertia), far
 
 
